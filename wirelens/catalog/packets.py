@@ -98,10 +98,10 @@ oracle("flow_pkt_len_stats", V, f"SELECT {KEY}, start_us, " + ", ".join(
     {**BASE, **LENGTH_CTE})
 
 _IAT_NAMES = [f"{p}_{s}" for p in ("iat", "iat_fwd", "iat_bwd") for s in ("max", "min", "mean", "std", "total")]
-_IATS = ", ".join([_spread_sql("gap", "iat"), "coalesce(sum(gap), 0) AS iat_total"] + [
+_IATS = ", ".join([_spread_sql("gap", "iat"), "CAST(coalesce(sum(gap), 0) AS DOUBLE) AS iat_total"] + [
     part for side, d in (("iat_fwd", 0), ("iat_bwd", 1))
     for part in (_spread_sql("side_gap", side, f"direction = {d}"),
-                 f"coalesce(sum(side_gap) FILTER (direction = {d}), 0) AS {side}_total")])
+                 f"CAST(coalesce(sum(side_gap) FILTER (direction = {d}), 0) AS DOUBLE) AS {side}_total")])
 IAT_CTE = {"gaps": GAPS, "iats": f"SELECT {KEY}, start_us, {_IATS} FROM gaps GROUP BY {KEY}, start_us"}
 
 

@@ -4,9 +4,9 @@ from pyspark.sql import Column, functions as F
 
 from wirelens import constants as K
 
-# fixed values: the two verdict lines a classifier model writes
-SEVERITY_LINE = r"(?im)^\s*SEVERITY\s*:\s*(.+?)(?:\n|$|\|)"
-ACTION_LINE = r"(?im)^\s*ACTION\s*:\s*(.+?)(?:\n|$|\|)"
+# fixed values: the two verdict lines a classifier model writes (flags: Unix lines, Unicode classes)
+SEVERITY_LINE = r"(?imdU)^\s*SEVERITY\s*:\s*(.+?)(?:\n|$|\|)"
+ACTION_LINE = r"(?imdU)^\s*ACTION\s*:\s*(.+?)(?:\n|$|\|)"
 
 
 def normalize_ws(x: Column) -> Column:
