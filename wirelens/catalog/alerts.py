@@ -356,10 +356,10 @@ oracle("error_rate_window", P, "SELECT * REPLACE (round(share, 6) AS share) FROM
 @query("latency_p95_window")
 def _(spark, sf):
     out = M.latency_p95_window(_pred(spark, sf), 5 * H, 0.03)
-    return out.withColumn("latency", F.round("latency", 6))
+    return out.withColumn("latency", F.round("latency", 9))
 
 
-oracle("latency_p95_window", P, """SELECT window_us, n, round(l, 6) AS latency, CASE WHEN l > 0.03 THEN 1 ELSE 0 END AS firing
+oracle("latency_p95_window", P, """SELECT window_us, n, round(l, 9) AS latency, CASE WHEN l > 0.03 THEN 1 ELSE 0 END AS firing
  FROM (SELECT CAST(floor(epoch_us(ts) / 18000000000) * 18000000000 AS BIGINT) AS window_us, count(*) AS n,
  quantile_cont(latency_s, 0.95) AS l FROM v_predictions GROUP BY 1)""")
 

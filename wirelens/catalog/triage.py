@@ -207,6 +207,26 @@ sql("lesson_match", """SELECT h.id, s.ord, s.lesson_id, s.severity, s.action FRO
  LEFT JOIN store s ON s.ord = m.ord""")
 
 
+@query("lesson_match_long_text")
+def _(spark, sf):
+    docs = views.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("rule_id"),
+        F.lit(None).cast("string").alias("agent"), F.col("text").alias("full_log"))
+    passages = views.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("ord"), F.lit(None).cast("string").alias("rule_id"),
+        F.lit(None).cast("string").alias("agent"), F.array("text").alias("log_keywords"),
+        F.lit("noise").alias("severity"), F.lit("ignore").alias("action"), F.lit("authoritative").alias("status"))
+    store = passages.withColumn("lesson_id", L.lesson_id())
+    return (L.lesson_match(docs, store).where(F.col("lesson").isNotNull())
+            .select(F.col("id").alias("doc_id"), F.col("lesson.ord").alias("item_id"), "lesson.lesson_id"))
+
+
+oracle("lesson_match_long_text", [], f"""SELECT d.doc_id, min(item_id) AS item_id,
+ arg_min({sha_id('NULL', 'NULL', '[b.text]', "'noise'", "'ignore'")}, item_id) AS lesson_id
+ FROM documents d JOIN benchmark b ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))),
+ lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) GROUP BY d.doc_id""")
+
+
 @query("classify_cascade")
 def _(spark, sf):
     return _judged(spark, sf).select("id", "severity", "action", "classifier", "lesson_id",

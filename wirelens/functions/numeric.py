@@ -32,18 +32,20 @@ def total(columns: list[Column]) -> Column:
     return columns[0]
 
 
-def dot(vector: Column, weights: list[float]) -> Column:
-    """Inner product of an array column with constant weights."""
-    constant = F.array(*[F.lit(float(w)) for w in weights])
-    products = F.zip_with(vector, constant, lambda x, w: x.cast("double") * w)
-    return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, also where ``body`` uses it in a lambda.
+    (A plain column would be inlined into the lambda and computed again for every element.)"""
+    return F.transform(F.array(value), body)[0]
 
 
 def softmax(logits: Column) -> Column:
     """Softmax of an array column, shifted by its maximum so that exp never overflows."""
-    peak = F.array_max(logits)
-    exps = F.transform(logits, lambda v: F.exp(v - peak))
-    return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda acc, p: acc + p))
+    def exps(z):
+        return let(F.array_max(z), lambda peak: F.transform(z, lambda v: F.exp(v - peak)))
+
+    def shares(e):
+        return let(F.aggregate(e, F.lit(0.0), lambda acc, p: acc + p), lambda s: F.transform(e, lambda v: v / s))
+    return let(logits, lambda z: let(exps(z), shares))
 
 
 def first_argmax(vector: Column) -> Column:

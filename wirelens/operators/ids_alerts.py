@@ -57,7 +57,7 @@ def sid_rate_limit(alerts: DataFrame, limits: list[tuple[int, int, int]]) -> Dat
     listed = alerts.where(F.col("sid").isin(*[s for s, _, _ in limits]))
     seconds = F.coalesce(*[F.when(F.col("sid") == s, F.lit(sec)) for s, _, sec in limits])
     count = F.coalesce(*[F.when(F.col("sid") == s, F.lit(c)) for s, c, _ in limits])
-    slot = F.floor(micros(F.col("ts")) / (seconds * 1_000_000))
+    slot = F.floor(micros(F.col("ts")) / (seconds * 1e6))
     place = F.row_number().over(Window.partitionBy("sid", "src_ip", "_slot").orderBy(*SEQ))
     kept = (listed.withColumn("_slot", slot).withColumn("_place", place)
             .where(F.col("_place") <= max(c for _, c, _ in limits))

@@ -1,13 +1,16 @@
 """From scored flows to routed alerts."""
 
+from collections import deque
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wirelens import constants as K
 from wirelens.functions.numeric import named
 from wirelens.functions.text import or_default
 from wirelens.functions.time import micros
-from wirelens.operators.skew import greedy_starts, join_summary, null_safe
+from wirelens.operators.skew import greedy_starts, join_summary, rank_within
+from wirelens.session import cut_lineage
 
 MATCH_KEYS = ["src_ip", "dst_ip", "src_port", "dst_port", "proto"]
 INLINE_RULES = 200
@@ -132,6 +135,79 @@ def alert_cooldown(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S, ts
     return marked.withColumn("admitted", passed).drop("_us", "_first", "_pick")
 
 
+def _fold_chunk(limit: int, cooldown_us: int, window_us: int):
+    """Admission rule over one chunk of ordered alerts, continuing from the admissions handed in."""
+    def fold(events: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        recent = deque((int(u), k) for u, k in zip(entry["us"], entry["pair"]))
+        last = {k: u for u, k in recent}
+        admitted = []
+        for us, row, pair in events.sort_values(["us", "row"])[["us", "row", "pair"]].itertuples(index=False):
+            while recent and recent[0][0] < us - window_us:
+                recent.popleft()
+            if us - last.get(pair, us - cooldown_us) < cooldown_us or len(recent) >= limit:
+                continue
+            last[pair] = us
+            recent.append((us, pair))
+            admitted.append((row, us, pair))
+        out = pd.DataFrame(admitted, columns=["row", "us", "pair"])
+        out.insert(0, "chunk", events["chunk"].iloc[0] if len(events) else -1)
+        return out.astype({"chunk": "int64", "us": "int64"})
+    return fold
+
+
+def alert_rate_limit(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S, limit: int = K.ALERTS_PER_WINDOW,
+                     window_s: float = K.ALERT_WINDOW_S, ts: str = "ts", row_id: str = "flow_id",
+                     pair=("src_ip", "dst_ip"), chunk_rows: int = 200_000) -> DataFrame:
+    """Add ``admitted``: the pair's cooldown has passed and fewer than ``limit`` alerts were
+    admitted in the trailing window over all pairs.  A rejected alert starts no cooldown.
+
+    The rule is one sequence over all alerts, so it cannot be split by pair.  The ordered
+    alerts are cut into chunks of bounded size that are folded side by side, each from the
+    admissions known for the time before it.  Chunks whose entry state turns out different are
+    folded again, until nothing changes; that is exact, because the first chunk is right from
+    the start and each pass settles at least the next one.  A silence longer than the state
+    reaches back settles everything after it at once.  Only (time, id, pair) takes part.
+    """
+    cooldown_us, window_us = int(cooldown_s * 1e6), int(window_s * 1e6)
+    reach = max(cooldown_us, window_us)
+    slim = alerts.select(
+        F.col(row_id).alias("row"), micros(F.col(ts)).alias("us"),
+        F.to_json(F.struct(*pair), {"ignoreNullFields": "false"}).alias("pair"))
+    slim = slim.withColumn("_b", F.floor(F.col("us") / reach).cast("long"))
+    ranked = rank_within(slim, [], "_b", [F.col("us"), F.col("row")], "_rank", "_n")
+    events = cut_lineage(ranked.select(
+        F.floor(F.col("_rank") / chunk_rows).cast("long").alias("chunk"), "us", "row", "pair"))
+    bounds = cut_lineage(events.groupBy("chunk").agg(F.min("us").alias("first_us")))
+    fold = _fold_chunk(limit, cooldown_us, window_us)
+    nothing = events.select("chunk", "us", "pair").limit(0)
+
+    def run(part: DataFrame, entry: DataFrame) -> DataFrame:
+        return cut_lineage(part.groupBy("chunk").cogroup(entry.groupBy("chunk")).applyInPandas(
+            fold, T.StructType([T.StructField("chunk", T.LongType()), events.schema["row"],
+                                T.StructField("us", T.LongType()), T.StructField("pair", T.StringType())])))
+
+    def entry_states(admitted: DataFrame) -> DataFrame:
+        """Admissions of earlier chunks that still matter when a chunk begins, one row each.
+        Chunks and admissions meet per reach-wide slot of time, each at most in two slots."""
+        slots = bounds.withColumn("_b", F.explode(F.array(
+            F.floor(F.col("first_us") / reach), F.floor(F.col("first_us") / reach) - 1)))
+        near = admitted.select(F.col("chunk").alias("_from"), "us", "pair", F.floor(F.col("us") / reach).alias("_b"))
+        return (slots.join(near, "_b").where((F.col("us") >= F.col("first_us") - reach) & (F.col("_from") < F.col("chunk")))
+                .select("chunk", "us", "pair"))
+
+    admitted, entry = run(events, nothing), nothing
+    while True:
+        now = cut_lineage(entry_states(admitted))
+        changed = cut_lineage(now.exceptAll(entry).unionByName(entry.exceptAll(now)).select("chunk").distinct())
+        if changed.isEmpty():
+            break
+        again = run(events.join(changed, "chunk"), now.join(changed, "chunk", "left_semi"))
+        admitted = cut_lineage(admitted.join(changed, "chunk", "left_anti").unionByName(again))
+        entry = now
+    passed = admitted.select(F.col("row").alias(row_id), F.lit(True).alias("admitted"))
+    return alerts.join(passed, row_id, "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+
+
 def suppression_stats(routed: DataFrame) -> DataFrame:
     """One row of counters over flows with severity, allow_rule and admitted (null: not checked)."""
     seconds = (F.max(micros(F.col("ts"))) - F.min(micros(F.col("ts")))) / 1e6

@@ -20,11 +20,6 @@ def collect_bounded(df: DataFrame, limit: int = GROUPS_COLLECTED):
     return rows if len(rows) <= limit else None
 
 
-def null_safe(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    condition = F.lit(True)
-    for name in columns:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
 
 
 def join_summary(df: DataFrame, summary: DataFrame, columns: list[str], how="inner") -> DataFrame:
