@@ -12,7 +12,7 @@ FORWARD, BACKWARD = 0, 1
 TCP, UDP = 6, 17
 
 
-def packet_flow_key(packets: DataFrame) -> DataFrame:
+def packet_flow_key(packets: DataFrame, keep=()) -> DataFrame:
     """Bidirectional key: the string-smaller address is side a; direction 0 runs from a to b."""
     has_ports = F.col("proto").isin(TCP, UDP)
     sport = F.when(has_ports, F.col("sport")).otherwise(0)
@@ -26,7 +26,7 @@ def packet_flow_key(packets: DataFrame) -> DataFrame:
         F.when(forward, sport).otherwise(dport).alias("port_a"),
         F.when(forward, dport).otherwise(sport).alias("port_b"),
         "proto",
-        F.when(forward, FORWARD).otherwise(BACKWARD).alias("direction"),
+        F.when(forward, FORWARD).otherwise(BACKWARD).alias("direction"), *keep,
     )
 
 
