@@ -138,6 +138,7 @@ def alert_cooldown(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S, ts
 def _fold_chunk(limit: int, cooldown_us: int, window_us: int):
     """Admission rule over one chunk of ordered alerts, continuing from the admissions handed in."""
     def fold(events: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        entry = entry.sort_values("us")
         recent = deque((int(u), k) for u, k in zip(entry["us"], entry["pair"]))
         last = {k: u for u, k in recent}
         admitted = []
@@ -182,7 +183,8 @@ def alert_rate_limit(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S,
     nothing = events.select("chunk", "us", "pair").limit(0)
 
     def run(part: DataFrame, entry: DataFrame) -> DataFrame:
-        return cut_lineage(part.groupBy("chunk").cogroup(entry.groupBy("chunk")).applyInPandas(
+        fresh = entry.select(F.col("chunk").alias("chunk"), "us", "pair")
+        return cut_lineage(part.groupBy("chunk").cogroup(fresh.groupBy("chunk")).applyInPandas(
             fold, T.StructType([T.StructField("chunk", T.LongType()), events.schema["row"],
                                 T.StructField("us", T.LongType()), T.StructField("pair", T.StringType())])))
 

@@ -146,15 +146,16 @@ def greedy_starts(events: DataFrame, keys: list[str], us: str, gap_us: int, stri
     island = F.sum(F.col("_root").cast("int")).over(timeline)
     buckets = buckets.withColumn("_island", island)
     by_island = Window.partitionBy(*keys, "_island")
-    buckets = buckets.withColumn(
-        "_long", apart(F.max("_last").over(by_island) - F.min("_first").over(by_island)))
+    buckets = buckets.withColumn("_until", F.max("_last").over(by_island))
+    buckets = buckets.withColumn("_long", apart(F.col("_until") - F.min("_first").over(by_island)))
     roots = buckets.where("_root").select(*keys, F.col("_first").alias("us"))
     if buckets.where("_long").limit(1).count() == 0:
         return roots
 
-    # successor of a node: first node at or past us + gap, found in the next bucket or the one after
-    active = join_summary(nodes, buckets.where("_long").select(*keys, "_b", "_after"), [*keys, "_b"])
-    probes = active.select(*keys, (F.col("us") + width).alias("_at"), (F.col("_b") + 1).alias("_b"),
+    # successor of a node: first node at or past us + gap, in the next bucket or the first one after
+    # it; a node whose successor would lie past the end of its island has none
+    active = join_summary(nodes, buckets.where("_long").select(*keys, "_b", "_after", "_until"), [*keys, "_b"])
+    probes = active.where(apart(F.col("_until") - F.col("us"))).select(*keys, (F.col("us") + width).alias("_at"), (F.col("_b") + 1).alias("_b"),
                            F.col("us").alias("_from"), "_after", F.lit(None).cast("long").alias("_node"))
     targets = active.select(*keys, F.col("us").alias("_at"), "_b", F.lit(None).cast("long").alias("_from"),
                             F.lit(None).cast("long").alias("_after"), F.col("us").alias("_node"))
@@ -166,7 +167,6 @@ def greedy_starts(events: DataFrame, keys: list[str], us: str, gap_us: int, stri
         .withColumn("_next", F.last("_node", ignorenulls=True).over(onward))
         .where(F.col("_from").isNotNull())
         .select(*keys, F.col("_from").alias("us"), F.coalesce("_next", "_after").alias("next"))
-        .where(F.col("next").isNotNull())
     )
     picked, jumps = cut_lineage(roots), cut_lineage(jumps)
     while True:
