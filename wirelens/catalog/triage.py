@@ -9,6 +9,7 @@ from wirelens.catalog.registry import oracle, query
 from wirelens.functions.text import normalize_action, normalize_severity, normalize_ws
 from wirelens.functions.time import iso_utc
 from wirelens.operators import lessons as L, triage as T
+from wirelens.session import cut_lineage
 from wirelens.sources import views
 
 V = ["v_hids", "v_lessons"]
@@ -209,12 +210,13 @@ sql("lesson_match", """SELECT h.id, s.ord, s.lesson_id, s.severity, s.action FRO
 
 @query("lesson_match_long_text")
 def _(spark, sf):
+    """Whole documents as logs of four rules, every passage a lesson of each rule."""
     docs = views.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("rule_id"),
-        F.lit(None).cast("string").alias("agent"), F.col("text").alias("full_log"))
+        F.col("doc_id").alias("id"), (F.col("doc_id") % 4).cast("string").alias("rule_id"),
+        F.lit("docs").alias("agent"), F.col("text").alias("full_log"))
     passages = views.table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("ord"), F.lit(None).cast("string").alias("rule_id"),
-        F.lit(None).cast("string").alias("agent"), F.array("text").alias("log_keywords"),
+        F.col("item_id").alias("ord"), F.explode(F.array(*[F.lit(str(i)) for i in range(4)])).alias("rule_id"),
+        F.lit("docs").alias("agent"), F.array("text").alias("log_keywords"),
         F.lit("noise").alias("severity"), F.lit("ignore").alias("action"), F.lit("authoritative").alias("status"))
     store = passages.withColumn("lesson_id", L.lesson_id())
     return (L.lesson_match(docs, store).where(F.col("lesson").isNotNull())
@@ -222,7 +224,7 @@ def _(spark, sf):
 
 
 oracle("lesson_match_long_text", [], f"""SELECT d.doc_id, min(item_id) AS item_id,
- arg_min({sha_id('NULL', 'NULL', '[b.text]', "'noise'", "'ignore'")}, item_id) AS lesson_id
+ arg_min({sha_id('CAST(d.doc_id % 4 AS VARCHAR)', "'docs'", '[b.text]', "'noise'", "'ignore'")}, item_id) AS lesson_id
  FROM documents d JOIN benchmark b ON contains(lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))),
  lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) GROUP BY d.doc_id""")
 
@@ -290,7 +292,7 @@ _ITEM = """'{"alert_id":"' || id || '","rule_id":"' || rule_id || '","agent":"'
 
 @query("review_items_json")
 def _(spark, sf):
-    items = T.review_items(T.relevant_entries(_queue(spark, sf)))
+    items = cut_lineage(T.review_items(T.relevant_entries(_queue(spark, sf))))
     return T.review_documents(items).withColumn("json", F.md5("json"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wirelens import constants as K
 from wirelens.functions.numeric import named, safe_div
 from wirelens.functions.time import micros
-from wirelens.operators.skew import greedy_starts, join_summary
+from wirelens.operators.skew import greedy_starts
 
 KEY = ["ip_a", "ip_b", "port_a", "port_b", "proto"]
 FORWARD, BACKWARD = 0, 1
@@ -13,12 +13,13 @@ TCP, UDP = 6, 17
 
 
 def packet_flow_key(packets: DataFrame, keep=()) -> DataFrame:
-    """Bidirectional key: the string-smaller address is side a; direction 0 runs from a to b."""
+    """Bidirectional key: the string-smaller address is side a; direction 0 runs from a to b.
+    Packets that are not IP (no addresses or protocol) are dropped, so key columns are never null."""
     has_ports = F.col("proto").isin(TCP, UDP)
-    sport = F.when(has_ports, F.col("sport")).otherwise(0)
-    dport = F.when(has_ports, F.col("dport")).otherwise(0)
+    sport = F.coalesce(F.when(has_ports, F.col("sport")), F.lit(0))
+    dport = F.coalesce(F.when(has_ports, F.col("dport")), F.lit(0))
     forward = F.col("src") <= F.col("dst")
-    return packets.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(
+    return packets.dropna(subset=["src", "dst", "proto"]).select(
         "pkt_id", micros(F.col("ts")).alias("us"), "size",
         F.when(F.col("proto") == TCP, F.col("flags")).otherwise(0).alias("flags"),
         F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("ip_a"),
@@ -86,7 +87,7 @@ def assign_flows(packets: DataFrame, idle_s: float = K.IDLE_TIMEOUT_S,
                          .withColumn("open_us", F.col("session_us"))
     own = (F.col("restart_us").isNotNull() & (F.col("us") >= F.col("restart_us")))
     carried = buckets.drop("packets", "first_us", "last_us", "session_us")
-    return (join_summary(keyed, carried, [*KEY, "bucket"])
+    return (keyed.join(carried, [*KEY, "bucket"])
             .withColumn("start_us", F.when(own, F.col("restart_us")).otherwise(F.col("open_us")))
             .drop("restart_us", "open_us"))
 
@@ -101,12 +102,12 @@ def _split_by_age(keyed: DataFrame, buckets: DataFrame, active_us: int, width: i
     whole = Window.partitionBy(*session)
     long_lived = buckets.withColumn("_end", F.max("last_us").over(whole)) \
         .where(F.col("_end") - F.col("session_us") > active_us).select(*KEY, "bucket", "session_us")
-    events = join_summary(keyed.select(*KEY, "bucket", "us"), long_lived, [*KEY, "bucket"])
+    events = keyed.select(*KEY, "bucket", "us").join(long_lived, [*KEY, "bucket"])
     starts = greedy_starts(events, session, "us", active_us, strict=True)
     restarts = (starts.where(F.col("us") > F.col("session_us"))
                 .select(*session, F.floor(F.col("us") / width).cast("long").alias("bucket"),
                         F.col("us").alias("restart_us")))
-    joined = join_summary(buckets, restarts, [*session, "bucket"], "left")
+    joined = buckets.join(restarts, [*session, "bucket"], "left")
     earlier = (Window.partitionBy(*session).orderBy("bucket")
                .rowsBetween(Window.unboundedPreceding, -1))
     return joined.withColumn(

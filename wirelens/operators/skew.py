@@ -37,20 +37,19 @@ def rank_within(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     """Exact 0-based rank inside each key, and the key's row count.
 
     ``bucket`` must rise with ``order``; rows are sorted per (key, bucket) and the
-    offset of a bucket is the running count of the key's earlier buckets.
+    offset of a bucket is the running count of the key's earlier buckets.  Keys travel as one
+    struct, whose equality takes null as a value, so the sort and the join share one shuffle.
     """
-    part = [*keys, bucket]
-    counts = df.groupBy(*part).agg(F.count("*").alias("_n"))
-    running = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.withColumn("_part", F.struct(*keys, F.col(bucket).alias("_bucket")))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", "_part.*", "_n")
+    running = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *part,
-        F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias(size),
-    )
-    local = df.withColumn("_pos", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
-    return (join_summary(local, offsets, part)
+        "_part", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias(size))
+    local = placed.withColumn("_pos", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return (local.join(offsets, "_part")
             .withColumn(rank, F.col("_before") + F.col("_pos") - 1)
-            .drop("_before", "_pos"))
+            .drop("_part", "_before", "_pos"))
 
 
 def _bracket(p: float, accuracy: int) -> tuple[float, float]:
@@ -126,56 +125,53 @@ def greedy_starts(events: DataFrame, keys: list[str], us: str, gap_us: int, stri
     The rule is a linked list over event times, so instead of folding a key in one task the
     list is followed by pointer doubling: log2(picks) equi-joins on (key, time), which stay
     even however hot a key is.  Keys that span less than the gap never enter the loop.
-    Returns one row (keys..., us) per pick.
+    Returns one row (keys..., us) per pick.  Null is a key value like any other.
     """
-    width = F.lit(gap_us)
     apart = (lambda d: d > gap_us) if strict else (lambda d: d >= gap_us)
-    nodes = events.groupBy(*keys, F.col(us).alias("us")).agg(F.lit(1).alias("_one")).drop("_one")
-    nodes = nodes.withColumn("_b", F.floor(F.col("us") / width).cast("long"))
+    nodes = events.select(F.struct(*keys).alias("_key"), F.col(us).alias("us")).distinct()
+    nodes = nodes.withColumn("_b", F.floor(F.col("us") / gap_us).cast("long"))
 
     # buckets are as wide as the gap, so a certain restart can only be the first event of a bucket
-    buckets = nodes.groupBy(*keys, "_b").agg(F.min("us").alias("_first"), F.max("us").alias("_last"))
-    timeline = Window.partitionBy(*keys).orderBy("_b")
+    buckets = nodes.groupBy("_key", "_b").agg(F.min("us").alias("_first"), F.max("us").alias("_last"))
+    timeline = Window.partitionBy("_key").orderBy("_b")
     quiet = F.col("_first") - F.lag("_last").over(timeline)
     adjacent = F.lead("_b").over(timeline) == F.col("_b") + 1
     buckets = buckets.select(
-        *keys, "_b", "_first", "_last",
-        (quiet.isNull() | apart(quiet)).alias("_root"),
-        F.when(adjacent, F.lead("_first", 2).over(timeline)).otherwise(F.lead("_first").over(timeline)).alias("_after"),
-    )
-    island = F.sum(F.col("_root").cast("int")).over(timeline)
-    buckets = buckets.withColumn("_island", island)
-    by_island = Window.partitionBy(*keys, "_island")
-    buckets = buckets.withColumn("_until", F.max("_last").over(by_island))
-    buckets = buckets.withColumn("_long", apart(F.col("_until") - F.min("_first").over(by_island)))
-    roots = buckets.where("_root").select(*keys, F.col("_first").alias("us"))
-    if buckets.where("_long").limit(1).count() == 0:
-        return roots
+        "_key", "_b", "_first", "_last", (quiet.isNull() | apart(quiet)).alias("_root"),
+        F.when(adjacent, F.lead("_first", 2).over(timeline)).otherwise(F.lead("_first").over(timeline)).alias("_after"))
+    island = Window.partitionBy("_key", "_island")
+    buckets = (buckets.withColumn("_island", F.sum(F.col("_root").cast("int")).over(timeline))
+               .withColumn("_until", F.max("_last").over(island))
+               .withColumn("_long", apart(F.col("_until") - F.min("_first").over(island))))
+    buckets = cut_lineage(buckets.select("_key", "_b", "_first", "_root", "_after", "_until", "_long"))
+    roots = buckets.where("_root").select("_key", F.col("_first").alias("us"))
+    if buckets.where("_long").isEmpty():
+        return roots.select("_key.*", "us")
 
     # successor of a node: first node at or past us + gap, in the next bucket or the first one after
     # it; a node whose successor would lie past the end of its island has none
-    active = join_summary(nodes, buckets.where("_long").select(*keys, "_b", "_after", "_until"), [*keys, "_b"])
-    probes = active.where(apart(F.col("_until") - F.col("us"))).select(*keys, (F.col("us") + width).alias("_at"), (F.col("_b") + 1).alias("_b"),
-                           F.col("us").alias("_from"), "_after", F.lit(None).cast("long").alias("_node"))
-    targets = active.select(*keys, F.col("us").alias("_at"), "_b", F.lit(None).cast("long").alias("_from"),
-                            F.lit(None).cast("long").alias("_after"), F.col("us").alias("_node"))
-    nodes_first = F.col("_node").isNull() if not strict else F.col("_node").isNotNull()
-    onward = (Window.partitionBy(*keys, "_b").orderBy(F.col("_at").desc(), nodes_first.cast("int"))
+    none = F.lit(None).cast("long")
+    active = nodes.join(buckets.where("_long").select("_key", "_b", "_after", "_until"), ["_key", "_b"])
+    probes = active.where(apart(F.col("_until") - F.col("us"))).select(
+        "_key", (F.col("us") + gap_us).alias("_at"), (F.col("_b") + 1).alias("_b"),
+        F.col("us").alias("_from"), "_after", none.alias("_node"))
+    targets = active.select("_key", F.col("us").alias("_at"), "_b", none.alias("_from"), none.alias("_after"),
+                            F.col("us").alias("_node"))
+    node_last = F.col("_node").isNotNull() if strict else F.col("_node").isNull()
+    onward = (Window.partitionBy("_key", "_b").orderBy(F.col("_at").desc(), node_last)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     jumps = (
         targets.unionByName(probes)
         .withColumn("_next", F.last("_node", ignorenulls=True).over(onward))
         .where(F.col("_from").isNotNull())
-        .select(*keys, F.col("_from").alias("us"), F.coalesce("_next", "_after").alias("next"))
-    )
-    picked, jumps = cut_lineage(roots), cut_lineage(jumps)
+        .select("_key", F.col("_from").alias("us"), F.coalesce("_next", "_after").alias("next")))
+    picked, jumps = roots, cut_lineage(jumps)
+    known = picked.count()
     while True:
-        reached = join_summary(picked, jumps, [*keys, "us"]).select(*keys, F.col("next").alias("us"))
-        grown = cut_lineage(picked.unionByName(reached).distinct())
-        if grown.count() == picked.count():
-            return grown
-        picked = grown
-        onward_jumps = jumps.select(*keys, F.col("us").alias("next"), F.col("next").alias("_far"))
-        jumps = cut_lineage(
-            join_summary(jumps, onward_jumps, [*keys, "next"])
-            .select(*keys, "us", F.col("_far").alias("next")))
+        reached = picked.join(jumps, ["_key", "us"]).select("_key", F.col("next").alias("us"))
+        picked = cut_lineage(picked.unionByName(reached).distinct())
+        before, known = known, picked.count()
+        if known == before:
+            return picked.select("_key.*", "us")
+        further = jumps.select("_key", F.col("us").alias("next"), F.col("next").alias("_far"))
+        jumps = cut_lineage(jumps.join(further, ["_key", "next"]).select("_key", "us", F.col("_far").alias("next")))

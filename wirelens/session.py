@@ -1,6 +1,7 @@
 """Session settings shared by jobs, tests and the benchmark."""
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,18 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Hand this package to the Python workers, for sessions not started with --py-files."""
+    context = spark.sparkContext
+    if not getattr(context, "_wirelens_shipped", False):
+        here = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="run-")
+        context.addPyFile(shutil.make_archive(
+            os.path.join(folder, "wirelens"), "zip", os.path.dirname(here), os.path.basename(here)))
+        context._wirelens_shipped = True
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor sees, as named by the cluster in spark.checkpoint.dir.
 

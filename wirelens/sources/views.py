@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from wirelens.functions.time import micros
-from wirelens.session import use_utc
+from wirelens.session import ship_package, use_utc
 
 AS_OF = datetime(2024, 1, 31)
 
@@ -27,7 +27,7 @@ ALLOW_RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship_package(use_utc(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _k():
