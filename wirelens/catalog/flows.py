@@ -221,12 +221,10 @@ oracle("feature_source_audit", V, " UNION ALL ".join(
 @query("feature_subset")
 def _(spark, sf):
     f = R.eve_features_78(views.eve_flow(spark, sf))
-    chosen = R.feature_subset(f, K.FEATURES_25, keep=["flow_id"])
     vector = F.array(*[named(n).cast("double") for n in K.FEATURES_78])
-    again = f.select("flow_id", R.subset_vector(vector).alias("v"))
-    return (chosen.join(again, "flow_id")
-            .select("flow_id", *[named(n).cast("double").alias(n) for n in K.FEATURES_25],
-                    *[F.col("v")[i].alias(f"at_{i}") for i in (0, 9, 24)]))
+    chosen = R.feature_subset(f.withColumn("_v", R.subset_vector(vector)), K.FEATURES_25, keep=["flow_id", "_v"])
+    return chosen.select("flow_id", *[named(n).cast("double").alias(n) for n in K.FEATURES_25],
+                         *[F.col("_v")[i].alias(f"at_{i}") for i in (0, 9, 24)])
 
 
 def _float_78(name):

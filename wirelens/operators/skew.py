@@ -57,20 +57,6 @@ def _bracket(p: float, accuracy: int) -> tuple[float, float]:
     return max(0.0, p - margin), min(1.0, p + margin)
 
 
-def _interpolate(counts: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
-    """Percentile from distinct values with counts; values below the bracket are one null row."""
-    running = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_first())
-    position = F.lit(p) * (F.col("_n") - 1)
-    return (
-        counts.withColumn("_seen", F.sum("_c").over(running))
-        .groupBy(*keys, "_n")
-        .agg(F.min(F.when(F.col("_seen") > F.floor(position), F.col(value))).alias("_lo"),
-             F.min(F.when(F.col("_seen") > F.ceil(position), F.col(value))).alias("_hi"))
-        .select(*keys, F.col("_n").alias("n"),
-                (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (position - F.floor(position))).alias(name))
-    )
-
-
 def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str,
                      accuracy: int = 100_000) -> DataFrame:
     """Exact interpolated percentile per key, without holding a key's values in one task.
@@ -79,21 +65,25 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, p: float, name:
     (about 4/accuracy of a large group) are sorted, everything below is just counted.
     """
     low, high = _bracket(p, accuracy)
-    df = df.select(*keys, value).where(F.col(value).isNotNull())
-    stats = df.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
-        F.percentile_approx(value, [low, high], accuracy).alias("_q"))
-    stats = stats.select(
-        *keys, "_n",
-        F.when(F.col("_n") <= accuracy, F.col("_min")).otherwise(F.col("_q")[0]).alias("_low"),
-        F.when(F.col("_n") <= accuracy, F.col("_max")).otherwise(F.col("_q")[1]).alias("_high"))
-    counts = (
-        join_summary(df, stats, keys)
-        .where(F.col(value) <= F.col("_high"))
-        .withColumn(value, F.when(F.col(value) >= F.col("_low"), F.col(value)))
-        .groupBy(*keys, "_n", value).agg(F.count("*").alias("_c"))
-    )
-    return _interpolate(counts, keys, value, p, name)
+    df = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_key"), F.col(value).alias("_v"))
+    stats = df.groupBy("_key").agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.percentile_approx("_v", [low, high], accuracy).alias("_q"))
+    small = F.col("_n") <= accuracy
+    stats = stats.select("_key", "_n", F.when(small, F.col("_min")).otherwise(F.col("_q")[0]).alias("_low"),
+                         F.when(small, F.col("_max")).otherwise(F.col("_q")[1]).alias("_high"))
+    # values below the bracket fall together into one null row per key, which sorts first
+    counts = (df.join(stats, "_key").where(F.col("_v") <= F.col("_high"))
+              .groupBy("_key", "_n", F.when(F.col("_v") >= F.col("_low"), F.col("_v")).alias("_v"))
+              .agg(F.count("*").alias("_c")))
+    running = Window.partitionBy("_key").orderBy(F.col("_v").asc_nulls_first())
+    position = F.lit(p) * (F.col("_n") - 1)
+    ranked = counts.withColumn("_seen", F.sum("_c").over(running)).groupBy("_key", "_n").agg(
+        F.min(F.when(F.col("_seen") > F.floor(position), F.col("_v"))).alias("_lo"),
+        F.min(F.when(F.col("_seen") > F.ceil(position), F.col("_v"))).alias("_hi"))
+    share = position - F.floor(position)
+    return ranked.select("_key.*", F.col("_n").alias("n"),
+                         (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias(name))
 
 
 def global_percentile(df: DataFrame, value: str, p: float, accuracy: int = 100_000):

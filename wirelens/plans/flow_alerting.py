@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wirelens import constants as K
 from wirelens.functions.numeric import total
 from wirelens.operators import preparation, routing, scoring
+from wirelens.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -37,9 +38,9 @@ def score_flows(features: DataFrame, model: AnomalyModel) -> DataFrame:
 
 def alert_flows(scored: DataFrame, rules, cooldown_s: float = K.ALERT_COOLDOWN_S) -> DataFrame:
     """Every flow with its allowlist rule and, where it raises an alert, whether the pair's
-    cooldown admits it.  Only the few alerting rows enter the cooldown step."""
+    cooldown admits it (null: not checked).  Only the few alerting rows are shuffled."""
     matched = routing.allowlist_match(scored, rules)
-    raises = F.col("allow_rule").isNull() & F.col("severity").isin("critical", "emergency")
-    alerts = matched.where(raises).select("flow_id", "ts", "src_ip", "dst_ip")
-    admitted = routing.alert_cooldown(alerts, cooldown_s).select("flow_id", "admitted")
-    return matched.join(admitted, "flow_id", "left")
+    raises = F.col("allow_rule").isNull() & F.coalesce(F.col("severity").isin("critical", "emergency"), F.lit(False))
+    alerts = cut_lineage(matched.where(raises))
+    quiet = matched.where(~raises).withColumn("admitted", F.lit(None).cast("boolean"))
+    return quiet.unionByName(routing.alert_cooldown(alerts, cooldown_s))
