@@ -54,13 +54,15 @@ def _(spark, sf):
 
 
 _SESSION = f"{KEY}, sess"
-oracle("flow_sessions_active", V, f"""SELECT {KEY}, start_us, max(us) AS end_us, count(*) AS packets FROM (
- SELECT s.* EXCLUDE (sess), max(c.t0) AS start_us FROM marked s JOIN chain c USING ({_SESSION}) WHERE c.t0 <= s.us GROUP BY ALL)
- GROUP BY {KEY}, start_us""", {
+AGED = {
     "keyed": KEYED, "marked": MARKED.replace(f"{IDLE_S}::BIGINT", f"{IDLE_S * 4}::BIGINT"),
     "chain": f"""SELECT {_SESSION}, min(us) AS t0 FROM marked GROUP BY ALL UNION ALL
  SELECT {_SESSION}, min(us) AS t0 FROM chain JOIN marked USING ({_SESSION})
- WHERE us > t0 + {ACTIVE_S}::BIGINT * 1000000 GROUP BY {_SESSION}, t0"""}, recursive=True)
+ WHERE us > t0 + {ACTIVE_S}::BIGINT * 1000000 GROUP BY {_SESSION}, t0""",
+    "aged": f"""SELECT {KEY}, start_us, max(us) AS end_us, count(*) AS packets FROM (
+ SELECT s.* EXCLUDE (sess), max(c.t0) AS start_us FROM marked s JOIN chain c USING ({_SESSION}) WHERE c.t0 <= s.us GROUP BY ALL)
+ GROUP BY {KEY}, start_us"""}
+oracle("flow_sessions_active", V, "SELECT * FROM aged", AGED, recursive=True)
 
 
 @query("flow_direction_totals")

@@ -3,6 +3,7 @@
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,7 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # call-site capture costs a JVM round trip per column expression; wide feature rows have hundreds
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.dataFrameQueryContext.enabled": "false",
@@ -67,6 +69,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new, unused folder path next to the checkpoints."""
+    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration step reliably, so a lost executor never replays the whole loop."""
     context = df.sparkSession.sparkContext

@@ -30,12 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship_package(use_utc(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream, with event times as instants so that they can carry a watermark."""
+    batch = table(spark, sf_dir, name)
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in batch.columns else stream
+
+
 def _k():
     return F.regexp_extract("props", "[0-9]+", 0).cast("int").alias("k")
 
 
-def packets(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def packets(spark, sf_dir, read=table) -> DataFrame:
+    e = read(spark, sf_dir, "events")
     user = F.col("user_id")
     reply = F.col("event_id") % 3 == 2
     client = F.concat(F.lit("10.0."), F.floor(user / 250).cast("string"), F.lit("."), (user % 250).cast("string"))
@@ -80,8 +87,8 @@ def eve_flow(spark, sf_dir) -> DataFrame:
         "pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient", "start_us", "end_us", "age")
 
 
-def ids_alerts(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "click"))
+def ids_alerts(spark, sf_dir, read=table) -> DataFrame:
+    e = read(spark, sf_dir, "events").where(F.col("event_type").isin("error", "click"))
     e = e.select("event_id", "ts", "user_id", _k())
     k = F.col("k")
     text = k.cast("string")
@@ -97,8 +104,8 @@ def ids_alerts(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("203.0.113."), (F.col("event_id") % 5).cast("string")).alias("dest_ip"))
 
 
-def hids(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", _k())
+def hids(spark, sf_dir, read=table) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", _k())
     k = F.col("k")
     return e.select(
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), "ts", (k % 17).alias("level"),
@@ -138,8 +145,8 @@ def labelled(spark, sf_dir) -> DataFrame:
         F.col("l_discount").alias("f2"), F.col("l_tax").alias("f3"))
 
 
-def predictions(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "value", _k())
+def predictions(spark, sf_dir, read=table) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", "ts", "value", _k())
     k = F.col("k")
     return e.select(
         "event_id", "ts",
