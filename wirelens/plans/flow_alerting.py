@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirelens import constants as K
-from wirelens.functions.numeric import total
+from wirelens.functions.numeric import named, total
 from wirelens.operators import preparation, routing, scoring
 from wirelens.session import cut_lineage
 
@@ -29,9 +29,15 @@ def fit_anomaly_model(features: DataFrame, benign: Column | None = None, p: floa
     return AnomalyModel(scaler, scoring.anomaly_threshold(scored, p=p))
 
 
+def _evaluated(df: DataFrame) -> DataFrame:
+    """The same rows, computed before anything above looks at them.  A filter on the score would
+    otherwise move below the features and repeat their expressions for every reference."""
+    return df.select(F.inline(F.array(F.struct(*[named(c) for c in df.columns]))))
+
+
 def score_flows(features: DataFrame, model: AnomalyModel) -> DataFrame:
-    """Raw features plus score, anomaly flag and severity; one projection, no shuffle."""
-    return (features.withColumn("score", _error(model.scaler))
+    """Raw features plus score, anomaly flag and severity; no shuffle."""
+    return (_evaluated(features.withColumn("score", _error(model.scaler)))
             .withColumn("anomaly", F.col("score") > model.threshold)
             .withColumn("severity", routing.severity_tier(F.col("score"), F.col("anomaly"), model.threshold)))
 
