@@ -28,7 +28,7 @@ from wirelens.llm import spans
 from wirelens.llm.common import parts_for, text_bytes
 from wirelens.session import ship_package
 
-CHUNK, GRAM, PIECE = 16 << 20, 16, 1 << 23
+CHUNK, BUCKET, GRAM, PIECE = 16 << 20, 8 << 20, 16, 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
 NO_ID = np.iinfo(np.int64).max  # a null id is smaller than none
 _SENT = "bucket int, chunk int, blob binary"
@@ -71,19 +71,17 @@ class Chunk:
     def __init__(self, table: pa.Table, length: int, gram: int):
         ids = table.column("doc_id").combine_chunks()
         self.ids = ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.texts, self.length, self.gram = table.column("text"), length, gram
-
-    def slices(self) -> Iterator[dict]:
-        for lo, hi, data, offsets in spans.slices(self.texts):
-            first, last, trigger = parse(data, offsets, self.length, self.gram)
+        self.length, self.slices = length, []
+        for lo, hi, data, offsets in spans.slices(table.column("text")):
+            first, last, trigger = parse(data, offsets, length, gram)
             hashed = spans.SpanHash(data)
-            yield {"lo": lo, "hi": hi, "data": data, "offsets": offsets, "first": first, "last": last, "trigger": trigger,
-                   "row": lo + np.searchsorted(offsets, first, "right") - 1,
-                   "key": hashed(trigger, trigger + self.gram), "phrase": hashed(first, last + self.length)}
+            self.slices.append({"data": data, "offsets": offsets, "first": first, "last": last, "trigger": trigger,
+                                "row": lo + np.searchsorted(offsets, first, "right") - 1,
+                                "key": hashed(trigger, trigger + gram), "phrase": hashed(first, last + length)})
 
     def triggers(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct triggers in rising order, and which of them several rows of the chunk have."""
-        pairs = [(s["key"], s["row"]) for s in self.slices()]
+        pairs = [(s["key"], s["row"]) for s in self.slices]
         key = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.uint64)
         row = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
         order = np.argsort(key, kind="stable")
@@ -120,12 +118,11 @@ def _shared(chunk: Chunk, answers: pa.Table, buckets: int) -> tuple[np.ndarray,
 
 def _phrases(chunk: Chunk, key: np.ndarray, shared: np.ndarray) -> tuple[list[dict], dict]:
     """The slices with their phrases of shared triggers, and the distinct ones of the chunk."""
-    kept = []
-    for s in chunk.slices():
+    kept = chunk.slices
+    for s in kept:
         use = shared[np.searchsorted(key, s["key"])] if len(s["key"]) else np.zeros(0, bool)
         for name in ("first", "last", "trigger", "row", "key", "phrase"):
             s[name] = s[name][use]
-        kept.append(s)
     gather = {name: np.concatenate([s[name] for s in kept]) if kept else np.zeros(0, np.uint64) for name in ("key", "phrase", "row")}
     order = np.lexsort((gather["phrase"], gather["key"]))
     k, p = gather["key"][order], gather["phrase"][order]
@@ -147,8 +144,15 @@ def dictionary_minimum(text: np.ndarray, lengths: np.ndarray, places: np.ndarray
     """
     ends = np.cumsum(lengths)
     begins = ends - lengths
-    hashed = spans.SpanHash(text)
-    phrase, trigger = hashed(begins, ends), hashed(begins + places, begins + places + gram)
+    phrase, trigger = np.empty(len(ends), np.uint64), np.empty(len(ends), np.uint64)
+    lo = 0
+    while lo < len(ends):  # hashes take eight times the bytes
+        hi = max(lo + 1, int(np.searchsorted(ends, begins[lo] + spans.SLICE, "right")))
+        hashed = spans.SpanHash(text[begins[lo]:ends[hi - 1]])
+        at = begins[lo:hi] - begins[lo]
+        phrase[lo:hi] = hashed(at, at + lengths[lo:hi])
+        trigger[lo:hi] = hashed(at + places[lo:hi], at + places[lo:hi] + gram)
+        lo = hi
     order = np.lexsort((phrase, trigger))
     p, t = phrase[order], trigger[order]
     fresh = np.ones(len(p), bool)
@@ -209,7 +213,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     ship_package(spark)
     size = text_bytes(docs, text)
-    chunks, buckets = parts_for(spark, size, CHUNK), parts_for(spark, size, 2 * CHUNK)
+    chunks, buckets = parts_for(spark, size, CHUNK), parts_for(spark, size, BUCKET)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
 
