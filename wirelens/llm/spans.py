@@ -111,22 +111,27 @@ class SuffixArray:
 
     ``codes`` are symbols, ``ends`` the end of the document of each position (no repeat crosses it).
     Documents are sorted apart from each other.  Only suffixes that still share their first 2**k
-    symbols are sorted again, and doubling ends early at ``limit`` symbols if it is given.  A code may
+    symbols are sorted again.  With a ``limit`` doubling ends before more symbols than that are compared, and
+    only the last ranks are kept.  A code may
     stand for the next ``unit`` symbols; then only the ranks of suffixes that long are meaningful.
     """
 
     def __init__(self, codes: np.ndarray, ends: np.ndarray, limit: int | None = None, by_document: bool = True, unit: int = 1):
         n = len(codes)
         self.ends, self.levels = ends, []
-        major = ends if by_document else np.zeros(n, np.int64)
-        order = np.lexsort((codes, major))
+        order = np.lexsort((codes, ends)) if by_document else np.argsort(codes, kind="stable")
         fresh = np.ones(n, bool)
         if n:
-            fresh[1:] = (codes[order[1:]] != codes[order[:-1]]) | (major[order[1:]] != major[order[:-1]])
+            ranked = codes[order]
+            fresh[1:] = ranked[1:] != ranked[:-1]
+            if by_document:
+                fresh[1:] |= ends[order[1:]] != ends[order[:-1]]
+            del ranked
         rank = np.empty(n, np.int64)
         start, shared = _dense(order, fresh, np.arange(n))
         rank[order] = start
         live, width = order[shared], unit
+        del order, fresh, start, shared
         self.levels.append(rank)
         while len(live) and (limit is None or 2 * width <= limit):
             rank = rank.copy()
@@ -146,8 +151,11 @@ class SuffixArray:
             start, shared = _dense(live, fresh, place)
             rank[live] = start
             live, width = live[shared], 2 * width
+            if limit is not None:
+                self.levels.clear()
             self.levels.append(rank)
-        self.order = np.argsort(self.levels[-1], kind="stable")
+        self.width = width  # symbols that the last ranks tell apart
+        self.order = np.argsort(rank, kind="stable") if limit is None else None
 
     def common_prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Symbols that the suffixes at ``a`` and ``b`` share at their beginning."""

@@ -28,7 +28,7 @@ from wirelens.llm import spans
 from wirelens.llm.common import parts_for, text_bytes
 from wirelens.session import ship_package
 
-CHUNK, BUCKET, GRAM, PIECE = 16 << 20, 8 << 20, 16, 1 << 23
+CHUNK, BUCKET, GRAM, PIECE = 8 << 20, 4 << 20, 16, 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
 NO_ID = np.iinfo(np.int64).max  # a null id is smaller than none
 _SENT = "bucket int, chunk int, blob binary"
@@ -180,8 +180,7 @@ def dictionary_minimum(text: np.ndarray, lengths: np.ndarray, places: np.ndarray
         for i in range(8):
             codes = (codes << np.uint64(8)) | padded[i:i + len(symbols)].astype(np.uint64)
         sorted_to = spans.SuffixArray(codes, np.repeat(out_ends, own), limit=length, by_document=False, unit=8)
-        width = 8 << (len(sorted_to.levels) - 1)
-        rank = sorted_to.levels[-1]
+        width, rank = sorted_to.width, sorted_to.levels[-1]
         count = n_windows[odd]
         at = np.repeat(out_begins, count) + spans.ragged(count)
         tail = at + max(length - width, 0)
