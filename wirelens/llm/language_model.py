@@ -26,7 +26,7 @@ from wirelens.llm.common import file_system, parts_for, publish, text_bytes
 from wirelens.session import scratch_folder, ship_package
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # the marks around a text; words have 64-bit hashes
-HELD, BUCKET = 4_000_000, 16 << 20  # tokens a task counts before it sends; bytes of text per bucket
+HELD, BUCKET = 2_500_000, 16 << 20  # tokens a task counts before it sends; bytes of text per bucket
 SENT = "kind string, bucket int, blob binary, stats array<long>"
 
 
@@ -77,13 +77,18 @@ def from_blob(raw: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def added_up(key: np.ndarray, symbols: list[np.ndarray], sums: list[np.ndarray]):
-    """Rows of one key made one: sorted keys, their symbols, added numbers."""
+def added_up(key: np.ndarray, symbols: list[np.ndarray], sums: list[np.ndarray] | None):
+    """Rows of one key made one: sorted keys, their symbols, added numbers (None: the number of rows)."""
     by = np.argsort(key, kind="stable")
     key = key[by]
-    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    add = [np.add.reduceat(s[by].astype(np.int64), begin) if len(begin) else s[by].astype(np.int64) for s in sums]
-    return key[begin], [s[by][begin] for s in symbols], add
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    begin = np.flatnonzero(fresh)
+    if sums is None:
+        add = [np.diff(np.append(begin, len(key)))]
+    else:
+        add = [np.add.reduceat(s[by].astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64) for s in sums]
+    return key[begin], [s[by[begin]] for s in symbols], add
 
 
 def parcels(kind: str, key: np.ndarray, columns: list[np.ndarray], buckets: int, by: np.ndarray | None = None) -> list[tuple]:
@@ -161,10 +166,12 @@ def fit(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
 
         def counted():
             columns = [np.concatenate([h[i] for h in held]) for i in range(order)]
-            word, _, (c,) = added_up(columns[-1], [], [np.ones(len(columns[-1]), np.int64)])
+            held.clear()
+            word, _, (c,) = added_up(columns[-1], [], None)
             yield from as_table(parcels("words", spans.mix(word), [word, c], buckets, word)).to_batches()
             if order > 1:
-                _, own, (c,) = added_up(chain(columns), columns, [np.ones(len(columns[0]), np.int64)])
+                _, own, (c,) = added_up(chain(columns), columns, None)
+                columns.clear()
                 yield from as_table(parcels(f"grams{order}", chain(own), [*own, c], buckets, own[0])).to_batches()
         for batch in batches:
             for _, _, data, offsets in spans.slices(batch.column(0)):
@@ -174,7 +181,7 @@ def fit(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
                 n += len(at)
                 if n >= HELD:
                     yield from counted()
-                    held, n = [], 0
+                    n = 0
         if held:
             yield from counted()
 
@@ -197,7 +204,7 @@ def fit(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
             if k > 1:
                 context, _, numbers = added_up(chain(own[:-1]), [], [c, c == 1, c == 2, c > 2])
                 rows += parcels(f"contexts{k}", context, [context, *numbers], buckets)
-                _, lower, (left,) = added_up(chain(own[1:]), own[1:], [np.ones(len(c), np.int64)])
+                _, lower, (left,) = added_up(chain(own[1:]), own[1:], None)
                 rows += parcels(f"grams{k - 1}", chain(lower), [*lower, left], buckets, lower[0])
         fs, base = file_system(folder)
         raw = to_blob([key, *map(narrow, sums)])
@@ -257,7 +264,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in spans.slices(batch.column(0), 4 * spans.SLICE):
+            for lo, hi, data, offsets in spans.slices(batch.column(0)):
                 symbols, of, token = streams(data, offsets, model.order)
                 at, n = np.flatnonzero(token), hi - lo
                 doc = of[at]
