@@ -205,7 +205,7 @@ FROM paths p LEFT JOIN fits f ON p.page_id = f.page_id AND p.url IS NOT DISTINCT
 
 @query("op9_url_filters", SQL_9)
 def op9(spark, sf_dir):
-    judged = url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), RULES)
+    judged = url_rules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), spark.read.parquet(f"{sf_dir}/labels.parquet"), RULES)
     return judged.select("row.page_id", "host", "path", "rule", "verdict")
 
 
