@@ -175,7 +175,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({
                         "doc_id": pa.array(names, pa.int64()), "start": begins[lo:span.stop] + row["base"],
                         "n_tokens": (ends - begins)[lo:span.stop], "ids_crc32": pa.array(crc, pa.int64())})
-    spread = placed.repartition(F.col("part"))
+    spread = placed.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")  # kept apart, small as the rows are
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
