@@ -25,34 +25,45 @@ class WordEncoder:
         self.forget()
 
     def forget(self):
-        self.slot, self.flat, self.begin, self.used = {}, np.zeros(1 << 16, np.uint32), [0], 0
+        """The memory: sorted word hashes, where the ids of each word begin and how many there are."""
+        self.hashes, self.begin, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
 
-    def learn(self, hashes: list[int], texts: list[str]):
-        for h, encoded in zip(hashes, self.many(texts, add_special_tokens=False)):
-            ids = encoded.ids
+    def learn(self, hashes: np.ndarray, texts: list[str]):
+        """Encode new words, given in rising order of their hashes."""
+        begin, length = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+        for lo in range(0, len(texts), 5_000):
+            found = [e.ids for e in self.many(texts[lo:lo + 5_000], add_special_tokens=False)]
+            sizes = np.array([len(ids) for ids in found], np.int64)
+            ids = np.fromiter((i for each in found for i in each), np.uint32, int(sizes.sum()))
+            if len(ids) and ids.max() > np.iinfo(self.flat.dtype).max:
+                self.flat = self.flat.astype(np.uint32)
             if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), self.flat.dtype)])
             self.flat[self.used:self.used + len(ids)] = ids
+            length[lo:lo + len(sizes)] = sizes
+            begin[lo:lo + len(sizes)] = self.used + np.cumsum(sizes) - sizes
             self.used += len(ids)
-            self.slot[h] = len(self.begin) - 1
-            self.begin.append(self.used)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.begin, self.length = (np.insert(old, at, new) for old, new in (
+            (self.hashes, hashes), (self.begin, begin), (self.length, length)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents of a slice, their offsets)."""
         starts, ends, doc = spans.words(data, offsets)
-        if len(self.slot) > REMEMBERED:
+        if len(self.hashes) > REMEMBERED:
             self.forget()
         each, where, back = np.unique(spans.SpanHash(data)(starts, ends), return_index=True, return_inverse=True)
-        known = each.tolist()
-        unknown = [i for i, h in enumerate(known) if h not in self.slot]
-        for lo in range(0, len(unknown), 20_000):
-            part = unknown[lo:lo + 20_000]
-            self.learn([known[i] for i in part],
-                       [data[starts[where[i]]:ends[where[i]]].tobytes().decode() for i in part])
-        slots = np.array([self.slot[h] for h in known], np.int64)[back] if known else np.zeros(0, np.int64)
-        begin = np.array(self.begin, np.int64)
-        lengths = begin[slots + 1] - begin[slots]
-        ids = self.flat[np.repeat(begin[slots], lengths) + spans.ragged(lengths)]
+        if len(each):
+            at = np.searchsorted(self.hashes, each)
+            fresh = np.ones(len(each), bool)
+            inside = at < len(self.hashes)
+            fresh[inside] = self.hashes[at[inside]] != each[inside]
+            new = np.flatnonzero(fresh)
+            self.learn(each[new], [data[a:b].tobytes().decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
+        slots = np.searchsorted(self.hashes, each)[back] if len(each) else np.zeros(0, np.int64)
+        lengths = self.length[slots]
+        ids = self.flat[np.repeat(self.begin[slots], lengths) + spans.ragged(lengths)]
         total = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(lengths, out=total[1:])
         return ids, total[np.searchsorted(doc, np.arange(len(offsets)))]
