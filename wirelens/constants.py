@@ -74,11 +74,11 @@ LOKI_BATCH_SIZE = 50
 
 # --- fixed values: intrusion-detection signature ids -------------------------
 INFRA_SIDS = {
-    2016149: "Tailscale STUN Request",
-    2016150: "Tailscale STUN Response",
-    2033966: "Telegram DNS (OpenClaw bot)",
-    2033967: "Telegram TLS (OpenClaw bot)",
-    2047122: "Cloudflare Tunnel DNS (cloudflared)",
+    2016149: "STUN request",
+    2016150: "STUN response",
+    2033966: "messenger DNS",
+    2033967: "messenger TLS",
+    2047122: "tunnel DNS",
 }
 STREAM_SIDS = [2210020, 2210029, 2210044, 2210045, 2210063, 2200011, 2200022, 2260003]
 
