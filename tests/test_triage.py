@@ -162,9 +162,10 @@ def test_cascade(spark, trojan):
 
 def test_watermarks(spark):
     df = spark.createDataFrame([(f"{i:03d}",) for i in range(30)], "id string")
-    assert rows(T.new_since_id(df, "004")) == [(f"{i:03d}",) for i in range(5, 15)]
+    assert rows(T.new_since_id(df, "004", 10)) == [(f"{i:03d}",) for i in range(5, 15)]
     assert rows(T.new_since_id(df, None, 3)) == [("027",), ("028",), ("029",)]
-    assert T.advance_watermark(T.new_since_id(df, "004"), "id", "004").first().mark == "014"
+    assert T.advance_watermark(T.new_since_id(df, "004", 10), "id", "004").first().mark == "014"
+    assert T.new_since_id(df, "004").count() == 25 and T.new_since_id(df, None).count() == 30
     assert T.advance_watermark(df.limit(0), "id", "004").first().mark == "004"
 
 

@@ -123,7 +123,7 @@ def _(spark, sf):
 
 
 oracle("sent_keys_update", V, f"""SELECT key, max(ts) AS last_ts FROM keyed WHERE ts < {CUT}
- OR key NOT IN (SELECT key FROM keyed WHERE ts < {CUT}) GROUP BY key ORDER BY last_ts DESC, key LIMIT 500""", _KEYED)
+ OR key NOT IN (SELECT key FROM keyed WHERE ts < {CUT}) GROUP BY key""", _KEYED)
 
 
 @query("notify_digest")

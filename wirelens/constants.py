@@ -95,7 +95,6 @@ REVIEW_REASONS = {
     "STREAM_NOISE": "TCP/protocol analysis artifact",
 }
 STREAM_MARKERS = ["SURICATA STREAM", "SURICATA Applayer", "SURICATA IPv"]
-SENT_KEYS_KEPT = 500
 
 # --- fixed values: host-alert triage vocabulary -------------------------------
 SEVERITIES = ["critical", "high", "medium", "low", "noise"]
@@ -110,5 +109,3 @@ ALERT_DATA_KEYS = ["srcip", "dstip", "srcport", "dstport", "title", "file", "com
 REVIEW_ANSWER_KEYS = ["verifications", "results", "items", "alerts"]
 PROMOTION_THRESHOLD = 3
 LESSON_MAX_AGE_DAYS = 90
-TRIAGE_MAX_PER_RUN = 10
-LOG_CHARS_KEPT = 300

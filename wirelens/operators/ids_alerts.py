@@ -42,10 +42,10 @@ def severity_filter(alerts: DataFrame, severity: int) -> DataFrame:
 
 
 def sid_suppress(alerts: DataFrame, sids) -> DataFrame:
-    """Drop listed signature ids: a list becomes a set test, a table an anti-join."""
+    """Drop listed signature ids: a list becomes a set test, a table an anti-join.  A null id is not listed."""
     if isinstance(sids, DataFrame):
         return alerts.join(sids.select("sid").distinct(), "sid", "left_anti")
-    return alerts.where(~F.col("sid").isin(*sids)) if sids else alerts
+    return alerts.where(F.col("sid").isNull() | ~F.col("sid").isin(*sids)) if sids else alerts
 
 
 def sid_rate_limit(alerts: DataFrame, limits: list[tuple[int, int, int]]) -> DataFrame:
@@ -62,7 +62,7 @@ def sid_rate_limit(alerts: DataFrame, limits: list[tuple[int, int, int]]) -> Dat
     kept = (listed.withColumn("_slot", slot).withColumn("_place", place)
             .where(F.col("_place") <= max(c for _, c, _ in limits))
             .where(F.col("_place") <= count).drop("_slot", "_place"))
-    return alerts.where(~F.col("sid").isin(*[s for s, _, _ in limits])).unionByName(kept)
+    return alerts.where(F.col("sid").isNull() | ~F.col("sid").isin(*[s for s, _, _ in limits])).unionByName(kept)
 
 
 def classify_notify() -> Column:
@@ -96,12 +96,15 @@ def dedup_sent(alerts: DataFrame, sent: DataFrame) -> DataFrame:
     return alerts.withColumn("key", alert_key()).join(sent.select("key"), "key", "left_anti")
 
 
-def sent_keys_update(sent: DataFrame, new_alerts: DataFrame, keep: int = K.SENT_KEYS_KEPT) -> DataFrame:
-    """Key store (key, last_ts) after a run: the ``keep`` most recent keys, ties by key."""
+def sent_keys_update(sent: DataFrame, new_alerts: DataFrame, since=None, keep: int | None = None) -> DataFrame:
+    """Key store (key, last_ts) after a run: every key seen so far.  ``since`` forgets keys last seen
+    before it, ``keep`` all but so many most recent ones (ties by key); their alerts are sent again."""
     fresh = new_alerts.select(alert_key().alias("key"), F.col("ts").alias("last_ts"))
-    return (sent.select("key", "last_ts").unionByName(fresh)
-            .groupBy("key").agg(F.max("last_ts").alias("last_ts"))
-            .orderBy(F.col("last_ts").desc(), "key").limit(keep))
+    store = (sent.select("key", "last_ts").unionByName(fresh)
+             .groupBy("key").agg(F.max("last_ts").alias("last_ts")))
+    if since is not None:
+        store = store.where(F.col("last_ts") >= since)
+    return store if keep is None else store.orderBy(F.col("last_ts").desc(), "key").limit(keep)
 
 
 def notify_digest(alerts: DataFrame, top: int = 5) -> DataFrame:

@@ -8,9 +8,10 @@ from wirelens.operators.lessons import lesson_match
 from wirelens.operators.skew import rank_within
 
 
-def compact_alert(raw: DataFrame, log_chars: int | None = K.LOG_CHARS_KEPT) -> DataFrame:
+def compact_alert(raw: DataFrame, log_chars: int | None = None) -> DataFrame:
     """Nested host alert to the flat form that is queued: id plus one column per kept field.
-    Optional data keys are null where absent.  ``log_chars=None`` keeps whole logs."""
+    Optional data keys are null where absent.  Logs stay whole, since lessons match
+    anywhere in them; ``log_chars`` cuts them for display."""
     log = F.coalesce(F.col("full_log"), F.lit(""))
     return raw.select(
         "id", F.substring(F.coalesce("timestamp", F.lit("")), 1, 19).alias("ts"),
@@ -22,12 +23,13 @@ def compact_alert(raw: DataFrame, log_chars: int | None = K.LOG_CHARS_KEPT) -> D
         *[F.element_at("data", k).alias(k) for k in K.ALERT_DATA_KEYS])
 
 
-def new_since_id(alerts: DataFrame, last_id: str | None, cap: int = K.TRIAGE_MAX_PER_RUN) -> DataFrame:
-    """Alerts after ``last_id`` in id order, at most ``cap`` (the rest wait for the next run);
-    without a last id the newest ``cap``."""
-    if last_id is None:
-        return alerts.orderBy(F.col("id").desc()).limit(cap)
-    return alerts.where(F.col("id") > last_id).orderBy("id").limit(cap)
+def new_since_id(alerts: DataFrame, last_id: str | None, cap: int | None = None) -> DataFrame:
+    """Alerts after ``last_id``, all of them without one.  With a ``cap`` only the first ones in id order
+    (the rest wait for the next run), and without a last id the newest ones."""
+    fresh = alerts if last_id is None else alerts.where(F.col("id") > last_id)
+    if cap is None:
+        return fresh
+    return fresh.orderBy(F.col("id").desc() if last_id is None else F.col("id")).limit(cap)
 
 
 def advance_watermark(processed: DataFrame, column: str, before: str | None) -> DataFrame:
