@@ -1,5 +1,6 @@
 """Scoring and evaluation of class and anomaly models."""
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -83,6 +84,7 @@ _LOADED: dict = {}
 
 def _load_once(key: str, load: Callable):
     if key not in _LOADED:
+        _LOADED.clear()  # one model at a time
         _LOADED[key] = load()
     return _LOADED[key]
 
@@ -90,7 +92,9 @@ def _load_once(key: str, load: Callable):
 def score_model_udf(df: DataFrame, load: Callable[[], Callable], key: str, vector: str,
                     classes: list[str]) -> DataFrame:
     """The same outputs for any vectorised model.  ``load()`` returns ``fn(matrix) -> logits`` and
-    runs once per Python worker; batches arrive as Arrow."""
+    runs once per Python worker and call of this function, so a newer model under the same ``key`` is
+    never mistaken for an older one; batches arrive as Arrow."""
+    key = f"{key}-{uuid.uuid4().hex}"
     schema = T.StructType([T.StructField("class_id", T.IntegerType()), T.StructField("confidence", T.DoubleType()),
                            T.StructField("prediction", T.StringType()),
                            T.StructField("probabilities", T.ArrayType(T.DoubleType()))])
