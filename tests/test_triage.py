@@ -47,16 +47,40 @@ def test_whitespace_in_log_and_keyword(spark):
     assert wide.select(normalize_ws(F.col("t"))).first()[0] == "a b"
 
 
-@pytest.mark.parametrize("per_array", [500, 3])
-def test_first_lesson_of_a_long_pattern_group(spark, monkeypatch, per_array):
-    monkeypatch.setattr(L, "LESSONS_PER_ARRAY", per_array)
+def test_first_lesson_of_a_long_pattern_group(spark):
     store = lesson(spark, lesson_id="x0", ord=0, status="authoritative", log_keywords=["absent"])
-    for i in range(1, 9):
-        store = store.unionByName(lesson(spark, lesson_id=f"x{i}", ord=i, status="authoritative", log_keywords=[f"w{i}"]))
-    alerts = spark.createDataFrame([("1", "510", "pi0", "w7 w5 w8", 1, None), ("2", "510", "pi0", "none", 1, None),
-                                    ("3", "511", "pi0", "w5", 1, None)], ALERT)
-    got = rows(L.lesson_match(alerts, store).select("id", "lesson.lesson_id"))
-    assert got == [("1", "x5"), ("2", None), ("3", None)]
+    store = store.unionByName(store.crossJoin(spark.range(1, 700)).withColumns({
+        "ord": F.col("id"), "lesson_id": F.concat(F.lit("x"), "id"),
+        "log_keywords": F.array(F.concat(F.lit("w"), "id"))}).drop("id"))
+    logs = [("1", "510", "w7 w5 w8"), ("2", "510", "none"), ("3", "511", "w5"), (None, "510", "w650 x"), ("1", "510", "quiet"),
+            ("1", "510", "w7 w5 w8"), ("4", "510", None), ("5", None, "w5")]
+    alerts = spark.createDataFrame([(i, rule, "pi0", log, 1, None) for i, rule, log in logs], ALERT)
+    got = L.lesson_match(alerts, store)
+    assert rows(got.select("id", "full_log", "lesson.lesson_id")) == rows(spark.createDataFrame(
+        [("1", "w7 w5 w8", "x5"), ("2", "none", None), ("3", "w5", None), (None, "w650 x", "x6"), ("1", "quiet", None),
+         ("1", "w7 w5 w8", "x5"), ("4", None, None), ("5", "w5", None)], "a string, b string, c string"))
+
+
+def test_lesson_match_against_brute_force(spark):
+    words = ["a", "ab", "abc", "abcd", "xabcdy", "café", "日本語", "日本語テキスト", "net stat", "one two three", "two  Three four",
+             " ab ", "", "ee tw", "𝒳𝒴𝒵𝒲 end", "c d"]
+    patterns = [[w] for w in words] + [[words[i], words[(i * 7 + 3) % len(words)]] for i in range(len(words))]
+    logs = [None, "", "x", "one two three four", "netstat net  stat", "zabcdz", "XABCDY ab", "日本語テキスト", "café ab", "abc\td",
+            "𝒳𝒴𝒵𝒲 end", "abc d e"] + words
+    store = lesson(spark).limit(0)
+    one = lesson(spark, status="authoritative").drop("ord", "lesson_id", "log_keywords")
+    listed = spark.createDataFrame([(i, f"{i}", p) for i, p in enumerate(reversed(patterns))],
+                                   "ord long, lesson_id string, log_keywords array<string>")
+    store = store.unionByName(one.crossJoin(listed))
+    store = store.where("lesson_id <> '19'")  # the pattern without a keyword would hide later ones
+    held = {int(r.lesson_id): r.log_keywords for r in store.collect()}
+    alerts = spark.createDataFrame([(f"{i}", "510", "pi0", log, 1, None) for i, log in enumerate(logs)], ALERT)
+
+    def flat(t):
+        return " ".join((t or "").split()).lower()
+    want = [min((k for k, p in held.items() if all(flat(w) in flat(log) for w in p)), default=None) for log in logs]
+    got = {int(r.id): r.lesson and int(r.lesson.lesson_id) for r in L.lesson_match(alerts, store).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) > 8
 
 
 def lesson_ids(spark, *patterns):
@@ -160,6 +184,18 @@ def test_cascade(spark, trojan):
     assert judge(alert(spark, "x", level=16)) == ("fallback-error", "low", "log")
 
 
+def test_model_is_asked_on_misses_only(spark, trojan):
+    both = alert(spark, "trojaned version generic").drop("model_text").unionByName(alert(spark, "x").drop("model_text"))
+    asked = []
+
+    def ask(misses):
+        asked.extend(r.full_log for r in misses.collect())
+        return misses.withColumn("model_text", F.lit("SEVERITY: low\nACTION: log"))
+    got = T.classify_cascade(both, trojan, ask=ask)
+    assert rows(got.select("full_log", "classifier")) == [("trojaned version generic", "lesson-cache"), ("x", "model")]
+    assert asked == ["x"]
+
+
 def test_watermarks(spark):
     df = spark.createDataFrame([(f"{i:03d}",) for i in range(30)], "id string")
     assert rows(T.new_since_id(df, "004", 10)) == [(f"{i:03d}",) for i in range(5, 15)]
@@ -180,6 +216,7 @@ def test_review_answers(spark):
         alert(spark, "x").withColumns({"ts": F.lit("t"), "description": F.lit("d")}), lesson(spark).limit(0)),
         F.lit("2026-01-01T00:00:00Z"))
     found = T.review_disagreements(got.where("i = 0"), entries).first()
-    assert (found.log_keywords, found.severity, found.action, found.rule_id) == (["a", "b", "c"], "high", "log", "510")
+    assert (found.log_keywords, found.severity, found.action, found.rule_id) == (["a", "b", "c", "d"], "high", "log", "510")
+    assert T.review_disagreements(got.where("i = 0"), entries, most_words=3).first().log_keywords == ["a", "b", "c"]
     agree = got.where("i = 0").withColumn("correct_action", F.lit("escalate"))
     assert T.review_disagreements(agree, entries).count() == 0

@@ -338,7 +338,7 @@ def _observed(spark, sf):
     return T.review_disagreements(answers, _queue(spark, sf), keep=["response_id"])
 
 
-_OBSERVED = {**_ANSWERS, "observed": f"""SELECT a.alert_id, j.rule_id, j.agent, ['k=' || a.k, 'rule', 'check'] AS log_keywords,
+_OBSERVED = {**_ANSWERS, "observed": f"""SELECT a.alert_id, j.rule_id, j.agent, ['k=' || a.k, 'rule', 'check', 'x'] AS log_keywords,
  s AS severity, correct_action AS action, reason FROM (SELECT *, {vocab('correct_severity', K.SEVERITIES)} AS s FROM answers) a
  JOIN judged j ON j.id = a.alert_id WHERE s IS NOT NULL AND a.k % 7 <> 0
  AND NOT (s = j.severity AND correct_action = j.action)"""}

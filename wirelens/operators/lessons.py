@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wirelens import constants as K
 from wirelens.functions.text import matching_text, normalize_ws
-from wirelens.operators.skew import join_summary
 
 COLUMNS = ["lesson_id", "ord", "status", "source", "promotion_count", "promotion_threshold", "rule_id", "agent",
            "log_keywords", "severity", "action", "reason", "created_at", "last_seen_at", "last_promoted_at", "hits"]
 PENDING, AUTHORITATIVE = "pending", "authoritative"
-LESSONS_PER_ARRAY = 500
 
 
 def iso(moment: datetime) -> str:
@@ -34,34 +32,65 @@ def lesson_id(rule_id="rule_id", agent="agent", keywords="log_keywords", severit
     return F.substring(F.sha1(payload.cast("binary")), 1, 16)
 
 
+WORDS, RUNS = 0, (4, 2, 1)  # kinds of pieces: inner words, else runs of so many characters inside words
+
+
+def _pieces(text: str, kind: int) -> str:
+    """SQL of the pieces of a normalised text.  A text that contains another has all runs of it, and all its
+    words but the outer two."""
+    return f"split({text}, ' ')" if kind == WORDS else f"regexp_extract_all({text}, '(?=([^ ]{{{kind}}}))', 1)"
+
+
+def _kind() -> Column:
+    """Which pieces of the keywords stand for a lesson; null for one without keywords."""
+    runs = " ".join(f"WHEN exists(lesson.words, w -> w RLIKE '[^ ]{{{n}}}') THEN {n}" for n in RUNS)
+    return F.expr(f"CASE WHEN exists(lesson.words, w -> size(split(w, ' ')) > 2) THEN {WORDS} {runs} END")
+
+
+def _anchors(held: DataFrame) -> DataFrame:
+    """Per lesson with keywords the one ``_piece`` that the fewest lessons of its rule and agent have."""
+    inner = "slice(split(w, ' '), 2, greatest(size(split(w, ' ')) - 2, 0))"
+    choice = " ".join(f"WHEN {n} THEN flatten(transform(lesson.words, w -> {_pieces('w', n)}))" for n in RUNS)
+    found = F.expr(f"CASE _kind WHEN {WORDS} THEN flatten(transform(lesson.words, w -> {inner})) {choice} END")
+    listed = held.select("_of", "lesson", F.explode(F.array_distinct(found)).alias("_piece"))
+    shared = listed.groupBy("_of", "_piece").agg(F.count("*").alias("_n"))
+    return (listed.join(shared, ["_of", "_piece"]).groupBy("_of", "lesson")
+            .agg(F.xxhash64(F.min(F.struct("_n", "_piece")).getField("_piece")).alias("_piece")))
+
+
 def lesson_match(alerts: DataFrame, lessons: DataFrame, status: str | None = AUTHORITATIVE,
-                 log: str = "full_log", alert_id: str = "id") -> DataFrame:
+                 log: str = "full_log") -> DataFrame:
     """Alerts with ``lesson``: the first lesson of the store with the same rule and agent (null
     equals null) whose keywords all occur in the log.  Null where none matches.
 
-    Lessons of one (rule, agent) travel as an ordered array, so an alert meets them in place and
-    is never multiplied.  A pattern group too long for one array is dealt over several, and the
-    best of each alert's partial answers is kept.
+    Every lesson is found by one rare piece of its keywords: the pieces of a log meet the lessons by
+    equality, and only lessons met are looked for in the log.  The answer depends on rule, agent and log
+    alone, so equal logs are looked at once and every alert row comes back exactly once, whatever its id.
+    A null log or keyword counts as empty text; a lesson without keywords matches all of its rule and agent.
     """
     if status is not None:
         lessons = lessons.where(F.col("status") == status)
-    words = F.transform(F.coalesce("log_keywords", F.array().cast("array<string>")), matching_text)
-    held = lessons.select(
-        "rule_id", "agent",
-        F.struct("ord", "lesson_id", "severity", "action", words.alias("words")).alias("lesson"))
-    longest = held.groupBy("rule_id", "agent").count().agg(F.max("count")).first()[0] or 0
-    parts = -(-longest // LESSONS_PER_ARRAY) or 1
-    arrays = held.groupBy("rule_id", "agent", F.pmod("lesson.ord", F.lit(parts)).alias("_part")).agg(
-        F.array_sort(F.collect_list("lesson")).alias("_lessons")).drop("_part")
-
-    def holds(lesson):
-        return F.forall(lesson.getField("words"), lambda w: F.contains(F.col("_log"), w))
-    tried = (join_summary(alerts.withColumn("_log", matching_text(F.col(log))), arrays, ["rule_id", "agent"], "left")
-             .withColumn("lesson", F.get(F.filter("_lessons", holds), F.lit(0))).drop("_lessons", "_log"))
-    if parts == 1:
-        return tried
-    best = tried.groupBy(alert_id).agg(F.min("lesson").alias("lesson"))
-    return alerts.join(best, alert_id)
+    words = F.filter(F.transform(F.coalesce("log_keywords", F.array().cast("array<string>")), matching_text),
+                     lambda w: w != "")
+    held = lessons.select(F.struct("rule_id", "agent").alias("_of"),
+                          F.struct("ord", "lesson_id", "severity", "action", words.alias("words")).alias("lesson"))
+    held = held.withColumn("_kind", _kind())
+    known = held.groupBy("_of").agg(F.min(F.when(F.col("_kind").isNull(), F.col("lesson"))).alias("_always"),
+                                    F.collect_set("_kind").alias("_kinds"))  # at most four kinds
+    anchors = _anchors(held)
+
+    key = F.struct("rule_id", "agent", F.sha2(matching_text(F.col(log)), 256).alias("digest"))
+    texts = (alerts.select(F.struct("rule_id", "agent").alias("_of"), key.alias("_key"), matching_text(F.col(log)).alias("_log"))
+             .join(known, "_of").dropDuplicates(["_key"]))
+    wanted = ", ".join(f"IF(array_contains(_kinds, {n}), {_pieces('_log', n)}, array())" for n in (WORDS, *RUNS))
+    pieces = texts.select("_of", "_key", F.explode(F.expr(
+        f"transform(array_distinct(concat({wanted})), t -> xxhash64(t))")).alias("_piece"))
+    met = pieces.join(anchors, ["_of", "_piece"]).select("_key", "lesson")
+    holds = F.forall("lesson.words", lambda w: F.contains(F.col("_log"), w))
+    matched = met.join(texts.select("_key", "_log"), "_key").where(holds).select("_key", "lesson")
+    general = texts.where(F.col("_always").isNotNull()).select("_key", F.col("_always").alias("lesson"))
+    best = matched.unionByName(general).groupBy("_key").agg(F.min("lesson").alias("lesson"))
+    return alerts.withColumn("_key", key).join(best, "_key", "left").drop("_key")
 
 
 def lesson_hits(lessons: DataFrame, judged: DataFrame, as_of: datetime) -> DataFrame:

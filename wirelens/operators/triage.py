@@ -1,11 +1,14 @@
 """Triage of host alerts: compaction, verdicts, queue and review."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirelens import constants as K
 from wirelens.functions.text import (ACTION_LINE, SEVERITY_LINE, normalize_action, normalize_severity)
 from wirelens.operators.lessons import lesson_match
 from wirelens.operators.skew import rank_within
+from wirelens.session import cut_lineage
 
 
 def compact_alert(raw: DataFrame, log_chars: int | None = None) -> DataFrame:
@@ -65,20 +68,27 @@ def enforce_coherence(severity: Column, action: Column) -> Column:
                     (~demanded.eqNullSafe(action)).alias("corrected"))
 
 
-def classify_cascade(alerts: DataFrame, lessons: DataFrame, model_up: bool = True,
-                     model_text: str = "model_text") -> DataFrame:
+def classify_cascade(alerts: DataFrame, lessons: DataFrame, model_up: bool = True, model_text: str = "model_text",
+                     ask: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Verdict per compact alert: lesson cache, else the model's answer, else the rule level.
 
-    ``model_text`` holds the model's answer; null means the call failed.  Adds severity,
-    action, reason, classifier, lesson_id, fallback and coherence_corrected.
+    ``model_text`` holds the model's answer; null means the call failed.  ``ask`` adds that column to
+    the alerts that no lesson matches, so the model never sees the others; these are matched once and kept.
+    Adds severity, action, reason, classifier, lesson_id, fallback and coherence_corrected.
     """
+    matched = lesson_match(alerts, lessons)
+    if ask is not None:
+        matched = cut_lineage(matched)
+        unasked = F.lit(None).cast("string").alias(model_text)
+        missed = F.col("lesson").isNull()
+        matched = (matched.where(~missed).select("*", unasked)
+                   .unionByName(ask(matched.where(missed)).select(*matched.columns, model_text)))
     hit = F.col("lesson.lesson_id").isNotNull()
     text, level = F.col(model_text), F.col("level")
     sev, act = verdict_severity(text), verdict_action(text)
     answered = F.lit(model_up) & sev.isNotNull() & act.isNotNull()
     classifier = (F.when(hit, "lesson-cache").when(~F.lit(model_up), "fallback-health")
                   .when(text.isNull(), "fallback-error").when(answered, "model").otherwise("fallback-parse"))
-    matched = lesson_match(alerts, lessons)
     judged = matched.withColumns({
         "classifier": classifier,
         "_sev": F.when(hit, F.col("lesson.severity")).when(answered, sev).otherwise(level_severity(level)),
@@ -92,7 +102,7 @@ def classify_cascade(alerts: DataFrame, lessons: DataFrame, model_up: bool = Tru
               .otherwise(F.concat(by_level, F.lit(" (model output unparseable)."))))
     fixed = enforce_coherence(F.col("_sev"), F.col("_act"))
     return (judged.withColumn("_v", fixed)
-            .select(*alerts.columns, F.col("_v.severity").alias("severity"), F.col("_v.action").alias("action"),
+            .select(*[c for c in matched.columns if c != "lesson"], F.col("_v.severity").alias("severity"), F.col("_v.action").alias("action"),
                     reason.alias("reason"), "classifier", F.col("lesson.lesson_id").alias("lesson_id"),
                     F.startswith(F.col("classifier"), F.lit("fallback")).alias("fallback"),
                     F.col("_v.corrected").alias("coherence_corrected")))
@@ -177,10 +187,11 @@ def parse_review_json(responses: DataFrame, text: str = "response", keep=()) ->
     return responses.select(*keep, F.posexplode(answers).alias("place", "a")).select(*keep, "place", "a.*")
 
 
-def review_disagreements(answers: DataFrame, entries: DataFrame, keep=()) -> DataFrame:
-    """Answers that contradict the first verdict, as lesson observations: pattern, verdict, reason."""
+def review_disagreements(answers: DataFrame, entries: DataFrame, keep=(), most_words: int | None = None) -> DataFrame:
+    """Answers that contradict the first verdict, as lesson observations: pattern, verdict, reason.
+    All keywords are learned unless ``most_words`` keeps the first ones only."""
     words = F.filter(F.transform("log_keywords", lambda k: F.lower(F.trim(k))), lambda k: F.length(k) > 0)
-    latest = entries.groupBy("alert_id").agg(F.max_by(F.struct("alert", "triage"), "queued_at").alias("e"))
+    latest = entries.groupBy("alert_id").agg(F.max(F.struct("queued_at", "triage", "alert")).alias("e"))
     judged = answers.withColumns({"severity": normalize_severity(F.col("correct_severity")),
                                   "action": normalize_action(F.col("correct_action")), "_words": words})
     usable = judged.where(F.col("severity").isNotNull() & F.col("action").isNotNull()
@@ -189,7 +200,7 @@ def review_disagreements(answers: DataFrame, entries: DataFrame, keep=()) -> Dat
               & (F.col("action") == F.lower(F.coalesce("e.triage.action", F.lit("")))))
     return (usable.join(latest, "alert_id").where(~agrees)
             .select(*keep, "alert_id", F.col("e.alert.rule_id").alias("rule_id"),
-                    F.col("e.alert.agent").alias("agent"), F.slice("_words", 1, 3).alias("log_keywords"),
+                    F.col("e.alert.agent").alias("agent"), (F.col("_words") if most_words is None else F.slice("_words", 1, most_words)).alias("log_keywords"),
                     "severity", "action", F.coalesce("reason", F.lit("")).alias("reason")))
 
 

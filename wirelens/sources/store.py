@@ -29,8 +29,8 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Completed versions of a table: folders with a success marker."""
+def _versions(spark: SparkSession, root: str) -> list[tuple[int, int, str]]:
+    """Completed versions (number, last batch in it or -1, path): folders with a success marker."""
     fs, path = _file_system(spark, root)
     if not fs.exists(path(root)):
         return []
@@ -38,29 +38,39 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     for status in fs.listStatus(path(root)):
         name = status.getPath().getName()
         if name.startswith("version=") and fs.exists(path(f"{root}/{name}/_SUCCESS")):
-            done.append(int(name.split("=")[1]))
+            number, _, batch = name.split("=")[1].partition("-batch-")
+            done.append((int(number), int(batch or -1), f"{root}/{name}"))
     return sorted(done)
 
 
-def replace_table(df: DataFrame, root: str, keep: int = 2) -> int:
+def replace_table(df: DataFrame, root: str, keep: int = 2, batch: int | None = None) -> int:
     """Write a whole table as the next version; readers see the old one until it is complete.
 
-    The path being read is never overwritten, so a job may read the store it replaces.  Older
-    versions beyond ``keep`` are removed.
+    The path being read is never overwritten, so a job may read the store it replaces.  The version is
+    named after the last ``batch`` of a stream that it holds, taken over from the version before where
+    none is given, so that table and batch number change in one step.  Older versions beyond ``keep``
+    are removed.
     """
     spark = df.sparkSession
     done = _versions(spark, root)
-    version = (done[-1] if done else 0) + 1
-    df.write.mode("overwrite").json(f"{root}/version={version}")
+    version, last = (done[-1][0] + 1, done[-1][1]) if done else (1, -1)
+    last = last if batch is None else batch
+    df.write.mode("overwrite").json(f"{root}/version={version}" + (f"-batch-{last}" if last >= 0 else ""))
     fs, path = _file_system(spark, root)
-    for old in done[: max(0, len(done) + 1 - keep)]:
-        fs.delete(path(f"{root}/version={old}"), True)
+    for _, _, old in done[: max(0, len(done) + 1 - keep)]:
+        fs.delete(path(old), True)
     return version
 
 
 def latest_path(spark: SparkSession, root: str) -> str | None:
     done = _versions(spark, root)
-    return f"{root}/version={done[-1]}" if done else None
+    return done[-1][2] if done else None
+
+
+def applied_batch(spark: SparkSession, root: str) -> int:
+    """The last batch of a stream that the newest version holds; -1 without any."""
+    done = _versions(spark, root)
+    return done[-1][1] if done else -1
 
 
 def nest_lessons(flat: DataFrame) -> DataFrame:
@@ -78,8 +88,8 @@ def flatten_lessons(nested: DataFrame) -> DataFrame:
     return nested.select(*[F.col(f"{inner[c]}.{c}") if c in inner else F.col(c) for c in COLUMNS])
 
 
-def save_lessons(flat: DataFrame, root: str) -> int:
-    return replace_table(nest_lessons(flat), root)
+def save_lessons(flat: DataFrame, root: str, batch: int | None = None) -> int:
+    return replace_table(nest_lessons(flat), root, batch=batch)
 
 
 def src_lessons(spark: SparkSession, root: str) -> DataFrame:

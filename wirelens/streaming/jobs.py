@@ -11,7 +11,7 @@ from wirelens.operators import flow_records, ids_alerts, lessons as L, routing,
 from wirelens.plans.flow_alerting import AnomalyModel, score_flows
 from wirelens.session import use_utc
 from wirelens.sources.eve import CORRUPT, flow_records as flows_of_events, good_lines
-from wirelens.sources.store import append_once, load_mark, save_lessons, save_mark, src_lessons
+from wirelens.sources.store import append_once, applied_batch, load_mark, save_lessons, save_mark, src_lessons
 
 
 def stream_microbatch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
@@ -64,22 +64,22 @@ def triage_batch(store: str, marks: str, queue: str, model_text: Callable[[DataF
     """foreachBatch body of the triage stream.
 
     The queue part of a batch is one folder, so a replay replaces it.  Lesson hits are added
-    once: the batch id that last updated the store is kept with the marks.  ``model_text`` adds
-    the model's answer for alerts (column ``model_text``); without it the model counts as down.
+    once: a store version is named after the last batch whose hits it holds.  ``model_text`` adds the
+    model's answer (column ``model_text``) to alerts without a lesson; without it the model counts as down.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, moment = batch.sparkSession, now()
         lessons = src_lessons(spark, store)
         compact = triage.compact_alert(batch)
-        asked = model_text(compact) if model_text else compact.withColumn("model_text", F.lit(None).cast("string"))
-        judged = triage.classify_cascade(asked, lessons, model_up=model_text is not None)
+        down = compact if model_text else compact.withColumn("model_text", F.lit(None).cast("string"))
+        judged = triage.classify_cascade(down, lessons, model_up=model_text is not None, ask=model_text)
         entries = triage.queue_entries(judged, F.lit(L.iso(moment)))
         append_once(queue)(entries, batch_id)
+        written = spark.read.schema(entries.schema).json(f"{queue}/batch={batch_id}")
+        if applied_batch(spark, store) < batch_id:
+            save_lessons(L.lesson_hits(lessons, written.select("triage.lesson_id"), moment), store, batch_id)
         done = load_mark(spark, marks)
         if done.get("batch", -1) < batch_id:
-            written = spark.read.schema(entries.schema).json(f"{queue}/batch={batch_id}")
-            hits = written.select("triage.lesson_id")
-            save_lessons(L.lesson_hits(lessons, hits, moment), store)
             top = written.agg(F.max("alert_id")).first()[0]
             save_mark(spark, marks, batch=batch_id, last_alert_id=top or done.get("last_alert_id"))
     return write
