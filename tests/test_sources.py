@@ -86,6 +86,21 @@ def test_flow_table_csv(spark, tmp_path):
         tables.src_flow_table(spark, str(tmp_path / "none"))
 
 
+def test_flow_table_columns_meet_by_name(spark, tmp_path):
+    csv, shards = tmp_path / "csv", tmp_path / "shards"
+    csv.mkdir()
+    (csv / "one.csv").write_text("a,b,Label\n1,2,x\n")
+    (csv / "two.csv").write_text("b, a,Label\n3.5,4,y\n")
+    (csv / "three.csv").write_text("Label,a\nz,5\n")
+    want = [("x", 1.0, 2.0), ("y", 4.0, 3.5), ("z", 5.0, None)]
+    for features in (["a", "b"], None):
+        got = tables.src_flow_table(spark, str(csv), features)
+        assert rows(got.select("Label", F.col("a").cast("double"), "b")) == want
+    spark.createDataFrame([(1, "x")], "a long, Label string").coalesce(1).write.parquet(str(shards / "train-0.parquet"))
+    spark.createDataFrame([(2.5, "y")], "a double, Label string").coalesce(1).write.parquet(str(shards / "train-1.parquet"))
+    assert rows(tables.src_flow_table(spark, str(shards)).select("Label", "a")) == [("x", 1.0), ("y", 2.5)]
+
+
 def test_dimension_files(spark, tmp_path):
     good = tmp_path / "scaler.json"
     good.write_text(json.dumps({"mean": [1.0] * 25, "scale": [2.0] * 25, "features": K.FEATURES_25}))

@@ -10,7 +10,7 @@ from wirelens.catalog.triage import CTES, V as TRIAGE, _FLAT_SQL, _flat, _queue,
 from wirelens.operators import flow_records as R
 from wirelens.plans.flow_alerting import fit_anomaly_model
 from wirelens.session import scratch_folder
-from wirelens.sources import eve, store, views
+from wirelens.sources import eve, store, tables, views
 from wirelens.streaming import jobs
 
 
@@ -62,6 +62,22 @@ oracle("src_eve_alerts", ["v_ids_alerts"], """SELECT epoch_us(ts) AS us, sid, se
  FROM v_ids_alerts WHERE k % 10 <> 3""")
 
 
+@query("src_flow_table")
+def _(spark, sf):
+    """CSV files with columns in different order, one group without a price."""
+    folder = scratch_folder(spark, "table")
+    o = views.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("label"))
+    for i, columns in enumerate((["row_id", "price", "label"], ["label", "price", "row_id"], ["label", "row_id"])):
+        o.where(F.col("row_id") % 3 == i).select(*columns).write.option("header", True).csv(f"{folder}/part{i}")
+    got = tables.src_flow_table(spark, folder, ["row_id", "price"])
+    return got.select(F.col("row_id").cast("long").alias("row_id"), "label", F.round("price", 2).alias("price"))
+
+
+oracle("src_flow_table", [], """SELECT o_orderkey AS row_id, o_orderstatus AS label,
+ round(CASE WHEN o_orderkey % 3 <> 2 THEN CAST(o_totalprice AS DOUBLE) END, 2) AS price FROM orders""")
+
+
 @query("src_queue")
 def _(spark, sf):
     path = scratch_folder(spark, "queue")

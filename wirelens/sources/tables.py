@@ -2,35 +2,80 @@
 
 import re
 from datetime import datetime, timedelta
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wirelens import constants as K, schemas
+from wirelens.functions.numeric import named
 from wirelens.operators.preparation import Scaler
 
 
+def _union_promoted(parts: list[DataFrame]) -> DataFrame:
+    """Tables under one another by column name; a column of several types takes the widest: whole numbers
+    become long, other numbers double, anything else text."""
+    types = {}
+    for part in parts:
+        for field in part.schema.fields:
+            types.setdefault(field.name, set()).add(field.dataType)
+
+    def common(found):
+        if len(found) == 1 or not all(isinstance(t, T.NumericType) for t in found):
+            return next(iter(found)) if len(found) == 1 else T.StringType()
+        return T.LongType() if all(isinstance(t, T.IntegralType) for t in found) else T.DoubleType()
+    wanted = {name: common(found) for name, found in types.items()}
+    cast = [p.select(*[named(c).cast(wanted[c]).alias(c) for c in p.columns]) for p in parts]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), cast)
+
+
+def _csv_groups(spark: SparkSession, folder: str) -> list[list[str]]:
+    """The CSV files below a folder, those with the same header line together."""
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
+             .select("value", "_metadata.file_path", "_metadata.file_block_start"))
+    # ids rise along a split, so the smallest one of a file's first split is its header
+    heads = (lines.where("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
+             .groupBy("file_path").agg(F.min_by("value", "at").alias("head")))
+    groups = heads.groupBy("head").agg(F.array_sort(F.collect_list("file_path")).alias("paths")).collect()
+    return sorted(g.paths for g in groups)  # paths only: the driver lists them for any read
+
+
 def src_flow_table(spark: SparkSession, folder: str, features: list[str] | None = None) -> DataFrame:
     """The ``train-*.parquet`` shards of a folder, else its CSV files, as one table.
 
-    Shards with different columns are merged by name.  CSV needs no scan to infer types when
-    ``features`` names the numeric columns; all other columns are text.
+    Columns meet by name (without outer blanks in CSV headers), whatever their order or type in a file; a
+    column that a file lacks is null there.  CSV needs no scan to infer types when ``features`` names
+    the numeric columns; all other columns are text.
     """
+    shards = f"{folder}/train-*.parquet"
     try:
-        return spark.read.option("mergeSchema", "true").parquet(f"{folder}/train-*.parquet")
+        return spark.read.option("mergeSchema", "true").parquet(shards)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e.getCondition() or e):
             raise
+    except Py4JJavaError as e:
+        if "CANNOT_MERGE_SCHEMAS" not in str(e.java_exception):
+            raise
+        files = spark.read.format("binaryFile").load(shards).select("path").collect()
+        by_schema = {}
+        for row in files:  # footers only; shards of one schema are read together
+            by_schema.setdefault(spark.read.parquet(row.path).schema.json(), []).append(row.path)
+        return _union_promoted([spark.read.parquet(*paths) for paths in by_schema.values()])
     try:
-        table = (spark.read.option("header", True).option("inferSchema", features is None)
-                 .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder))
+        groups = _csv_groups(spark, folder)
     except AnalysisException as e:
         raise FileNotFoundError(f"No parquet or CSV files found in {folder}") from e
-    if not table.columns:
+    if not groups:
         raise FileNotFoundError(f"No parquet or CSV files found in {folder}")
     wanted = set(features or [])
-    return table.select(*[F.col(f"`{c}`").try_cast("double").alias(c) if c.strip() in wanted else F.col(f"`{c}`")
-                          for c in table.columns])
+    parts = []
+    for paths in groups:
+        part = spark.read.option("header", True).option("inferSchema", features is None).csv(paths)
+        part = part.toDF(*[c.strip() for c in part.columns])
+        parts.append(part.select(*[named(c).try_cast("double").alias(c) if c in wanted else named(c)
+                                   for c in part.columns]))
+    return _union_promoted(parts)
 
 
 def _json_document(spark: SparkSession, path: str, schema: T.StructType):
