@@ -1,5 +1,7 @@
 import json
+import os
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -13,6 +15,20 @@ from wirelens.streaming import jobs, state
 NOON = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
 
 
+def one_by_one(spark, parts, folder):
+    """Tables as a stream that takes one of them per micro-batch, in the given order."""
+    source = folder / "parts"
+    for i, part in enumerate(parts):
+        staging = folder / f"staging{i}"
+        part.coalesce(1).write.parquet(str(staging))
+        source.mkdir(exist_ok=True)
+        (file,) = staging.glob("*.parquet")
+        target = source / f"{i:03d}.parquet"
+        target.write_bytes(file.read_bytes())
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+
+
 def drain(stream, folder, mode="append"):
     """Run a stream over what is there, collecting batches as files."""
     out = str(folder / "out")
@@ -35,13 +51,35 @@ def seconds(*values):
 
 def test_cooldown_admits_like_the_batch_form(spark, tmp_path):
     data = [(i, ts, "a", "b") for i, ts in enumerate(seconds(0, 5, 61, 70, 130))] + [(9, NOON, "a", "c")]
-    df = spark.createDataFrame(data, "flow_id long, ts timestamp, src_ip string, dst_ip string")
-    got = drain(state.stream_cooldown(staged(spark, df, tmp_path)), tmp_path)
+    schema = "flow_id long, ts timestamp, src_ip string, dst_ip string"
+    df = spark.createDataFrame(data, schema)
+    end = spark.createDataFrame([(99, NOON + timedelta(days=1), "z", "z")], schema)
     want = routing.alert_cooldown(df)
+    # alerts come out of order, one micro-batch each, all inside the watermark
+    parts = [df.where(F.col("flow_id") == i) for i in (3, 0, 4, 2, 9, 1)] + [end, end]
+    got = drain(state.stream_cooldown(one_by_one(spark, parts, tmp_path), delay="10 minutes"), tmp_path)
+    got = got.where("row <> 99")
     assert rows(got.where("admitted").select("row")) == [(0,), (2,), (4,), (9,)]
     assert rows(got.select("row", "admitted")) == rows(want.select("flow_id", "admitted"))
 
 
+def test_flow_sessions_out_of_order(spark, tmp_path):
+    names = [f.name for f in schemas.PACKET.fields]
+    sample = packet_table(spark, "/root/testdata/sf0.001").select(*names).limit(1)
+
+    def packet(i, second, proto=6):
+        return sample.withColumns({"pkt_id": F.lit(i).cast("long"), "proto": F.lit(proto),
+                                   "ts": F.lit(NOON + timedelta(seconds=second)).cast("timestamp")}) \
+            .select(*[F.col(c).cast(sample.schema[c].dataType).alias(c) for c in names])
+    times = {1: 0, 2: 20, 3: 10, 4: 200, 5: 190, 6: 240}
+    whole = reduce(lambda a, b: a.unionByName(b), [packet(i, t) for i, t in times.items()])
+    parts = [packet(i, t) for i, t in times.items()] + [packet(7, 90_000, 99), packet(8, 90_001, 99)]
+    got = drain(state.stream_flow_sessions(one_by_one(spark, parts, tmp_path), 15, 600, "60 seconds"), tmp_path)
+    want = P.flow_direction_totals(whole, 15, 600)
+    columns = [*P.KEY, "start_us", "end_us", "fwd_pkts", "fwd_bytes", "bwd_pkts", "bwd_bytes"]
+    assert rows(got.where("proto <> 99").select(*columns)) == rows(want.select(*columns)) and want.count() == 3
+
+
 def packet_table(spark, sf):
     return views.packets(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
 

@@ -70,7 +70,7 @@ def _(spark, sf):
 
 
 oracle("stream_cooldown", ["v_ids_alerts"], """SELECT event_id, CASE WHEN event_id = first AND c.t0 IS NOT NULL THEN 1 ELSE 0 END
- AS admitted FROM ev LEFT JOIN chain c ON c.src_ip = ev.src_ip AND c.dest_ip = ev.dest_ip AND c.t0 = ev.t0
+ AS admitted FROM (SELECT * FROM ev WHERE t0 <= (SELECT max(t0) FROM ev) - 60000000) ev LEFT JOIN chain c ON c.src_ip = ev.src_ip AND c.dest_ip = ev.dest_ip AND c.t0 = ev.t0
  JOIN (SELECT src_ip, dest_ip, t0, min(event_id) AS first FROM ev GROUP BY ALL) m
  ON m.src_ip = ev.src_ip AND m.dest_ip = ev.dest_ip AND m.t0 = ev.t0""", {
     "ev": "SELECT event_id, src_ip, dest_ip, epoch_us(ts) AS t0 FROM v_ids_alerts",
@@ -87,7 +87,8 @@ def _(spark, sf):
     return flows.select(*P.KEY, "start_us", "end_us", (F.col("fwd_pkts") + F.col("bwd_pkts")).alias("packets"))
 
 
-# the newest flow of a key stays open until the watermark passes its idle limit
+# a flow is out once the watermark has passed its idle limit or the packet that finds it too old
 oracle("stream_flow_sessions", ["v_packets"], f"""SELECT {KEY}, start_us, end_us, packets FROM (SELECT *,
- lead(start_us) OVER (PARTITION BY {KEY} ORDER BY start_us) AS later FROM aged) WHERE later IS NOT NULL
+ lead(start_us) OVER (PARTITION BY {KEY} ORDER BY start_us) AS later FROM aged)
+ WHERE later / 1000 < (SELECT max(us) FROM keyed) / 1000 - {DELAY_S} * 1000
  OR (end_us + {IDLE_S * 4}::BIGINT * 1000000) / 1000 < (SELECT max(us) FROM keyed) / 1000 - {DELAY_S} * 1000""", AGED, recursive=True)

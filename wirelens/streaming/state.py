@@ -1,8 +1,9 @@
 """Keyed state: alert cooldown and packet flows over streams.
 
 Both need the RocksDB state store (``ROCKSDB``) and an event-time watermark on ``ts``.
-Rows of a key are put in time order inside a micro-batch; what lies behind the watermark is
-late and dropped by Spark before it reaches the state.
+Rows wait in the state until the watermark has passed them and are then taken in time order, so
+the answer does not depend on how rows fall into micro-batches; a key holds the rows of one watermark
+delay.  What lies behind the watermark is late and dropped by Spark before it reaches the state.
 """
 
 import numpy as np
@@ -18,41 +19,72 @@ ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
-class _Cooldown(StatefulProcessor):
-    """Keeps the last admitted time of a pair; the state goes when the cooldown is over."""
+class _InTimeOrder(StatefulProcessor):
+    """Keeps rows until the watermark has passed them and hands them on in the order of ``us`` and row id."""
 
-    def __init__(self, cooldown_us: int):
-        self.cooldown_us = cooldown_us
+    waiting: str  # columns of a waiting row, ``us`` and the row id first
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "us long")
+        self.queue = handle.getListState("queue", self.waiting)
+        self.names = [c.split()[0] for c in self.waiting.split(", ")]
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "row"])
+        for part in rows:
+            self.queue.appendList(list(part[self.names].itertuples(index=False, name=None)))
+            self.handle.registerTimer(int(part["us"].min()) // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        done = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = pd.DataFrame(list(self.queue.get()) if self.queue.exists() else [], columns=self.names)
+        due = rows["us"] <= done
+        if due.any():
+            self.queue.clear()
+            left = rows[~due]
+            if len(left):
+                self.queue.put(list(left.itertuples(index=False, name=None)))
+                self.handle.registerTimer(int(left["us"].min()) // 1000 + 1)
+        yield from self.advance(key, rows[due].sort_values(self.names[:2]).reset_index(drop=True), done)
+
+    def close(self) -> None:
+        pass
+
+
+class _Cooldown(_InTimeOrder):
+    """Keeps the last admitted time of a pair; the state goes when the cooldown is over."""
+
+    def __init__(self, cooldown_us: int, pair: list[str], row_type: str):
+        self.cooldown_us, self.pair = cooldown_us, pair
+        self.waiting = f"us long, row {row_type}"
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "us long")
+
+    def advance(self, key, batch, done):
         last = self.last.get()[0] if self.last.exists() else None
-        times, passed, i = batch["us"].to_numpy(), np.zeros(len(batch), dtype=bool), 0
+        times, passed, i = batch["us"].to_numpy(dtype="int64"), np.zeros(len(batch), dtype=bool), 0
         if last is not None:
             i = int(np.searchsorted(times, last + self.cooldown_us))
         while i < len(times):
             last, passed[i] = int(times[i]), True
             i = int(np.searchsorted(times, last + self.cooldown_us))
-        self.last.update((last,))
-        self.handle.registerTimer((last + self.cooldown_us) // 1000 + 1)
-        yield batch.assign(admitted=passed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.last.exists() and (self.last.get()[0] + self.cooldown_us) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+        if last is not None and last + self.cooldown_us <= done:
             self.last.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
+        elif last is not None:
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.cooldown_us) // 1000 + 1)
+        if len(batch):
+            out = pd.DataFrame({"row": batch["row"], **{c: [k] * len(batch) for c, k in zip(self.pair, key)}, "us": times,
+                                "ts": pd.to_datetime(times, unit="us"), "admitted": passed})
+            yield out
 
 
 def stream_cooldown(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S, row_id: str = "flow_id",
                     pair=("src_ip", "dst_ip"), delay: str = "1 minute") -> DataFrame:
-    """Alerts (row, pair, us) with ``admitted``: at most one per pair and cooldown."""
+    """Alerts (row, pair, us) with ``admitted``: at most one per pair and cooldown.  An alert is given
+    out once the watermark, ``delay`` behind the newest alert, has passed it."""
     pair = list(pair)
     rows = alerts.withWatermark("ts", delay).select(
         F.col(row_id).alias("row"), *pair, micros(F.col("ts")).alias("us"), "ts")
@@ -60,28 +92,29 @@ def stream_cooldown(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S, r
     schema = ", ".join([f"row {types['row']}", *[f"{c} {types[c]}" for c in pair],
                         "us long", "ts timestamp", "admitted boolean"])
     return rows.groupBy(*pair).transformWithStateInPandas(
-        statefulProcessor=_Cooldown(int(cooldown_s * 1e6)), outputStructType=schema,
+        statefulProcessor=_Cooldown(int(cooldown_s * 1e6), pair, types["row"]), outputStructType=schema,
         outputMode="Append", timeMode="EventTime")
 
 
 _FLOW = ["start_us", "end_us", "fwd_pkts", "fwd_bytes", "bwd_pkts", "bwd_bytes"]
 
 
-class _Flows(StatefulProcessor):
+class _Flows(_InTimeOrder):
     """The open flow of a key; a flow is given out when silence or age closes it."""
 
+    waiting = "us long, pkt_id long, direction int, size long"
+
     def __init__(self, idle_us: int, active_us: int):
         self.idle_us, self.active_us = idle_us, active_us
 
     def init(self, handle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.open = handle.getValueState("open", ", ".join(f"{c} long" for c in _FLOW))
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "pkt_id"])
-        us = batch["us"].to_numpy()
+    def advance(self, key, batch, done):
+        us = batch["us"].to_numpy(dtype="int64")
         fwd = (batch["direction"] == 0).to_numpy()
-        size = batch["size"].to_numpy().astype("int64")
+        size = batch["size"].to_numpy(dtype="int64")
         silences = np.flatnonzero(np.diff(us) > self.idle_us) + 1
         flow, closed, i = list(self.open.get()) if self.open.exists() else None, [], 0
         while i < len(us):
@@ -95,16 +128,14 @@ class _Flows(StatefulProcessor):
             flow = [flow[0], max(flow[1], int(us[end - 1])), flow[2] + int(f.sum()), flow[3] + int(s[f].sum()),
                     flow[4] + int((~f).sum()), flow[5] + int(s[~f].sum())]
             i = end
-        self.open.update(tuple(flow))
-        self.handle.registerTimer((flow[1] + self.idle_us) // 1000 + 1)
-        yield self._rows(key, closed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.open.exists():
-            flow = list(self.open.get())
-            if (flow[1] + self.idle_us) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
-                self.open.clear()
-                yield self._rows(key, [flow])
+        if flow and flow[1] + self.idle_us <= done:
+            closed.append(flow)
+            self.open.clear()
+        elif flow:
+            self.open.update(tuple(flow))
+            self.handle.registerTimer((flow[1] + self.idle_us) // 1000 + 1)
+        if closed:
+            yield self._rows(key, closed)
 
     def _rows(self, key, flows):
         out = pd.DataFrame(flows, columns=_FLOW, dtype="int64")
@@ -112,14 +143,11 @@ class _Flows(StatefulProcessor):
             out.insert(i, name, key[i])
         return out.astype({"port_a": "int32", "port_b": "int32", "proto": "int32"})
 
-    def close(self) -> None:
-        pass
-
 
 def stream_flow_sessions(packets: DataFrame, idle_s: float = K.IDLE_TIMEOUT_S,
                          active_s: float = K.ACTIVE_TIMEOUT_S, delay: str = "5 seconds") -> DataFrame:
-    """Flows with direction totals, given out when the watermark passes their idle limit or a
-    packet finds them older than the active limit."""
+    """Flows with direction totals, given out when the watermark passes their idle limit or the first
+    packet past their active limit."""
     keyed = packet_flow_key(packets.withWatermark("ts", delay), keep=["ts"]).select(
         *KEY, "ts", "us", "pkt_id", "direction", "size")
     schema = ("ip_a string, ip_b string, port_a int, port_b int, proto int, "
