@@ -69,9 +69,14 @@ def test_constant_feature_keeps_scale_one(spark):
     assert s.mean == [2.0] and s.scale == [1.0]
 
 
-def test_too_many_classes_is_refused(spark):
-    with pytest.raises(ValueError, match="too many"):
-        P.label_classes(spark.range(10_001).select(F.col("id").cast("string").alias("label")))
+def test_any_number_of_classes(spark):
+    many = spark.range(12_000).select(F.format_string(" c%05d ", F.col("id")).alias("label"), "id")
+    odd = many.limit(1).withColumn("label", F.lit(None).cast("string"))
+    table = P.class_table(many.unionByName(odd))
+    encoded = P.label_encode(many.unionByName(odd), table)
+    assert encoded.count() == 12_001 and encoded.where("label is null and class_id is not null").count() == 0
+    assert encoded.where("label is not null and not (class_id <=> id)").count() == 0
+    assert P.label_decode(encoded.drop("label"), table).where("label <> format_string('c%05d', id)").count() == 0
 
 
 def test_rank_within_equals_row_number(spark):

@@ -40,7 +40,7 @@ oracle("clean_report", V, """SELECT count(*) AS rows, count(*) FILTER (f1 IS NUL
 @query("label_encode")
 def _(spark, sf):
     d = _clean(spark, sf)
-    return P.label_encode(d, P.label_classes(d)).select("row_id", "label", "class_id")
+    return P.label_encode(d, P.class_table(d)).select("row_id", "label", "class_id")
 
 
 oracle("label_encode", V, """SELECT row_id, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INT) AS class_id
@@ -50,7 +50,7 @@ oracle("label_encode", V, """SELECT row_id, label, CAST(dense_rank() OVER (ORDER
 @query("label_decode")
 def _(spark, sf):
     d = views.vectors(spark, sf).withColumnRenamed("label", "class_id")
-    classes = P.label_classes(_clean(spark, sf))
+    classes = P.class_table(_clean(spark, sf))
     return P.label_decode(d, classes).select("vec_id", "class_id", "label")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wirelens import constants as K
 from wirelens.functions.numeric import named
-from wirelens.operators.skew import collect_bounded, rank_within
+from wirelens.operators.skew import rank_within
 
 _FLOATS = (T.DoubleType, T.FloatType)
 
@@ -46,21 +46,33 @@ def detect_label_column(df: DataFrame) -> str:
     raise ValueError(f"No label column found. Columns: {df.columns}")
 
 
+def class_table(df: DataFrame, label: str = "label") -> DataFrame:
+    """Distinct labels in order with their numbers (label, class_id), however many there are."""
+    found = df.select(F.trim(named(label)).alias("label")).where(F.col("label").isNotNull()).distinct()
+    ranked = rank_within(found.withColumn("_b", F.substring("label", 1, 3)), [], "_b", [F.col("label")], "_rank", "_n")
+    return ranked.select("label", F.col("_rank").cast("int").alias("class_id"))
+
+
 def label_classes(df: DataFrame, label: str = "label") -> list[str]:
-    """Sorted distinct labels, like fitting an encoder.  The class list is small by nature; a
-    column with more than the bound is not a label and is refused."""
-    rows = collect_bounded(df.select(F.trim(named(label)).alias("l")).distinct())
-    if rows is None:
-        raise ValueError(f"{label} has too many distinct values to be a class label")
-    return sorted(r.l for r in rows)
+    """The labels of ``class_table`` as a list, for models that hold one weight or output per class."""
+    return [r.label for r in class_table(df, label).orderBy("class_id").collect()]
 
 
-def label_encode(df: DataFrame, classes: list[str], label: str = "label", out: str = "class_id") -> DataFrame:
+def label_encode(df: DataFrame, classes: list[str] | DataFrame, label: str = "label",
+                 out: str = "class_id") -> DataFrame:
+    """Class numbers, null for unknown labels: by equi-join with a class table, or a list's positions."""
+    if isinstance(classes, DataFrame):
+        numbers = classes.select(F.col("label").alias("_label"), F.col("class_id").alias(out))
+        return df.join(numbers, F.trim(named(label)) == F.col("_label"), "left").drop("_label")
     position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.trim(named(label)))
     return df.withColumn(out, (position - 1).cast("int"))
 
 
-def label_decode(df: DataFrame, classes: list[str], class_id: str = "class_id", out: str = "label") -> DataFrame:
+def label_decode(df: DataFrame, classes: list[str] | DataFrame, class_id: str = "class_id",
+                 out: str = "label") -> DataFrame:
+    if isinstance(classes, DataFrame):
+        names = classes.select(F.col("class_id").alias("_id"), F.col("label").alias(out))
+        return df.join(names, F.col(class_id) == F.col("_id"), "left").drop("_id")
     return df.withColumn(out, F.get(F.array(*[F.lit(c) for c in classes]), F.col(class_id)))
 
 

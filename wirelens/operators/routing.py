@@ -13,33 +13,23 @@ from wirelens.operators.skew import greedy_starts, join_summary, rank_within
 from wirelens.session import cut_lineage
 
 MATCH_KEYS = ["src_ip", "dst_ip", "src_port", "dst_port", "proto"]
-INLINE_RULES = 200
-
-
-def _rule_holds(rule: dict) -> Column:
-    holds = F.lit(True)
-    for key in MATCH_KEYS:
-        if rule.get(key) is not None:
-            holds = holds & F.col(key).eqNullSafe(F.lit(rule[key]))
-    return holds
 
 
 def allowlist_match(flows: DataFrame, rules, out: str = "allow_rule") -> DataFrame:
     """Name of the first rule whose present keys all equal the flow's; an absent key is a wildcard.
 
-    A short rule list (Python dicts) becomes one CASE expression: no join, no shuffle.  A rule
-    table (ord, name, keys) or a long list is matched by one equi-join per combination of
-    present keys (at most 32), never by comparing each flow with each rule.
+    Rules (Python dicts, or a table of ord, name and keys) are matched by one equi-join per
+    combination of present keys (at most 32), never by comparing each flow with each rule.
     """
+    columns = flows.columns
     if isinstance(rules, list):
         if not rules:
             return flows.withColumn(out, F.lit(None).cast("string"))
-        if len(rules) <= INLINE_RULES:
-            return flows.withColumn(
-                out, F.coalesce(*[F.when(_rule_holds(r), F.lit(r["name"])) for r in rules]))
+        present = {tuple(r.get(k) is not None for k in MATCH_KEYS) for r in rules}
         rules = rule_table(flows.sparkSession, rules)
-    flags = [F.col(k).isNotNull().alias(k) for k in MATCH_KEYS]
-    shapes = [[k for k in MATCH_KEYS if row[k]] for row in rules.select(*flags).distinct().collect()]
+    else:
+        present = {tuple(r) for r in rules.select(*[F.col(k).isNotNull() for k in MATCH_KEYS]).distinct().collect()}
+    shapes = [[k for k, there in zip(MATCH_KEYS, row) if there] for row in sorted(present)]
     candidates = []
     for i, keys in enumerate(shapes):
         shaped = F.lit(True)
@@ -55,7 +45,7 @@ def allowlist_match(flows: DataFrame, rules, out: str = "allow_rule") -> DataFra
             flows = flows.withColumn(hit, F.struct(F.lit(first.ord).alias("ord"), F.lit(first.name).alias("name")))
         candidates.append(hit)
     earliest = F.array_min(F.filter(F.array(*candidates), lambda c: c.isNotNull()))
-    return flows.withColumn(out, earliest.getField("name")).drop(*candidates)
+    return flows.select(*[named(c) for c in columns], earliest.getField("name").alias(out))
 
 
 def rule_table(spark, rules: list[dict]) -> DataFrame:

@@ -11,16 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wirelens.session import cut_lineage
 
-GROUPS_COLLECTED = 10_000
-
-
-def collect_bounded(df: DataFrame, limit: int = GROUPS_COLLECTED):
-    """Rows of a small dimension for use as literals, or None if it is larger than ``limit``."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
-
 
 def join_summary(df: DataFrame, summary: DataFrame, columns: list[str], how="inner") -> DataFrame:
     """Equi-join on columns that may be null, keeping one copy of them."""

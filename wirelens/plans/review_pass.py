@@ -5,6 +5,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wirelens.operators import lessons as L, triage as T
+from wirelens.operators.skew import rank_within
 from wirelens.session import cut_lineage
 from wirelens.sources.eve import src_queue
 from wirelens.sources.store import load_mark, save_lessons, save_mark, src_lessons, write_report
@@ -31,9 +32,10 @@ def learn_pass(entries: DataFrame, responses: DataFrame, store: str, as_of: date
     """
     spark = entries.sparkSession
     answers = T.parse_review_json(responses, keep=["response_id"])
-    observed = T.review_disagreements(answers, entries, keep=["response_id"])
-    # the order of observations only has to be repeatable: it decides whose wording a new lesson keeps
-    observed = observed.withColumn("seq", F.pmod(F.xxhash64("response_id", "alert_id", "reason"), F.lit(1 << 40)))
+    observed = T.review_disagreements(answers, entries, keep=["response_id", "place"])
+    # answers count in the order of responses (ids as text) and their place in them: the first lesson wins
+    placed = observed.withColumn("_id", F.col("response_id").cast("string")).withColumn("_b", F.substring("_id", 1, 8))
+    observed = cut_lineage(rank_within(placed, [], "_b", [F.col("_id"), F.col("place")], "seq", "_n").drop("_id", "_b", "_n"))
     grown = L.lesson_ingest(src_lessons(spark, store), observed, as_of)
     learned = L.lesson_prune(L.lesson_promote(grown, as_of), as_of)
     save_lessons(learned, store)
