@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wirelens.session import cut_lineage
 
 
+SLOTS = 4096
+
+
 def join_summary(df: DataFrame, summary: DataFrame, columns: list[str], how="inner") -> DataFrame:
     """Equi-join on columns that may be null, keeping one copy of them."""
     renamed = summary.select(*[F.col(c).alias(f"_s_{c}") if c in columns else F.col(c)
@@ -87,14 +90,27 @@ def global_percentile(df: DataFrame, value: str, p: float, accuracy: int = 100_0
     if n <= accuracy:
         q = [smallest, largest]
     position = p * (n - 1)
-    # two ranks are wanted, so an ordered limit is enough: rows below the bracket are only counted
+    wanted = [math.floor(position), math.ceil(position)]
+    # rows below the bracket are only counted; the bracket is cut into slots, and only the slots that
+    # hold the two ranks are sorted
     below = df.where(F.col(value) < q[0]).count() if n > accuracy else 0
-    inside = (df.where(F.col(value).between(q[0], q[1])).groupBy(value).agg(F.count("*").alias("_c")))
-    running = Window.orderBy(value)
-    ranked = inside.withColumn("_seen", F.sum("_c").over(running) + F.lit(below))
-    lo, hi = ranked.agg(
-        F.min(F.when(F.col("_seen") > math.floor(position), F.col(value))),
-        F.min(F.when(F.col("_seen") > math.ceil(position), F.col(value)))).first()
+    width = float(q[1]) - float(q[0])
+    slot = F.lit(0)
+    if 0 < width < math.inf:
+        slot = F.least(F.floor((F.col(value) - q[0]) / width * SLOTS), F.lit(SLOTS - 1)).cast("int")
+    inside = (df.where(F.col(value).between(q[0], q[1])).groupBy(value, slot.alias("_slot"))
+              .agg(F.count("*").alias("_c")))
+    before, found, at = below, {}, [None, None]
+    for row in inside.groupBy("_slot").agg(F.sum("_c").alias("_c")).orderBy("_slot").collect():  # at most SLOTS rows
+        for i, rank in enumerate(wanted):
+            if before <= rank < before + row._c:
+                found[row._slot], at[i] = before, row._slot
+        before += row._c
+    start = F.coalesce(*[F.when(F.col("_slot") == s, b) for s, b in found.items()])
+    running = Window.partitionBy("_slot").orderBy(value)
+    ranked = inside.where(F.col("_slot").isin(*found)).withColumn("_seen", F.sum("_c").over(running) + start)
+    lo, hi = ranked.agg(*[F.min(F.when((F.col("_slot") == s) & (F.col("_seen") > rank), F.col(value)))
+                          for s, rank in zip(at, wanted)]).first()
     return lo + (hi - lo) * (position - math.floor(position))
 
 
