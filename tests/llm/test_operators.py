@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from wirelens.llm import (decontaminate, language_model, line_dedup, near_dedup, packing, repetition, sharding, spans, suffix_dedup,
                           token_files, url_rules, word_ids)
+from wirelens.llm.queries import QUERIES
 from wirelens.llm.settings import LIMITS, tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -207,6 +208,17 @@ def test_language_model(docs, texts, empty, order):
     assert language_model.score_corpus(empty).count() == 0
 
 
+def test_registered_language_model_uses_two_words_of_context(spark, tmp_path):
+    """After "a b" always c, after "x b" always d: one word of context cannot tell which."""
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = next(i for i in range(60, 99) if zlib.crc32(str(i).encode()) % 5 == 1)
+    other = next(i for i in range(held + 1, 199) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(i, "a b c" if i % 2 else "x b d") for i in train] + [(held, "a b c"), (other, "a b d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(QUERIES["op5_lm_scoring"](spark, str(tmp_path)), "held_out", "score")
+    assert got[held][0] and got[other][0] and got[held][1] > got[other][1] + 0.5
+
+
 def encode_all(texts):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer())

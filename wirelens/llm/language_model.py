@@ -26,7 +26,7 @@ from wirelens.llm.common import file_system, parts_for, publish, text_bytes
 from wirelens.session import scratch_folder, ship_package
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # the marks around a text; words have 64-bit hashes
-HELD, BUCKET = 2_500_000, 16 << 20  # tokens a task counts before it sends; bytes of text per bucket
+HELD, BUCKET = 2_500_000, 32 << 20  # tokens a task counts before it sends; bytes of text per bucket, times the order
 SENT = "kind string, bucket int, blob binary, stats array<long>"
 
 
@@ -77,6 +77,24 @@ def from_blob(raw: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def packed(columns: list[np.ndarray]) -> bytes:
+    """Columns on their way to a bucket: rising hashes as differences, bytes of one weight together, compressed."""
+    def planes(c):
+        c = np.diff(c, prepend=np.uint64(0)) if c.dtype == np.uint64 else c
+        return np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).reshape(-1).view(c.dtype)
+    raw = to_blob([planes(c) for c in columns])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: pa.Buffer) -> list[np.ndarray]:
+    size = int.from_bytes(blob[:8].to_pybytes(), "little")
+    out = []
+    for c in from_blob(np.frombuffer(pa.decompress(blob[8:], size, codec="zstd"), np.uint8)):
+        c = np.ascontiguousarray(c.view(np.uint8).reshape(c.itemsize, len(c)).T).reshape(-1).view(c.dtype)
+        out.append(np.cumsum(c, dtype=np.uint64) if c.dtype == np.uint64 else c)
+    return out
+
+
 def added_up(key: np.ndarray, symbols: list[np.ndarray], sums: list[np.ndarray] | None):
     """Rows of one key made one: sorted keys, their symbols, added numbers (None: the number of rows)."""
     by = np.argsort(key, kind="stable")
@@ -96,10 +114,31 @@ def parcels(kind: str, key: np.ndarray, columns: list[np.ndarray], buckets: int,
     place = bucket_of(key, buckets)
     order = np.argsort(place, kind="stable") if by is None else np.lexsort((by, place))
     edges = np.searchsorted(place[order], np.arange(buckets + 1))
-    return [(kind, b, to_blob([narrow(c[o]) if c.dtype == np.int64 else c[o] for c in columns]), None)
+    return [(kind, b, packed([narrow(c[o]) if c.dtype == np.int64 else c[o] for c in columns]), None)
             for b in np.flatnonzero(np.diff(edges)).tolist() for o in [order[edges[b]:edges[b + 1]]]]
 
 
+def gram_parcels(k: int, key: np.ndarray, symbols: list[np.ndarray], count: np.ndarray, buckets: int) -> list[tuple]:
+    """N-grams to send: a parcel names each of its symbols once and then by its place among them."""
+    place = bucket_of(key, buckets)
+    order = np.lexsort((*symbols[::-1], place))
+    edges = np.searchsorted(place[order], np.arange(buckets + 1))
+    out = []
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        o = order[edges[b]:edges[b + 1]]
+        each, at = np.unique(np.concatenate([s[o] for s in symbols]), return_inverse=True)
+        out.append((f"grams{k}", b, packed([each, *np.split(narrow(at), k), narrow(count[o])]), None))
+    return out
+
+
+def opened(kind: str, blob: pa.Buffer) -> list[np.ndarray]:
+    """The columns of a parcel, symbols in full."""
+    columns = unpacked(blob)
+    if not kind.startswith("grams"):
+        return columns
+    return [*[columns[0][c] for c in columns[1:-1]], columns[-1]]
+
+
 def as_table(rows: list[tuple]) -> pa.Table:
     kinds = [("kind", pa.string()), ("bucket", pa.int32()), ("blob", pa.binary()), ("stats", pa.list_(pa.int64()))]
     return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds)})
@@ -155,11 +194,11 @@ class Model:
     unigrams: list[int]  # of continuation counts: seen once, twice, 3 times, 4 times, types, total
 
 
-def fit(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
+def fit(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
     """Count all texts of ``docs``; a null text is empty and still has its end mark."""
     spark = docs.sparkSession
     ship_package(spark)
-    folder, buckets = scratch_folder(spark, "ngrams"), parts_for(spark, text_bytes(docs, text), BUCKET)
+    folder, buckets = scratch_folder(spark, "ngrams"), parts_for(spark, text_bytes(docs, text), BUCKET // order)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -172,7 +211,7 @@ def fit(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
             if order > 1:
                 _, own, (c,) = added_up(chain(columns), columns, None)
                 columns.clear()
-                yield from as_table(parcels(f"grams{order}", chain(own), [*own, c], buckets, own[0])).to_batches()
+                yield from as_table(gram_parcels(order, chain(own), own, c, buckets)).to_batches()
         for batch in batches:
             for _, _, data, offsets in spans.slices(batch.column(0)):
                 symbols, of, token = streams(data, offsets, order)
@@ -189,7 +228,7 @@ def fit(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         kind, bucket = received.column("kind")[0].as_py(), received.column("bucket")[0].as_py()
         if kind.startswith("done"):
             return received
-        parts = [from_blob(np.frombuffer(b.as_buffer(), np.uint8)) for b in received.column("blob")]
+        parts = [opened(kind, b.as_buffer()) for b in received.column("blob")]
         columns = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
         rows = []
         if kind == "words" or kind.startswith("contexts"):
@@ -205,7 +244,7 @@ def fit(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
                 context, _, numbers = added_up(chain(own[:-1]), [], [c, c == 1, c == 2, c > 2])
                 rows += parcels(f"contexts{k}", context, [context, *numbers], buckets)
                 _, lower, (left,) = added_up(chain(own[1:]), own[1:], None)
-                rows += parcels(f"grams{k - 1}", chain(lower), [*lower, left], buckets, lower[0])
+                rows += gram_parcels(k - 1, chain(lower), lower, left, buckets)
         fs, base = file_system(folder)
         raw = to_blob([key, *map(narrow, sums)])
         publish(fs, f"{base}/{kind}/{bucket:06d}", f"{TaskContext.get().taskAttemptId()}", lambda out: out.write(raw))
@@ -287,7 +326,7 @@ def held_out(id_col: str, folds: int = 5, fold: int = 1) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
     """Fit on the rows that are not held out and score all; an empty table gives no rows."""
     model = fit(docs.where(~held_out(id_col)), text, order)
     return score(docs, model, id_col, text, [held_out(id_col).alias("held_out"), F.lit(model.train_tokens).cast("long").alias("train_tokens")])

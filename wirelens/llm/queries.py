@@ -118,7 +118,7 @@ def op4(spark, sf_dir):
 
 @query("op5_lm_scoring")
 def op5(spark, sf_dir):
-    return language_model.score_corpus(documents(spark, sf_dir), order=2).select(
+    return language_model.score_corpus(documents(spark, sf_dir), order=3).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
