@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -40,6 +40,20 @@ def test_alerting(spark, sf):
         routed.where("allow_rule is null and severity in ('critical', 'emergency')").select("flow_id"))
 
 
+def test_alerting_applies_the_limit_over_all_pairs(spark):
+    t0 = datetime(2026, 1, 1)
+    flows = [(i, t0 + timedelta(seconds=i), f"10.0.0.{i}") for i in range(25)] + [(25, t0 + timedelta(seconds=61), "10.0.0.24"),
+             (3, t0 + timedelta(seconds=200), "10.0.0.3"), (3, t0 + timedelta(seconds=201), "10.0.0.4"), (26, None, "10.0.0.9")]
+    df = spark.createDataFrame([(*f, "d", 1, 2, "TCP", "critical") for f in flows] + [(99, t0, "w", "d", 1, 2, "TCP", "warning")],
+                               "flow_id long, ts timestamp, src_ip string, dst_ip string, src_port int, dst_port int, "
+                               "proto string, severity string")
+    got = [tuple(r) for r in alert_flows(df, []).select("flow_id", "src_ip", "admitted").collect()]
+    assert len(got) == len(flows) + 1 and (99, "w", None) in got
+    # the pair of flow 24, held back by the limit, has started no cooldown; equal ids are judged one by one
+    assert sorted((i, s) for i, s, a in got if a) == sorted(
+        [(i, f"10.0.0.{i}") for i in range(20)] + [(25, "10.0.0.24"), (3, "10.0.0.3"), (3, "10.0.0.4")])
+
+
 def entry(spark, i, severity, action, queued):
     alert = spark.createDataFrame([(f"{i:03d}", "t", 10, "510", "d", "pi0", "log", severity, action, "", "model", None,
                                     False, False)],

@@ -149,6 +149,22 @@ def test_scored_stream_follows_new_files(spark, tmp_path):
     assert run() == ["1", "7"]
 
 
+def test_scored_stream_keeps_cooldown_and_limit_across_batches(spark, tmp_path):
+    landing, out, cp = tmp_path / "eve", str(tmp_path / "alerts"), str(tmp_path / "cp")
+    landing.mkdir()
+    model = AnomalyModel(preparation.Scaler(K.FEATURES_25, [0.0] * 25, [1000.0] * 25), 1.0)
+
+    def run(name, flows):
+        (landing / name).write_text("\n".join(
+            eve_flow_line(i, src_ip=src, timestamp=f"2026-03-25T10:{s // 60:02d}:{s % 60:02d}.000000+00:00") for i, s, src in flows))
+        jobs.stream_score_flows(eve.src_eve_stream(spark, str(landing), 1), model, [], out, cp, None).awaitTermination(180)
+        return sorted(int(r.flow_id) for r in spark.read.json(out).where("admitted").collect())
+    assert run("one.json", [(i, i, f"10.0.0.{i}") for i in range(12)] + [(50, 5, "10.0.0.0")]) == [*range(12)]
+    assert run("two.json", [(i, i, f"10.0.0.{i}") for i in range(12, 24)] + [(51, 15, "10.0.0.1")]) == [*range(20)]
+    assert run("three.json", [(60, 62, "10.0.0.23"), (61, 63, "10.0.0.23")]) == [*range(20), 60]
+    assert spark.read.json(out).count() == 28
+
+
 def hids_line(i, log):
     return json.dumps({"id": f"{i:06d}", "timestamp": "2026-01-01T00:00:00.000+0000", "full_log": log,
                        "rule": {"level": 10, "id": "510", "description": "d", "groups": ["g"]}, "agent": {"name": "pi0"}})

@@ -66,8 +66,8 @@ def severity_tier(score: Column, anomaly: Column, threshold: float) -> Column:
             .when(score >= threshold * K.WARN_FACTOR, "warning"))
 
 
-def alert_payload(scored: DataFrame, threshold: float) -> DataFrame:
-    """The 16 alert columns; rounding is half-even as in the published payloads."""
+def alert_payload(scored: DataFrame, threshold: float, keep=()) -> DataFrame:
+    """The 16 alert columns, and those to ``keep``; rounding is half-even as in the published payloads."""
     return scored.select(
         "severity", F.bround("score", 6).alias("score"), F.lit(round(threshold, 6)).alias("threshold"),
         F.bround(F.col("score") / threshold, 2).alias("ratio"),
@@ -76,7 +76,7 @@ def alert_payload(scored: DataFrame, threshold: float) -> DataFrame:
         F.bround(named("Flow Duration") / 1e6, 3).alias("duration_s"),
         named("Total Length of Fwd Packets").alias("fwd_bytes"),
         named("Total Length of Bwd Packets").alias("bwd_bytes"),
-        named("Total Fwd Packets").alias("fwd_pkts"), named("Total Backward Packets").alias("bwd_pkts"))
+        named("Total Fwd Packets").alias("fwd_pkts"), named("Total Backward Packets").alias("bwd_pkts"), *keep)
 
 
 def alert_payload_loki(payload: DataFrame, job: str = "flow-anomaly") -> DataFrame:
@@ -125,6 +125,10 @@ def alert_cooldown(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S, ts
     return marked.withColumn("admitted", passed).drop("_us", "_first", "_pick")
 
 
+def pair_key(pair=("src_ip", "dst_ip")) -> Column:
+    return F.to_json(F.struct(*pair), {"ignoreNullFields": "false"})
+
+
 def _fold_chunk(limit: int, cooldown_us: int, window_us: int):
     """Admission rule over one chunk of ordered alerts, continuing from the admissions handed in."""
     def fold(events: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
@@ -148,7 +152,7 @@ def _fold_chunk(limit: int, cooldown_us: int, window_us: int):
 
 def alert_rate_limit(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S, limit: int = K.ALERTS_PER_WINDOW,
                      window_s: float = K.ALERT_WINDOW_S, ts: str = "ts", row_id: str = "flow_id",
-                     pair=("src_ip", "dst_ip"), chunk_rows: int = 200_000) -> DataFrame:
+                     pair=("src_ip", "dst_ip"), chunk_rows: int = 200_000, earlier=()) -> DataFrame:
     """Add ``admitted``: the pair's cooldown has passed and fewer than ``limit`` alerts were
     admitted in the trailing window over all pairs.  A rejected alert starts no cooldown.
 
@@ -158,19 +162,22 @@ def alert_rate_limit(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S,
     folded again, until nothing changes; that is exact, because the first chunk is right from
     the start and each pass settles at least the next one.  A silence longer than the state
     reaches back settles everything after it at once.  Only (time, id, pair) takes part.
+
+    ``earlier`` holds (microseconds, ``pair_key``) of admissions before these alerts, as a stream knows them.
+    An alert without a time is not admitted.
     """
     cooldown_us, window_us = int(cooldown_s * 1e6), int(window_s * 1e6)
     reach = max(cooldown_us, window_us)
-    slim = alerts.select(
-        F.col(row_id).alias("row"), micros(F.col(ts)).alias("us"),
-        F.to_json(F.struct(*pair), {"ignoreNullFields": "false"}).alias("pair"))
+    slim = alerts.where(F.col(ts).isNotNull()).select(
+        F.col(row_id).alias("row"), micros(F.col(ts)).alias("us"), pair_key(pair).alias("pair"))
     slim = slim.withColumn("_b", F.floor(F.col("us") / reach).cast("long"))
     ranked = rank_within(slim, [], "_b", [F.col("us"), F.col("row")], "_rank", "_n")
     events = cut_lineage(ranked.select(
         F.floor(F.col("_rank") / chunk_rows).cast("long").alias("chunk"), "us", "row", "pair"))
     bounds = cut_lineage(events.groupBy("chunk").agg(F.min("us").alias("first_us")))
     fold = _fold_chunk(limit, cooldown_us, window_us)
-    nothing = events.select("chunk", "us", "pair").limit(0)
+    known = alerts.sparkSession.createDataFrame([tuple(e) for e in earlier], "us long, pair string")
+    before = cut_lineage(bounds.join(known, F.col("us") >= F.col("first_us") - reach).select("chunk", "us", "pair"))
 
     def run(part: DataFrame, entry: DataFrame) -> DataFrame:
         fresh = entry.select(F.col("chunk").alias("chunk"), "us", "pair")
@@ -185,9 +192,9 @@ def alert_rate_limit(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S,
             F.floor(F.col("first_us") / reach), F.floor(F.col("first_us") / reach) - 1)))
         near = admitted.select(F.col("chunk").alias("_from"), "us", "pair", F.floor(F.col("us") / reach).alias("_b"))
         return (slots.join(near, "_b").where((F.col("us") >= F.col("first_us") - reach) & (F.col("_from") < F.col("chunk")))
-                .select("chunk", "us", "pair"))
+                .select("chunk", "us", "pair").unionByName(before))
 
-    admitted, entry = run(events, nothing), nothing
+    admitted, entry = run(events, before), before
     while True:
         now = cut_lineage(entry_states(admitted))
         changed = cut_lineage(now.exceptAll(entry).unionByName(entry.exceptAll(now)).select("chunk").distinct())

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wirelens import constants as K
 from wirelens.functions.numeric import named, total
+from wirelens.functions.time import micros
 from wirelens.operators import preparation, routing, scoring
+from wirelens.operators.skew import rank_within
 from wirelens.session import cut_lineage
 
 
@@ -42,11 +44,22 @@ def score_flows(features: DataFrame, model: AnomalyModel) -> DataFrame:
             .withColumn("severity", routing.severity_tier(F.col("score"), F.col("anomaly"), model.threshold)))
 
 
+def route_alerts(scored: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S, earlier=()) -> DataFrame:
+    """Add ``admitted``: whether the pair's cooldown and the limit over all pairs let an alert pass; null for
+    flows that raise none (warnings, which are only logged, and flows below every tier or on the allowlist).
+
+    Alerts are numbered in the order of time and id, so flows that share an id are judged one by one.
+    """
+    open_flow = F.col("allow_rule").isNull() if "allow_rule" in scored.columns else F.lit(True)
+    raises = open_flow & F.coalesce(F.col("severity").isin("critical", "emergency"), F.lit(False))
+    slot = F.floor(micros(F.col("ts")) / 60_000_000)
+    numbered = cut_lineage(rank_within(scored.where(raises).withColumn("_slot", slot), [], "_slot",
+                                       [F.col("ts"), F.col("flow_id")], "_row", "_all").drop("_slot", "_all"))
+    limited = routing.alert_rate_limit(numbered, cooldown_s, row_id="_row", earlier=earlier).drop("_row")
+    return scored.where(~raises).withColumn("admitted", F.lit(None).cast("boolean")).unionByName(limited)
+
+
 def alert_flows(scored: DataFrame, rules, cooldown_s: float = K.ALERT_COOLDOWN_S) -> DataFrame:
     """Every flow with its allowlist rule and, where it raises an alert, whether the pair's
-    cooldown admits it (null: not checked).  Only the few alerting rows are shuffled."""
-    matched = routing.allowlist_match(scored, rules)
-    raises = F.col("allow_rule").isNull() & F.coalesce(F.col("severity").isin("critical", "emergency"), F.lit(False))
-    alerts = cut_lineage(matched.where(raises))
-    quiet = matched.where(~raises).withColumn("admitted", F.lit(None).cast("boolean"))
-    return quiet.unionByName(routing.alert_cooldown(alerts, cooldown_s))
+    cooldown and the limit over all pairs let it pass (``admitted``; null where there is nothing to check)."""
+    return route_alerts(routing.allowlist_match(scored, rules), cooldown_s)

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wirelens import constants as K
+from wirelens.functions.time import micros
 from wirelens.operators import flow_records, ids_alerts, lessons as L, routing, triage
-from wirelens.plans.flow_alerting import AnomalyModel, score_flows
-from wirelens.session import use_utc
+from wirelens.plans.flow_alerting import AnomalyModel, route_alerts, score_flows
+from wirelens.session import cut_lineage, use_utc
 from wirelens.sources.eve import CORRUPT, flow_records as flows_of_events, good_lines
 from wirelens.sources.store import append_once, applied_batch, load_mark, save_lessons, save_mark, src_lessons
 
@@ -26,7 +27,7 @@ def stream_microbatch(stream: DataFrame, write: Callable[[DataFrame, int], None]
 
 def scored_stream(events: DataFrame, model: AnomalyModel, rules: list[dict],
                   min_packets: int = K.LIVE_MIN_PACKETS) -> DataFrame:
-    """Sensor events to tiered alerts: the batch operators on a stream, no state involved."""
+    """Sensor events to tiered flows: the batch operators on a stream, no state involved."""
     flows = flow_records.min_packets_filter(flows_of_events(events), min_packets)
     scored = score_flows(flow_records.eve_features_25(flows), model)
     return routing.allowlist_exclude(scored, rules).where(F.col("severity").isNotNull())
@@ -34,8 +35,33 @@ def scored_stream(events: DataFrame, model: AnomalyModel, rules: list[dict],
 
 def stream_score_flows(events: DataFrame, model: AnomalyModel, rules: list[dict], out: str, checkpoint: str,
                        seconds: float | None = 5) -> StreamingQuery:
-    alerts = routing.alert_payload(scored_stream(events, model, rules), model.threshold)
-    return stream_microbatch(alerts, append_once(out), checkpoint, seconds)
+    """Every tiered flow as a payload with ``admitted``: true for the alerts to send, false for those that the
+    pair's cooldown or the limit over all pairs holds back, null for warnings, which are only logged.
+
+    Batches are judged in the order they arrive and by event time inside a batch.  Admissions that still count
+    (a few for each window of the limit) are kept beside the checkpoint for the next batch, and those
+    before a batch too, so that a replayed batch is judged as it was.
+    """
+    return stream_microbatch(scored_stream(events, model, rules), routing_batch(model, out, f"{checkpoint}/routing"),
+                             checkpoint, seconds)
+
+
+def routing_batch(model: AnomalyModel, out: str, marks: str, cooldown_s: float = K.ALERT_COOLDOWN_S):
+    """foreachBatch body of the alert stream."""
+    reach = int(max(cooldown_s, K.ALERT_WINDOW_S) * 1e6)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = load_mark(spark, marks)
+        earlier = done.get("before" if done.get("batch", -1) >= batch_id else "after") or []
+        routed = cut_lineage(route_alerts(cut_lineage(batch), cooldown_s, earlier))
+        append_once(out)(routing.alert_payload(routed, model.threshold, ["admitted"]), batch_id)
+        passed = routed.where("admitted").select(micros(F.col("ts")).alias("us"), routing.pair_key().alias("pair"))
+        newest = max([e[0] for e in earlier] + [passed.agg(F.max("us")).first()[0] or 0])
+        recent = passed.where(F.col("us") >= newest - reach).collect()  # at most the limit for each window of reach
+        after = [e for e in earlier if e[0] >= newest - reach] + [list(r) for r in recent]
+        save_mark(spark, marks, batch=batch_id, before=earlier, after=after)
+    return write
 
 
 def stream_dedup_alerts(alerts: DataFrame, keep: str = "1 hour") -> DataFrame:
