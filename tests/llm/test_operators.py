@@ -163,6 +163,14 @@ def test_near_duplicates_of_one_template(spark):
     assert by_id(near_dedup.near_duplicates(df, shingle=2), "component_id") == {i: (root(i),) for i in range(len(made))}
 
 
+def test_groups_of_blocks_are_bounded(spark):
+    """A bucket whose members are not linked is copied into many blocks; groups follow the copies."""
+    sizes = spark.createDataFrame([(1, 100_000, 99_999), (2, 10, 3)], "band long, n long, m long")
+    copies = 99_999 * 49 + 100_000 * 49 + 13
+    assert near_dedup.BLOCK == 2048 and near_dedup.bins_for(sizes, 12) * 20_000 >= copies
+    assert near_dedup.bins_for(sizes.limit(0), 12) == 12
+
+
 def test_null_ids_of_near_duplicates(spark):
     t = "some words that are the same in all of these"
     df = spark.createDataFrame([(None, t), (None, t), (None, "x y"), (4, t + " too"), (4, None)], "doc_id long, text string")

@@ -30,6 +30,7 @@ from wirelens.llm.common import landed, row_key
 from wirelens.session import cut_lineage, ship_package
 
 BANDS, ROWS, BITS, WHOLE_BITS, TRIES, BLOCK = 56, 6, 1024, 2048, 3, 2048
+GROUP = 20_000  # rows of blocks that are compared in one group
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, (BANDS * ROWS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
@@ -134,6 +135,13 @@ def bits_of_sets(elements, lib, similarity: float, deviations: float = 7.0):
     return (lib.least(gone, sharp) if lib is F else lib.minimum(gone, sharp)) + 1e-6
 
 
+def bins_for(sizes: DataFrame, least: int) -> int:
+    """Groups of some ``GROUP`` rows: every member is sent to all blocks of its row or column of blocks."""
+    wide, high = F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK)
+    rows = sizes.agg(F.coalesce(F.sum(F.col("m") * wide + F.col("n") * high), F.lit(0))).first()[0]
+    return max(least, -(-int(rows) // GROUP))
+
+
 def possible_links(mixed: DataFrame, sizes: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of different components that share a band and whose full-set sketches allow a link.
 
@@ -148,8 +156,7 @@ def possible_links(mixed: DataFrame, sizes: DataFrame, held: DataFrame, similari
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = dealt.where(~F.col("in_largest")).select("*", (at % F.col("high")).cast("int").alias("i"), every("wide").alias("j"), F.lit(0).alias("side"))
     right = dealt.select("*", (at % F.col("wide")).cast("int").alias("j"), every("high").alias("i"), F.lit(1).alias("side"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
+    bins = bins_for(sizes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = left.unionByName(right).select(
         F.pmod(F.xxhash64("band", "i", "j"), F.lit(bins)).alias("bin"), F.xxhash64("band", "i", "j").alias("block"),
         "side", "node", "root", "in_largest", "n_shingles", "whole")
