@@ -321,6 +321,14 @@ def check_shards(rows, n, shards):
     assert sum(sizes) == n and max(sizes) - min(sizes) <= 1 and all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+def test_sharding_of_a_shared_key_is_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANKED", 50)
+    df = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 450).cast("string")).alias("text"))
+    placed = sharding.assign_shards(df, ["doc_id"], 7)
+    check_shards(placed.collect(), 900, 7)
+    assert "salt" in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ring_moves_little():
     orders = sharding.ring(16)
     counts = dict.fromkeys(range(sharding.SLOTS), 10)

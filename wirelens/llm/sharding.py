@@ -6,7 +6,8 @@ bound; rows beyond it go on clockwise to the next shard that has room.  With the
 ceil of rows / shards) all counts are at most one apart; a looser ``load`` moves fewer rows.
 
 Who goes on is decided on counts per slot (a table whose size is the ``slots`` parameter, whatever the
-input); rows only need their rank inside the slot.  Equal rows are counted as one and multiplied again
+input); rows only need their rank inside the slot.  A slot that a shared key fills is ranked in parts by a
+hash of the row, each offset by the counts of the parts before it.  Equal rows are counted as one and multiplied again
 after ranking, so copies of one row cannot fill a task.
 """
 
@@ -17,6 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 SLOTS, NODES = 4096, 64
+RANKED = 200_000  # rows of a slot that are ranked in one task
 
 
 def ring(shards: int, slots: int = SLOTS, nodes: int = NODES) -> list[list[int]]:
@@ -80,8 +82,16 @@ def assign_shards(rows: DataFrame, key: list[str], shards: int = 16, load: float
               .withColumn("ring_slot", F.pmod("place", F.lit(slots)).cast("int")))
     counts = {r[0]: r[1] for r in placed.groupBy("ring_slot").agg(F.sum("copies")).collect()}  # at most ``slots`` rows
     pieces = fill(counts, ring(shards, slots, nodes), bounds(sum(counts.values()), shards, load))
-    order = Window.partitionBy("ring_slot").orderBy("place", "row")
-    ranked = (placed.withColumn("upto", F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    salts = -(-max(counts.values(), default=1) // RANKED)
+    before = F.lit(0)
+    if salts > 1:
+        placed = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "row"), F.lit(salts)))
+        earlier = Window.partitionBy("ring_slot").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+        parts = placed.groupBy("ring_slot", "salt").agg(F.sum("copies").alias("n")).select(
+            "ring_slot", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        placed, before = placed.join(parts, ["ring_slot", "salt"]), F.col("before")
+    order = Window.partitionBy("ring_slot", *["salt"] * (salts > 1)).orderBy("place", "row")
+    ranked = (placed.withColumn("upto", before + F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
               .select("row", "ring_slot", F.explode(F.sequence(F.col("upto") - F.col("copies"), F.col("upto") - 1)).alias("rank")))
     table = json.dumps([dict(zip(("ring_slot", "shard", "lo", "hi", "base"), p)) for p in pieces])
     plan = rows.sparkSession.range(1).select(F.inline(F.from_json(
