@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wirelens.llm import decontaminate, line_dedup, near_dedup, packing, repetition
 from wirelens.llm.common import documents, landed, row_key
-from wirelens.llm.settings import LIMITS, MIN_DOCUMENTS, NEAR, PACKING, WIDTH, tokenizer
+from wirelens.llm.settings import LIMITS, MIN_DOCUMENTS, NEAR_STAGE, PACKING, WIDTH, tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs, **NEAR).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_dedup.near_duplicates(docs, **NEAR_STAGE).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 

@@ -366,6 +366,15 @@ def test_suffix_array_sorts():
         assert order == sorted(range(n), key=lambda i: codes[i:].tolist())
 
 
+def test_near_dedup_stage_takes_five_words(spark, sf):
+    """A word in thirty replaced: alike on pairs of words, not on five words."""
+    a = [f"w{i}" for i in range(300)]
+    b = [f"x{i}" if i % 30 == 15 else w for i, w in enumerate(a)]
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*a, "end"]))], "doc_id long, text string")
+    got = {r[0] for r in corpus_pipeline.near_dedup_stage(spark, df, sf).collect()}
+    assert near_dedup.near_duplicates(df, shingle=2).where("kept").count() == 1 and got == {1, 2}
+
+
 def test_pipeline(spark, sf, tmp_path):
     """The stages keep the columns of documents, and each does to its own input what its operator says."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

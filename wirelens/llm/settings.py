@@ -3,7 +3,8 @@
 import os
 
 MIN_DOCUMENTS = 10
-NEAR = {"shingle": 2, "percent": 80}
+NEAR = {"shingle": 2, "percent": 80}  # the contract of op4
+NEAR_STAGE = {"shingle": 5, "percent": 80}  # the pipeline's
 LIMITS = {"window": 8, "min_words": 20, "max_window_percent": 30, "min_repeat": 10, "max_repeated_percent": 25, "max_repeat": 200}
 WIDTH = 10
 PACKING = {"end_id": 2, "most": 4096}
