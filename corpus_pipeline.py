@@ -6,6 +6,8 @@ from wirelens.llm import decontaminate, line_dedup, near_dedup, packing, repetit
 from wirelens.llm.common import documents, landed, row_key
 from wirelens.llm.settings import LIMITS, MIN_DOCUMENTS, NEAR_STAGE, PACKING, WIDTH, tokenizer
 
+WORD = r"[^\x20\x09-\x0D]"  # any character of a word
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep; null and empty texts go."""
@@ -21,9 +23,24 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    kept = near_dedup.near_duplicates(docs, **NEAR_STAGE).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One document of each group of near duplicates, the one with the smallest id (null comes last).
+
+    Documents are taken back by id and text, so null and repeated ids keep no others; of rows that agree in both, one stays.
+    """
+    judged = near_dedup.near_duplicates(docs, **NEAR_STAGE, with_keys=True).where("node is not null")
+    copies = judged.groupBy("root", "doc_id", "k").agg(F.count("*").alias("n"))
+    first = copies.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "k", "n")).alias("x"))
+    kept = landed(first.select(F.col("x.k").alias("kept_key"), F.col("x.n").alias("n")), "kept")
+
+    def found(rows: DataFrame) -> DataFrame:
+        return docs.join(rows, row_key("doc_id", "text") == F.col("kept_key"), "left_semi")
+    wordless = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(WORD))  # linked with nothing
+    out = found(kept.where("n = 1")).unionByName(wordless)
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return out
+    one = found(repeated).groupBy(row_key("doc_id", "text").alias("kept_key")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return out.unionByName(one.select("row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -375,6 +375,17 @@ def test_near_dedup_stage_takes_five_words(spark, sf):
     assert near_dedup.near_duplicates(df, shingle=2).where("kept").count() == 1 and got == {1, 2}
 
 
+def test_near_dedup_stage_with_null_and_equal_ids(spark, sf):
+    say = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(None, say("a")), (None, say("a") + " more"), (None, say("b")), (7, say("b") + " more"), (None, say("c")), (None, say("c")),
+            (8, say("d")), (8, say("e")), (8, say("e") + " more"), (9, say("f")), (9, say("f")), (None, None), (5, "")]
+    df = spark.createDataFrame([(*r, f"s{i}") for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, df, sf).collect()]
+    groups = Counter((t or "")[:1] for _, t, _ in got)
+    assert groups == {"a": 1, "b": 1, "c": 1, "d": 1, "e": 1, "f": 1, "": 2}
+    assert {(i, t[:1]) for i, t, _ in got if t} == {(None, "a"), (7, "b"), (None, "c"), (8, "d"), (8, "e"), (9, "f")}
+
+
 def test_pipeline(spark, sf, tmp_path):
     """The stages keep the columns of documents, and each does to its own input what its operator says."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -245,8 +245,10 @@ def components(edges: DataFrame, one: str = "a", other: str = "b") -> DataFrame:
     return edges.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, node) for every row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
+                    with_keys: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, node) for every row of ``docs``; ``with_keys``, also ``root``, which
+    stands for the component where ids are null or repeated, and ``k``, the ``row_key`` of id and text.
 
     Links are pairs with 100 * intersection >= percent * union of their shingle sets; component_id is
     the smallest id reachable.  A text without words, or null, is linked with nothing.  Rows with equal ids
@@ -327,7 +329,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     rooted = classes.select("node", "smallest").join(roots, "node", "left").select("node", "smallest", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("smallest").alias("lowest"))
-    named = rooted.join(lowest, "root").select("node", F.col("lowest").alias("component_id"))
-    judged = own.select("doc_id", "n_shingles", "node").join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
-    return judged.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node")
+    keys = ["root", "k"] if with_keys else []
+    named = rooted.join(lowest, "root").select("node", *keys[:1], F.col("lowest").alias("component_id"))
+    judged = own.select("doc_id", "n_shingles", "node", *[F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias(c) for c in keys[1:]]).join(named, "node", "left").select(
+        "doc_id", "n_shingles", *keys, F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    return judged.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node", *keys)
