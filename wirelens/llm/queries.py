@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wirelens.llm import (decontaminate, language_model, line_dedup, near_dedup, packing, repetition, sharding, suffix_dedup,
                           token_files, url_rules)
+from wirelens.llm import queries_more
 from wirelens.llm.common import documents
 from wirelens.llm.settings import LIMITS, MIN_DOCUMENTS, NEAR, PACKING, WIDTH, tokenizer
 
@@ -220,3 +221,6 @@ def op10(spark, sf_dir):
 
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+QUERIES.update(queries_more.QUERIES)
+ORACLES.update(queries_more.ORACLES)

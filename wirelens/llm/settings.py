@@ -17,3 +17,13 @@ def tokenizer() -> str:
         return named
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def aligned_tokenizers() -> tuple[str, str]:
+    """The byte-level and the piece vocabulary; WIRELENS_ALIGNED names two others, with os.pathsep between."""
+    named = os.environ.get("WIRELENS_ALIGNED")
+    if named:
+        first, second = named.split(os.pathsep)
+        return first, second
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
