@@ -183,7 +183,7 @@ def status_tier(actionable: Column) -> Column:
 
 def overnight_summary(alerts: DataFrame, suppressed=tuple(K.INFRA_SIDS)) -> DataFrame:
     """One row: all alerts, actionable ones, distinct actionable signatures and the status."""
-    acts = ~F.col("sid").isin(*suppressed)
+    acts = F.col("sid").isNull() | ~F.col("sid").isin(*suppressed) if suppressed else F.lit(True)  # as ``sid_suppress`` keeps them
     out = alerts.agg(F.count("*").alias("total"), F.count_if(acts).alias("actionable"),
                      F.count_distinct(F.when(acts, F.col("signature"))).alias("signatures"))
     return out.withColumn("status", status_tier(F.col("actionable")))

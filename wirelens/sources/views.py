@@ -86,8 +86,7 @@ def eve_flow(spark, sf_dir) -> DataFrame:
 
 
 def ids_alerts(spark, sf_dir, read=table) -> DataFrame:
-    e = read(spark, sf_dir, "events").where(F.col("event_type").isin("error", "click"))
-    e = e.select("event_id", "ts", "user_id", _k())
+    e = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", _k())
     k = F.col("k")
     text = k.cast("string")
     family = F.when(k % 4 == 0, "HUNTING").when(k % 4 == 1, "INFO").when(k % 4 == 2, "SCAN").otherwise("POLICY")
@@ -196,7 +195,7 @@ SQL = {
    ELSE 'ET ' || (CASE k % 4 WHEN 0 THEN 'HUNTING' WHEN 1 THEN 'INFO' WHEN 2 THEN 'SCAN' ELSE 'POLICY' END) || ' rule ' || k
    END AS signature,
   'category ' || (k % 5) AS category, '10.0.0.' || (user_id % 16) AS src_ip, '203.0.113.' || (event_id % 5) AS dest_ip
- FROM (SELECT *, {_K} FROM events WHERE event_type IN ('error', 'click'))""",
+ FROM (SELECT *, {_K} FROM events)""",
     "v_hids": f"""
  SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, ts, k % 17 AS level, CAST(500 + k % 20 AS VARCHAR) AS rule_id,
   'rule text ' || (k % 20) AS description, 'pi' || (user_id % 3) AS agent,
