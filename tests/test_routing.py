@@ -23,6 +23,8 @@ def test_allowlist(spark):
         spark.createDataFrame(want, "a long, b string"))
     assert rows(routing.allowlist_exclude(flows, rules).select("flow_id")) == [(2,)]
     assert routing.allowlist_match(flows, []).where("allow_rule is not null").count() == 0
+    long = rules + [{"name": f"never {i}", "proto": "X", "src_port": i} for i in range(routing.LISTED_RULES)]
+    assert rows(routing.allowlist_match(flows, long).select("flow_id", "allow_rule")) == rows(spark.createDataFrame(want, "a long, b string"))
 
 
 def test_rule_without_keys_matches_all_and_order_decides(spark):
@@ -34,6 +36,34 @@ def test_rule_without_keys_matches_all_and_order_decides(spark):
         assert routing.allowlist_match(flows, given).first().allow_rule == "any"
 
 
+def test_large_rule_table_without_exchanging_flows(spark, monkeypatch):
+    rnd = random.Random(8)
+    draw = {"src_ip": lambda: f"10.0.{rnd.randrange(40)}.{rnd.randrange(40)}", "dst_ip": lambda: f"8.8.{rnd.randrange(9)}.{rnd.randrange(99)}",
+            "src_port": lambda: rnd.randrange(1024, 3000), "dst_port": lambda: rnd.randrange(1, 900), "proto": lambda: rnd.choice(["TCP", "UDP"])}
+    shapes = [("src_ip", "dst_port"), ("dst_ip", "src_port", "proto"), ("src_ip", "dst_ip"), ("src_port", "dst_port"), tuple(draw)]
+    rules = [{"name": f"r{i}", **{k: draw[k]() for k in shapes[i % 5]}} for i in range(100_000)]
+    flows = [(i, *[None if rnd.random() < 0.05 else make() for make in draw.values()]) for i in range(3_000)]
+    first = {}
+    for i, r in enumerate(rules):
+        first.setdefault(tuple(r.get(k) for k in draw), i)
+    want = []
+    for i, *values in flows:
+        held = dict(zip(draw, values))
+        hits = [first[key] for s in shapes if (key := tuple(held[k] if k in s else None for k in draw)) in first and None not in [held[k] for k in s]]
+        want.append((i, f"r{min(hits)}" if hits else None))
+    asked = spark.createDataFrame(flows, FLOW)
+    table = routing.rule_table(spark, rules)
+    got = routing.allowlist_match(asked, table)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got.select("flow_id", "allow_rule")) == rows(spark.createDataFrame(want, "a long, b string"))
+    outer = plan.split("Subquery")[0]
+    assert "Exchange" not in outer and "Join" not in outer
+    monkeypatch.setattr(routing, "CLASSIFIER_RULES", 1_000)  # a larger table is joined, with the same result
+    joined = routing.allowlist_match(asked, table)
+    assert rows(joined.select("flow_id", "allow_rule")) == rows(got.select("flow_id", "allow_rule"))
+    assert joined.columns == got.columns
+
+
 def test_tiers(spark):
     df = spark.createDataFrame([(2.0, True), (2.0, False), (1.5, True), (0.9, False), (0.8, False), (0.7, False)],
                                "s double, a boolean")

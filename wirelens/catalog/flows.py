@@ -319,6 +319,32 @@ def _(spark, sf):
 oracle("allowlist_match_table", V, f"SELECT flow_id, {ALLOW_SQL} AS allow_rule FROM v_eve_flow")
 
 
+# every third flow gives a rule, in five shapes, and one in a thousand is a rule that names nothing known
+_DERIVED = {"src_ip": "flow_id % 5 <> 1", "dst_ip": "flow_id % 5 IN (0, 1)", "src_port": "flow_id % 5 = 2", "dst_port": "flow_id % 5 IN (1, 3)",
+            "proto": "flow_id % 5 = 4 AND flow_id % 2 = 0"}
+
+
+@query("allowlist_match_derived")
+def _(spark, sf):
+    flows = views.eve_flow(spark, sf)
+    rules = flows.where("flow_id % 3 = 0").select(
+        F.col("flow_id").cast("int").alias("ord"), F.concat(F.lit("rule "), "flow_id").alias("name"),
+        *[F.expr(f"CASE WHEN {there} THEN {k} END").alias(k) for k, there in _DERIVED.items()])
+    asked = flows.withColumn("src_ip", F.expr("CASE WHEN flow_id % 11 <> 0 THEN src_ip END"))
+    return routing.allowlist_match(asked, rules.where("ord % 4 <> 0 OR src_port IS NOT NULL")).select("flow_id", "allow_rule")
+
+
+oracle("allowlist_match_derived", V, f"""SELECT flow_id, 'rule ' || (SELECT min(o) FROM ({" UNION ALL ".join(
+    f"SELECT o FROM best b WHERE s = {s}" + "".join(f" AND b.{k} = f.{k}" for i, k in enumerate(_DERIVED) if s >> i & 1) for s in range(32))}))
+ AS allow_rule FROM flows f""", {
+    "flows": "SELECT * REPLACE (CASE WHEN flow_id % 11 <> 0 THEN src_ip END AS src_ip) FROM v_eve_flow",
+    "rules": "SELECT flow_id AS o, " + ", ".join(f"CASE WHEN {there} THEN {k} END AS {k}" for k, there in _DERIVED.items())
+             + " FROM v_eve_flow WHERE flow_id % 3 = 0",
+    "best": "SELECT " + ", ".join(_DERIVED) + ", min(o) AS o, " + " + ".join(
+        f"CASE WHEN {k} IS NULL THEN 0 ELSE {1 << i} END" for i, k in enumerate(_DERIVED))
+            + " AS s FROM rules WHERE o % 4 <> 0 OR src_port IS NOT NULL GROUP BY " + ", ".join(_DERIVED)})
+
+
 @query("allowlist_exclude")
 def _(spark, sf):
     return routing.allowlist_exclude(views.eve_flow(spark, sf), views.ALLOW_RULES).select("flow_id", "dst_ip")

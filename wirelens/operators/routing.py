@@ -1,5 +1,6 @@
 """From scored flows to routed alerts."""
 
+import functools
 from collections import deque
 
 import pandas as pd
@@ -15,34 +16,90 @@ from wirelens.session import cut_lineage
 MATCH_KEYS = ["src_ip", "dst_ip", "src_port", "dst_port", "proto"]
 
 
-def allowlist_match(flows: DataFrame, rules, out: str = "allow_rule") -> DataFrame:
-    """Name of the first rule whose present keys all equal the flow's; an absent key is a wildcard.
+LISTED_RULES = 64  # rules of a list that are asked one after the other, as conditions of the plan
+CLASSIFIER_RULES = 250_000  # rules that travel with every task, some 150 bytes each
+
+
+def _shape() -> Column:
+    """Which keys a rule names, as bits."""
+    return sum(((F.col(k).isNotNull()).cast("int") * (1 << i) for i, k in enumerate(MATCH_KEYS)), F.lit(0))
+
+
+def _slot(shape: Column, keys: list[str], slots: int) -> Column:
+    return F.pmod(F.xxhash64(shape, *[F.col(k).cast("string") for k in keys]), F.lit(slots)).cast("int")
+
+
+def _named(shape: int) -> list[str]:
+    return [k for i, k in enumerate(MATCH_KEYS) if shape >> i & 1]
+
+
+def _slot(keys: list[str], slots: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(slots), *[F.col(k).cast("string") for k in keys]), F.lit(slots)).cast("int")
+
+
+def rule_slots(rules: DataFrame, shape: int, slots: int) -> DataFrame:
+    """One row: the rules that name the keys of ``shape`` as a hash table, ``slots`` lists of (keys, rule).
 
-    Rules (Python dicts, or a table of ord, name and keys) are matched by one equi-join per
-    combination of present keys (at most 32), never by comparing each flow with each rule.
+    Of rules with equal keys only the first can ever decide and is kept.
+    """
+    keys = _named(shape)
+    first = rules.where(_shape() == shape).groupBy(*keys).agg(F.min(F.struct("ord", "name")).alias("rule"))
+    held = first.groupBy(_slot(keys, slots).alias("slot")).agg(F.collect_list(F.struct(*keys, "rule")).alias("rules"))
+    every = rules.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(held, "slot", "left")
+    none = F.array().cast(held.schema["rules"].dataType)
+    ordered = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("rules", none).alias("rules"))))
+    return every.agg(F.transform(ordered, lambda s: s["rules"]).alias("slots"))
+
+
+def _first_fit(column: str, shape: int) -> Column:
+    """The rules of a slot that equal the flow in all keys they name; a list of at most one."""
+    return F.filter(F.col(column), lambda rule: functools.reduce(Column.__and__, [rule[k] == F.col(k) for k in _named(shape)], F.lit(True)))
+
+
+def _first_listed(rules: list[dict]) -> Column:
+    name = F.lit(None).cast("string")
+    for rule in reversed(rules):
+        named_keys = [F.col(k) == F.lit(rule[k]) for k in MATCH_KEYS if rule.get(k) is not None]
+        name = F.when(functools.reduce(Column.__and__, named_keys, F.lit(True)), F.lit(rule["name"])).otherwise(name)
+    return name
+
+
+def allowlist_match(flows: DataFrame, rules, out: str = "allow_rule") -> DataFrame:
+    """Name of the first rule whose present keys all equal the flow's; an absent key is a wildcard, a null in a flow
+    equals nothing.
+
+    A short list of Python dicts becomes conditions of the plan.  Longer lists, and tables of ord, name and keys,
+    become a tuple-space classifier: a hash table for
+    every combination of keys that some rule names (at most 32), asked once per flow.  The tables are
+    scalars of the plan, so a flow is judged in a projection and never shuffled.  That holds up to
+    ``CLASSIFIER_RULES`` rules, which are counted first; a larger table is matched by one equi-join a
+    combination, with the same result.
     """
-    columns = flows.columns
     if isinstance(rules, list):
-        if not rules:
-            return flows.withColumn(out, F.lit(None).cast("string"))
-        present = {tuple(r.get(k) is not None for k in MATCH_KEYS) for r in rules}
+        if len(rules) <= LISTED_RULES:
+            return flows.withColumn(out, _first_listed(rules))
         rules = rule_table(flows.sparkSession, rules)
-    else:
-        present = {tuple(r) for r in rules.select(*[F.col(k).isNotNull() for k in MATCH_KEYS]).distinct().collect()}
-    shapes = [[k for k, there in zip(MATCH_KEYS, row) if there] for row in sorted(present)]
+    counted = {r["shape"]: r["count"] for r in rules.groupBy(_shape().alias("shape")).count().collect()}  # at most 32 rows
+    if not counted:
+        return flows.withColumn(out, F.lit(None).cast("string"))
+    if sum(counted.values()) > CLASSIFIER_RULES:
+        return _match_by_joins(flows, rules, sorted(counted), out)
+    columns, looked = flows.columns, {}
+    for shape, n in sorted(counted.items()):
+        slots = 1 << n.bit_length()
+        looked[shape] = F.get(rule_slots(rules, shape, slots).scalar(), _slot(_named(shape), slots)).alias(f"_rules{shape}")
+    held = flows.select("*", *looked.values())
+    rule = [F.transform(_first_fit(f"_rules{shape}", shape), lambda rule: rule["rule"]) for shape in looked]
+    return held.select(*[named(c) for c in columns], F.array_min(F.concat(*rule))["name"].alias(out))
+
+
+def _match_by_joins(flows: DataFrame, rules: DataFrame, shapes: list[int], out: str) -> DataFrame:
+    columns = flows.columns
     candidates = []
-    for i, keys in enumerate(shapes):
-        shaped = F.lit(True)
-        for key in MATCH_KEYS:
-            shaped = shaped & (F.col(key).isNotNull() if key in keys else F.col(key).isNull())
-        hit = f"_rule{i}"
-        best = rules.where(shaped).groupBy(*keys).agg(
-            F.min(F.struct("ord", "name")).alias(hit))
-        if keys:
-            flows = flows.join(best, keys, "left")
-        else:
-            first = best.first()[hit]
-            flows = flows.withColumn(hit, F.struct(F.lit(first.ord).alias("ord"), F.lit(first.name).alias("name")))
+    for shape in shapes:
+        keys, hit = _named(shape), f"_rule{shape}"
+        best = rules.where(_shape() == shape).groupBy(*keys).agg(F.min(F.struct("ord", "name")).alias(hit))
+        flows = flows.join(best, keys, "left") if keys else flows.withColumn(hit, best.select(hit).scalar())
         candidates.append(hit)
     earliest = F.array_min(F.filter(F.array(*candidates), lambda c: c.isNotNull()))
     return flows.select(*[named(c) for c in columns], earliest.getField("name").alias(out))
