@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wirelens import constants as K, schemas
 from wirelens.catalog.registry import oracle, query
-from wirelens.operators import ids_alerts as A, metric_windows as M
+from wirelens.operators import counters as C, ids_alerts as A, metric_windows as M
 from wirelens.sources import views
 
 V = ["v_ids_alerts"]
@@ -364,6 +364,30 @@ oracle("latency_p95_window", P, """SELECT window_us, n, round(l, 9) AS latency,
  quantile_cont(latency_s, 0.95) AS l FROM v_predictions GROUP BY 1)""")
 
 
+@query("latency_p95_histogram")
+def _(spark, sf):
+    out = C.latency_p95_histogram(views.latency_samples(spark, sf), 5 * H, 0.03)
+    return out.select("window_us", F.round("rate", 9).alias("rate"), F.round("latency", 9).alias("latency"), "firing")
+
+
+oracle("latency_p95_histogram", ["v_latency_samples"], """SELECT window_us, round(total, 9) AS rate, round(latency, 9) AS latency,
+ CASE WHEN latency > 0.03 THEN 1 WHEN latency IS NOT NULL THEN 0 END AS firing FROM (
+ SELECT window_us, max(total) AS total, CASE WHEN max(total) > 0 THEN min(CASE WHEN le = CAST('inf' AS DOUBLE) THEN low
+  ELSE low + (le - low) * (rank - under) / (r - under) END) FILTER (r >= rank AND under < rank) END AS latency
+ FROM (SELECT *, 0.95 * total AS rank, lag(le, 1, 0) OVER w AS low, lag(r, 1, 0) OVER w AS under
+  FROM (SELECT window_us, le, max(r) OVER (PARTITION BY window_us ORDER BY le) AS r, max(r) OVER (PARTITION BY window_us) AS total FROM merged)
+  WINDOW w AS (PARTITION BY window_us ORDER BY le)) GROUP BY window_us)""", {
+    "stepped": f"""SELECT *, us // {5 * H}000000 * {5 * H}000000 AS window_us, lag(value) OVER (
+  PARTITION BY instance, le, us // {5 * H}000000 ORDER BY us) AS before FROM v_latency_samples""",
+    "spans": """SELECT window_us, instance, le, count(*) AS n, min(us) AS a, max(us) AS b, min_by(value, us) AS v,
+  CAST(max_by(value, us) - min_by(value, us) + sum(CASE WHEN value < before THEN before ELSE 0 END) AS DOUBLE) AS up,
+  (max(us) - min(us)) / 1e6 AS span FROM stepped GROUP BY 1, 2, 3 HAVING max(us) > min(us)""",
+    "carried": f"""SELECT *, span / (n - 1) AS mean, CASE WHEN up > 0 THEN least((a - window_us) / 1e6, span * v / up)
+  ELSE (a - window_us) / 1e6 END AS ahead, (window_us + {5 * H}000000 - b) / 1e6 AS behind FROM spans""",
+    "merged": f"""SELECT window_us, le, sum(up * ((span + CASE WHEN ahead < mean * 1.1 THEN ahead ELSE mean / 2 END
+  + CASE WHEN behind < mean * 1.1 THEN behind ELSE mean / 2 END) / span) / {5 * H}) AS r FROM carried GROUP BY 1, 2"""})
+
+
 @query("silence_detect")
 def _(spark, sf):
     p = _pred(spark, sf)

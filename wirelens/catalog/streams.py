@@ -8,7 +8,7 @@ from wirelens.catalog.registry import oracle, query
 from wirelens.operators import packets as P
 from wirelens.session import scratch_folder
 from wirelens.sources import views
-from wirelens.streaming import jobs, state
+from wirelens.streaming import jobs, rules, state
 
 DELAY_S = 60
 
@@ -92,3 +92,38 @@ oracle("stream_flow_sessions", ["v_packets"], f"""SELECT {KEY}, start_us, end_us
  lead(start_us) OVER (PARTITION BY {KEY} ORDER BY start_us) AS later FROM aged)
  WHERE later / 1000 < (SELECT max(us) FROM keyed) / 1000 - {DELAY_S} * 1000
  OR (end_us + {IDLE_S * 4}::BIGINT * 1000000) / 1000 < (SELECT max(us) FROM keyed) / 1000 - {DELAY_S} * 1000""", AGED, recursive=True)
+
+
+@query("stream_silence")
+def _(spark, sf):
+    _keyed_state(spark)
+    p = views.predictions(spark, sf, views.stream_table).withColumn("job", F.col("event_id") % 3)
+    out = _drained(rules.stream_silence(p, F.col("prediction") == "DoS", ["job"], 3600, f"{DELAY_S} seconds"))
+    return out.select("job", "window_us", "state")
+
+
+oracle("stream_silence", ["v_predictions"], f"""SELECT job, window_us, CASE WHEN signs IS NULL THEN 'down' ELSE 'silent' END AS state
+ FROM (SELECT job, unnest(generate_series(a, (SELECT (max(epoch_us(ts)) - {DELAY_S}000000) // 3600000000 - 1 FROM v_predictions) * 3600000000, 3600000000))
+   AS window_us FROM (SELECT job, min(window_us) AS a FROM slots GROUP BY job))
+ LEFT JOIN (SELECT job, window_us, count(*) AS signs, count(*) FILTER (prediction = 'DoS') AS events FROM slots GROUP BY ALL) USING (job, window_us)
+ WHERE coalesce(events, 0) = 0""", {
+    "slots": "SELECT event_id % 3 AS job, prediction, epoch_us(ts) // 3600000000 * 3600000000 AS window_us FROM v_predictions"})
+
+
+@query("stream_sustained")
+def _(spark, sf):
+    _keyed_state(spark)
+    p = views.predictions(spark, sf, views.stream_table)
+    return _drained(rules.attack_rate_rule(p, size_s=18_000, step_s=3600, limit=0.25, for_s=10_800, delay=f"{DELAY_S} seconds"))
+
+
+# a stretch is told when it has lasted three hours and again when a later window has ended it
+oracle("stream_sustained", ["v_predictions"], f"""SELECT 'attack_rate' AS rule, from_us,
+ CASE WHEN state = 'firing' THEN from_us + 10800000000 ELSE to_us END AS to_us, CASE WHEN state = 'firing' THEN 4 ELSE windows END AS windows, state
+ FROM (SELECT min(window_us) AS from_us, max(window_us) AS to_us, count(*) AS windows FROM (
+  SELECT window_us, window_us - row_number() OVER (ORDER BY window_us) * 3600000000 AS g FROM rates WHERE firing)
+  GROUP BY g HAVING max(window_us) - min(window_us) >= 10800000000), (VALUES ('firing'), ('resolved')) AS s(state)
+ WHERE state = 'firing' OR to_us < (SELECT max(window_us) FROM rates)""", {
+    "rates": f"""SELECT window_us, CAST(count(*) FILTER (prediction <> 'BENIGN') AS DOUBLE) / count(*) > 0.25 AS firing
+ FROM (SELECT prediction, (epoch_us(ts) // 3600000000 - i) * 3600000000 AS window_us FROM v_predictions, range(5) AS t(i)) GROUP BY 1
+ HAVING window_us + 18000000000 <= (SELECT max(epoch_us(ts)) FROM v_predictions) - {DELAY_S}000000"""})

@@ -152,6 +152,21 @@ def predictions(spark, sf_dir, read=table) -> DataFrame:
         F.when(k == 50, 500).otherwise(200).alias("status"))
 
 
+LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, float("inf")]
+
+
+def latency_samples(spark, sf_dir) -> DataFrame:
+    """Latency buckets as three instances expose them once an hour; an instance begins at zero every 40 hours."""
+    hour, instance = F.floor(micros(F.col("ts")) / 3_600_000_000).cast("long"), F.col("event_id") % 3
+    counts = predictions(spark, sf_dir).groupBy(instance.alias("instance"), hour.alias("hour")).agg(
+        *[F.count_if(F.col("latency_s") <= b).alias(f"b{i}") for i, b in enumerate(LATENCY_BOUNDS)])
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(LATENCY_BOUNDS)]))
+    each = counts.select("instance", "hour", F.floor((F.col("hour") + 7 * F.col("instance")) / 40).alias("start"), each.alias("x"))
+    running = Window.partitionBy("instance", "start", "x.le").orderBy("hour").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return each.select("instance", F.col("x.le").alias("le"), (F.col("hour") * 3_600_000_000 + 1_800_000_000).alias("us"),
+                       F.sum("x.n").over(running).alias("value"))
+
+
 def vectors(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 
@@ -221,10 +236,16 @@ SQL = {
  SELECT event_id, ts, CASE WHEN k % 7 = 0 THEN 'DoS' WHEN k % 11 = 0 THEN 'PortScan' ELSE 'BENIGN' END AS prediction,
   CAST(k % 100 AS DOUBLE) / 100 AS confidence, value / 1000 AS latency_s, CASE WHEN k = 50 THEN 500 ELSE 200 END AS status
  FROM (SELECT *, {_K} FROM events)""",
+    "v_latency_samples": """
+ SELECT instance, le, h * 3600000000 + 1800000000 AS us,
+  sum(n) OVER (PARTITION BY instance, le, (h + 7 * instance) // 40 ORDER BY h) AS value
+ FROM (SELECT event_id % 3 AS instance, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS h, le,
+        count(*) FILTER (latency_s <= le) AS n
+       FROM v_predictions, (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, CAST('inf' AS DOUBLE)]) AS le) GROUP BY 1, 2, 3)""",
     "v_vectors": "\n SELECT vec_id, embedding, label FROM embeddings",
 }
 
-_NEEDS = {"v_lessons": ["v_hids"]}
+_NEEDS = {"v_lessons": ["v_hids"], "v_latency_samples": ["v_predictions"]}
 
 
 def with_views(views: list[str], ctes: dict[str, str], body: str, recursive: bool = False) -> str:
