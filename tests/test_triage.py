@@ -61,7 +61,7 @@ def test_first_lesson_of_a_long_pattern_group(spark):
          ("1", "w7 w5 w8", "x5"), ("4", None, None), ("5", "w5", None)], "a string, b string, c string"))
 
 
-def test_lesson_match_against_brute_force(spark):
+def test_lesson_match_against_brute_force(spark, monkeypatch):
     words = ["a", "ab", "abc", "abcd", "xabcdy", "café", "日本語", "日本語テキスト", "net stat", "one two three", "two  Three four",
              " ab ", "", "ee tw", "𝒳𝒴𝒵𝒲 end", "c d"]
     patterns = [[w] for w in words] + [[words[i], words[(i * 7 + 3) % len(words)]] for i in range(len(words))]
@@ -81,6 +81,9 @@ def test_lesson_match_against_brute_force(spark):
     want = [min((k for k, p in held.items() if all(flat(w) in flat(log) for w in p)), default=None) for log in logs]
     got = {int(r.id): r.lesson and int(r.lesson.lesson_id) for r in L.lesson_match(alerts, store).collect()}
     assert got == dict(enumerate(want)) and len(set(want)) > 8
+    monkeypatch.setattr(L, "LOG_BYTES", 300)  # logs of one rule over several tasks, its store in several parts
+    monkeypatch.setattr(L, "WORD_BYTES", 40)
+    assert {int(r.id): r.lesson and int(r.lesson.lesson_id) for r in L.lesson_match(alerts, store).collect()} == got
 
 
 def lesson_ids(spark, *patterns):

@@ -5,12 +5,15 @@ agent, log_keywords, severity, action, reason, created_at, last_seen_at, last_pr
 ``ord`` is the order of the store; times are UTC second strings.
 """
 
+from collections import Counter
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wirelens import constants as K
 from wirelens.functions.text import matching_text, normalize_ws
+from wirelens.session import ship_package
 
 COLUMNS = ["lesson_id", "ord", "status", "source", "promotion_count", "promotion_threshold", "rule_id", "agent",
            "log_keywords", "severity", "action", "reason", "created_at", "last_seen_at", "last_promoted_at", "hits"]
@@ -32,30 +35,43 @@ def lesson_id(rule_id="rule_id", agent="agent", keywords="log_keywords", severit
     return F.substring(F.sha1(payload.cast("binary")), 1, 16)
 
 
-WORDS, RUNS = 0, (4, 2, 1)  # kinds of pieces: inner words, else runs of so many characters inside words
-
-
-def _pieces(text: str, kind: int) -> str:
-    """SQL of the pieces of a normalised text.  A text that contains another has all runs of it, and all its
-    words but the outer two."""
-    return f"split({text}, ' ')" if kind == WORDS else f"regexp_extract_all({text}, '(?=([^ ]{{{kind}}}))', 1)"
-
-
-def _kind() -> Column:
-    """Which pieces of the keywords stand for a lesson; null for one without keywords."""
-    runs = " ".join(f"WHEN exists(lesson.words, w -> w RLIKE '[^ ]{{{n}}}') THEN {n}" for n in RUNS)
-    return F.expr(f"CASE WHEN exists(lesson.words, w -> size(split(w, ' ')) > 2) THEN {WORDS} {runs} END")
-
-
-def _anchors(held: DataFrame) -> DataFrame:
-    """Per lesson with keywords the one ``_piece`` that the fewest lessons of its rule and agent have."""
-    inner = "slice(split(w, ' '), 2, greatest(size(split(w, ' ')) - 2, 0))"
-    choice = " ".join(f"WHEN {n} THEN flatten(transform(lesson.words, w -> {_pieces('w', n)}))" for n in RUNS)
-    found = F.expr(f"CASE _kind WHEN {WORDS} THEN flatten(transform(lesson.words, w -> {inner})) {choice} END")
-    listed = held.select("_of", "lesson", F.explode(F.array_distinct(found)).alias("_piece"))
-    shared = listed.groupBy("_of", "_piece").agg(F.count("*").alias("_n"))
-    return (listed.join(shared, ["_of", "_piece"]).groupBy("_of", "lesson")
-            .agg(F.xxhash64(F.min(F.struct("_n", "_piece")).getField("_piece")).alias("_piece")))
+LOG_BYTES, WORD_BYTES = 32 << 20, 16 << 20  # logs, and keywords of lessons, that meet in one task
+FIELDS, KINDS = ("ord", "lesson_id", "severity", "action", "words"), ("long", "string", "string", "string", "array<string>")
+PICKED = ", ".join(f"{c} {kind}" for c, kind in zip(FIELDS, KINDS))
+
+
+def _first_lessons(logs: pa.Table, store: pa.Table) -> pa.Table:
+    """Per log the lessons of smallest ``ord`` whose keywords all occur in it: one automaton, one scan of every log."""
+    import ahocorasick
+    wanted = [set(words) for words in store.column("words").to_pylist()]
+    order = store.column("ord").to_pylist()
+    holders: dict[str, list[int]] = {}
+    for lesson, words in enumerate(wanted):
+        for word in words:
+            holders.setdefault(word, []).append(lesson)
+    automaton = ahocorasick.Automaton()
+    for word, lessons in holders.items():
+        automaton.add_word(word, (word, lessons))
+    if holders:
+        automaton.make_automaton()
+    at, lesson_rows = [], []
+    for row, log in enumerate(logs.column("_log").to_pylist() if holders else ()):
+        found = dict(value for _, value in automaton.iter(log))
+        met = Counter(lesson for lessons in found.values() for lesson in lessons)
+        whole = [lesson for lesson, n in met.items() if n == len(wanted[lesson])]
+        if whole:
+            least = min(order[lesson] for lesson in whole)
+            for lesson in whole:
+                if order[lesson] == least:
+                    at.append(row)
+                    lesson_rows.append(lesson)
+    told = store.select(list(FIELDS)).take(pa.array(lesson_rows, pa.int64()))
+    return told.add_column(0, "digest", logs.column("digest").take(pa.array(at, pa.int64())))
+
+
+def _meet(key: tuple, logs: pa.Table, store: pa.Table) -> pa.Table:
+    found = _first_lessons(logs, store)
+    return found.add_column(0, "_key", pa.array([key[0].as_py()] * len(found), pa.string()))
 
 
 def lesson_match(alerts: DataFrame, lessons: DataFrame, status: str | None = AUTHORITATIVE,
@@ -63,34 +79,50 @@ def lesson_match(alerts: DataFrame, lessons: DataFrame, status: str | None = AUT
     """Alerts with ``lesson``: the first lesson of the store with the same rule and agent (null
     equals null) whose keywords all occur in the log.  Null where none matches.
 
-    Every lesson is found by one rare piece of its keywords: the pieces of a log meet the lessons by
-    equality, and only lessons met are looked for in the log.  The answer depends on rule, agent and log
-    alone, so equal logs are looked at once and every alert row comes back exactly once, whatever its id.
-    A null log or keyword counts as empty text; a lesson without keywords matches all of its rule and agent.
+    The lessons of a rule and agent become an Aho-Corasick automaton, which finds all keywords in one scan of a
+    log.  Logs of a busy rule and agent are dealt to as many tasks as their bytes fill, each with its own automaton,
+    and a large store of one rule and agent is cut into parts of bounded keywords.  A log travels once per part, however
+    long it is.  The answer depends on rule, agent and log alone, so equal logs are looked at once and every
+    alert row comes back exactly once, whatever its id.  A null log or keyword counts as empty text; a lesson without
+    keywords matches all of its rule and agent.
     """
+    ship_package(alerts.sparkSession)
     if status is not None:
         lessons = lessons.where(F.col("status") == status)
     words = F.filter(F.transform(F.coalesce("log_keywords", F.array().cast("array<string>")), matching_text),
                      lambda w: w != "")
-    held = lessons.select(F.struct("rule_id", "agent").alias("_of"),
-                          F.struct("ord", "lesson_id", "severity", "action", words.alias("words")).alias("lesson"))
-    held = held.withColumn("_kind", _kind())
-    known = held.groupBy("_of").agg(F.min(F.when(F.col("_kind").isNull(), F.col("lesson"))).alias("_always"),
-                                    F.collect_set("_kind").alias("_kinds"))  # at most four kinds
-    anchors = _anchors(held)
-
-    key = F.struct("rule_id", "agent", F.sha2(matching_text(F.col(log)), 256).alias("digest"))
-    texts = (alerts.select(F.struct("rule_id", "agent").alias("_of"), key.alias("_key"), matching_text(F.col(log)).alias("_log"))
-             .join(known, "_of").dropDuplicates(["_key"]))
-    wanted = ", ".join(f"IF(array_contains(_kinds, {n}), {_pieces('_log', n)}, array())" for n in (WORDS, *RUNS))
-    pieces = texts.select("_of", "_key", F.explode(F.expr(
-        f"transform(array_distinct(concat({wanted})), t -> xxhash64(t))")).alias("_piece"))
-    met = pieces.join(anchors, ["_of", "_piece"]).select("_key", "lesson")
-    holds = F.forall("lesson.words", lambda w: F.contains(F.col("_log"), w))
-    matched = met.join(texts.select("_key", "_log"), "_key").where(holds).select("_key", "lesson")
-    general = texts.where(F.col("_always").isNotNull()).select("_key", F.col("_always").alias("lesson"))
-    best = matched.unionByName(general).groupBy("_key").agg(F.min("lesson").alias("lesson"))
-    return alerts.withColumn("_key", key).join(best, "_key", "left").drop("_key")
+    of = F.struct("rule_id", "agent")
+    held = lessons.withColumn("words", words).select(of.alias("_of"), F.struct(*[
+        F.col(c).cast(kind).alias(c) for c, kind in zip(FIELDS, KINDS)]).alias("lesson"))
+    told = held.where(F.size("lesson.words") > 0)
+    size = F.aggregate("lesson.words", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w))
+    known = held.groupBy("_of").agg(F.min(F.when(F.size("lesson.words") == 0, F.col("lesson"))).alias("_always"),
+                                    F.sum(size).alias("_bytes"))
+    known = known.withColumn("_parts", F.ceil(F.greatest(F.col("_bytes"), F.lit(1)) / WORD_BYTES).cast("int"))
+
+    digest = F.sha2(matching_text(F.col(log)), 256)
+    texts = (alerts.select(of.alias("_of"), digest.alias("digest"), matching_text(F.col(log)).alias("_log"))
+             .join(known.select("_of", "_parts"), "_of").dropDuplicates(["_of", "digest"]))
+    length = F.coalesce(F.octet_length(F.col(log)), F.lit(0)) + 100
+    tasks = alerts.groupBy(of.alias("_of")).agg(F.ceil(F.sum(length.cast("long")) / LOG_BYTES).cast("int").alias("_tasks"))
+
+    def dealt(count: Column, *content: str) -> Column:
+        return F.pmod(F.xxhash64(*content), count).cast("int")
+    logs = texts.join(tasks, "_of").select(
+        "_of", "digest", "_log", dealt(F.col("_tasks"), "digest").alias("_task"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    store = told.join(known.select("_of", "_parts"), "_of").join(tasks, "_of").select(
+        "_of", dealt(F.col("_parts"), "lesson").alias("_part"), F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)).alias("_task"),
+        "lesson.*")
+    meeting = [F.to_json("_of").alias("_key"), "_task", "_part"]  # null equals null here
+    found = (logs.select(*meeting, "digest", "_log").groupBy("_key", "_task", "_part")
+             .cogroup(store.select(*meeting, *FIELDS).groupBy("_key", "_task", "_part"))
+             .applyInArrow(_meet, f"_key string, digest string, {PICKED}"))
+    matched = found.select("_key", "digest", F.struct(*FIELDS).alias("lesson"))
+    always = known.where(F.col("_always").isNotNull()).select(F.to_json("_of").alias("_key"), "_always")
+    best = matched.groupBy("_key", "digest").agg(F.min("lesson").alias("_found"))
+    own = alerts.withColumns({"_key": F.to_json(of), "digest_": digest})
+    joined = (own.join(best.withColumnRenamed("digest", "digest_"), ["_key", "digest_"], "left").join(always, "_key", "left"))
+    return joined.withColumn("lesson", F.least("_found", "_always")).drop("_key", "digest_", "_found", "_always")
 
 
 def lesson_hits(lessons: DataFrame, judged: DataFrame, as_of: datetime) -> DataFrame:
