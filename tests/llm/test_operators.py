@@ -321,14 +321,57 @@ def check_shards(rows, n, shards):
     assert sum(sizes) == n and max(sizes) - min(sizes) <= 1 and all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
-def test_sharding_of_a_shared_key_is_ranked_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "RANKED", 50)
+def test_sharding_of_a_shared_key_is_ranked_in_parts(spark):
     df = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 450).cast("string")).alias("text"))
     placed = sharding.assign_shards(df, ["doc_id"], 7)
     check_shards(placed.collect(), 900, 7)
     assert "salt" in placed._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_written_shards_with_clashing_names(spark, tmp_path):
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.lit("x").alias("shard"), F.lit(5).alias("slot"))
+    sharding.write_shards(df, str(tmp_path / "out"), ["doc_id"], 4, 2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.columns == ["doc_id", "text", "shard", "slot", "shard_"] and back.select("doc_id", "text").distinct().count() == 60
+    assert sorted(r["count"] for r in back.groupBy("shard_").count().collect()) == [15] * 4
+
+
+def thue_morse_pair(n=1024):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_a_polynomial_takes_for_the_same(spark):
+    one, two = thue_morse_pair()
+    df = spark.createDataFrame([(1, one), (2, two), (3, f"x {one}\nx {two}"), (4, one)], "doc_id long, text string")
+    assert by_id(near_dedup.near_duplicates(df, shingle=2), "component_id") == {1: (1,), 2: (2,), 3: (3,), 4: (1,)}
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(tokenizer())
+    ids = {r["doc_id"]: r["ids_crc32"] for r in token_files.round_trip(df, tokenizer()).collect()}
+    for i, t in ((1, one), (2, two), (4, one)):
+        want = np.array([*whole.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert ids[i] == zlib.crc32(want.tobytes())
+    judged = {r["doc_id"]: r["n_dup_lines"] for r in repetition.judge_documents(df, **LIMITS).select("row.doc_id", "q.n_dup_lines").collect()}
+    assert judged == dict.fromkeys((1, 2, 3, 4), 0)
+    scored = {r["doc_id"]: r["n_known"] for r in language_model.score_corpus(df, order=2).select("doc_id", "n_known", "held_out").collect()}
+    assert len(scored) == 4
+
+
+@pytest.mark.parametrize("length", [250, 300])
+def test_substrings_of_other_lengths(spark, length):
+    rnd = random.Random(length)
+    shared = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(0, 400))) + shared[rnd.randint(0, 300):rnd.randint(500, 900)] + "z" * i for i in range(8)]
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - length + 1):
+            first.setdefault(t[p:p + length], i)
+    for i, t in enumerate(texts):
+        want[i] = len({q for p in range(len(t) - length + 1) if first[t[p:p + length]] < i for q in range(p, p + length)})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {k: v[0] for k, v in by_id(suffix_dedup.dedup_substrings(df, length=length), "n_removed").items()} == want and sum(want.values()) > 1000
+
+
 def test_ring_moves_little():
     orders = sharding.ring(16)
     counts = dict.fromkeys(range(sharding.SLOTS), 10)

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 SLOTS, NODES = 4096, 64
-RANKED = 200_000  # rows of a slot that are ranked in one task
+SALTS = 16  # parts of a slot that are ranked apart
 
 
 def ring(shards: int, slots: int = SLOTS, nodes: int = NODES) -> list[list[int]]:
@@ -82,16 +82,14 @@ def assign_shards(rows: DataFrame, key: list[str], shards: int = 16, load: float
               .withColumn("ring_slot", F.pmod("place", F.lit(slots)).cast("int")))
     counts = {r[0]: r[1] for r in placed.groupBy("ring_slot").agg(F.sum("copies")).collect()}  # at most ``slots`` rows
     pieces = fill(counts, ring(shards, slots, nodes), bounds(sum(counts.values()), shards, load))
-    salts = -(-max(counts.values(), default=1) // RANKED)
-    before = F.lit(0)
-    if salts > 1:
-        placed = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "row"), F.lit(salts)))
-        earlier = Window.partitionBy("ring_slot").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-        parts = placed.groupBy("ring_slot", "salt").agg(F.sum("copies").alias("n")).select(
-            "ring_slot", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-        placed, before = placed.join(parts, ["ring_slot", "salt"]), F.col("before")
-    order = Window.partitionBy("ring_slot", *["salt"] * (salts > 1)).orderBy("place", "row")
-    ranked = (placed.withColumn("upto", before + F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # rows of a slot are ranked in salted parts, at every size alike: a hot key fills no task of its own
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "row"), F.lit(SALTS)))
+    earlier = Window.partitionBy("ring_slot").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("ring_slot", "salt").agg(F.sum("copies").alias("n")).select(
+        "ring_slot", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = placed.join(parts, ["ring_slot", "salt"])
+    order = Window.partitionBy("ring_slot", "salt").orderBy("place", "row")
+    ranked = (placed.withColumn("upto", F.col("before") + F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, 0)))
               .select("row", "ring_slot", F.explode(F.sequence(F.col("upto") - F.col("copies"), F.col("upto") - 1)).alias("rank")))
     table = json.dumps([dict(zip(("ring_slot", "shard", "lo", "hi", "base"), p)) for p in pieces])
     plan = rows.sparkSession.range(1).select(F.inline(F.from_json(
@@ -102,8 +100,11 @@ def assign_shards(rows: DataFrame, key: list[str], shards: int = 16, load: float
 
 
 def write_shards(docs: DataFrame, path: str, key: list[str], shards: int = 16, files_per_shard: int = 1) -> None:
-    """Write ``docs`` as Parquet in one folder per shard, every shard cut into files by place."""
+    """Write ``docs`` as Parquet in one folder per shard (shard=N, with _ added while a column has that name), every
+    shard cut into files by place."""
     placed = assign_shards(docs, key, shards)
-    (placed.select("row.*", "shard", "slot")
-     .repartition(shards * files_per_shard, "shard", F.pmod("slot", F.lit(files_per_shard)))
-     .write.partitionBy("shard").parquet(path))
+    folder = "shard"
+    while folder in docs.columns:  # a column of that name stays a column
+        folder += "_"
+    (placed.repartition(shards * files_per_shard, "shard", F.pmod("slot", F.lit(files_per_shard)))
+     .select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path))

@@ -3,11 +3,13 @@
 These helpers run inside tasks, on the texts of one Arrow batch.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+LONG = 256  # bytes of a span from which on it is hashed by its bytes
 SLICE = 2 << 20  # bytes looked at together; a longer text is a slice of its own
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -71,16 +73,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class SpanHash:
-    """64-bit hashes of any spans of a byte array."""
+    """64-bit hashes of any spans of a byte array.
+
+    A polynomial modulo 2 ** 64 takes certain different texts of a thousand bytes and more for the same (Thue-Morse
+    words and their complements), so spans longer than ``LONG`` are hashed by their bytes.
+    """
 
     def __init__(self, data: np.ndarray):
+        self.data = np.ascontiguousarray(data)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_VALUES[data] * powers(len(data), _ODD), out=self.sums[1:])
         self.back = powers(len(data) + 1, _INVERSE)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.sums[ends] - self.sums[starts]) * self.back[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        out = mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[starts[i]:ends[i]], digest_size=8).digest(), "little")
+        return out
 
 
 def per_document(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -244,6 +244,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
             (b, c, np.packbits(shared[at[i]:at[i + 1]]).tobytes()) for i, (b, c) in enumerate(
                 zip(table.column("bucket").to_pylist(), table.column("chunk").to_pylist()))])
 
+    places = np.dtype("u1" if length - gram < 1 << 8 else "<u4")  # a trigger lies at most so far into its phrase
+
     def send_phrases(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _rows(["bucket", "chunk", "blob"], [])
@@ -251,7 +253,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         kept, distinct = _phrases(chunk, *_shared(chunk, answers, buckets))
         at = np.cumsum([0] + [len(s["first"]) for s in kept])
         size = np.zeros(len(distinct["key"]), np.int64)
-        place = np.zeros(len(size), np.uint8)
+        place = np.zeros(len(size), places)
         home = np.searchsorted(at, distinct["where"], "right") - 1
         for i, s in enumerate(kept):
             mine = home == i
@@ -278,8 +280,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         for blob in table.column("blob"):
             raw = np.frombuffer(blob.as_buffer(), np.uint8)
             n = int(raw[:8].view("<i8")[0])
-            cut = np.cumsum([8, 8 * n, 4 * n, n])
-            parts.append((raw[cut[0]:cut[1]].view("<i8"), raw[cut[1]:cut[2]].view("<u4").astype(np.int64), raw[cut[2]:cut[3]].astype(np.int64), raw[cut[3]:]))
+            cut = np.cumsum([8, 8 * n, 4 * n, places.itemsize * n])
+            parts.append((raw[cut[0]:cut[1]].view("<i8"), raw[cut[1]:cut[2]].view("<u4").astype(np.int64),
+                          raw[cut[2]:cut[3]].view(places).astype(np.int64), raw[cut[3]:]))
         smallest, size, place, text_in = (np.concatenate(x) for x in zip(*parts))
         counts, values = dictionary_minimum(text_in, size, place, smallest, length, gram)
         at = np.cumsum([0] + [len(p[0]) for p in parts])
