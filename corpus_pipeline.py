@@ -22,6 +22,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
                          else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Whole rows beside the key of their id and text, so that their columns may have any name."""
+    return docs.select(F.struct("*").alias("row"), row_key("doc_id", "text").alias("k"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id (null comes last).
 
@@ -33,21 +38,21 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = landed(first.select(F.col("x.k").alias("kept_key"), F.col("x.n").alias("n")), "kept")
 
     def found(rows: DataFrame) -> DataFrame:
-        return docs.join(rows, row_key("doc_id", "text") == F.col("kept_key"), "left_semi")
+        return _keyed(docs).join(rows.select(F.col("kept_key").alias("k")), "k", "left_semi").select("row.*")
     wordless = docs.where(~F.coalesce(F.col("text"), F.lit("")).rlike(WORD))  # linked with nothing
     out = found(kept.where("n = 1")).unionByName(wordless)
     repeated = kept.where("n > 1")
     if repeated.isEmpty():
         return out
-    one = found(repeated).groupBy(row_key("doc_id", "text").alias("kept_key")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    one = _keyed(found(repeated)).groupBy("k").agg(F.min("row").alias("row"))
     return out.unionByName(one.select("row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate.decontaminate(docs, items, width=WIDTH).where("n_hit > 0").select(F.col("k").alias("hit_key"))
-    return docs.join(hit, row_key("doc_id", "text") == F.col("hit_key"), "left_anti")
+    hit = decontaminate.decontaminate(docs, items, width=WIDTH).where("n_hit > 0").select("k")
+    return _keyed(docs).join(hit, "k", "left_anti").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
