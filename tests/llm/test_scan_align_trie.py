@@ -132,6 +132,20 @@ def test_alignment(spark, sf, monkeypatch):
     assert token_alignment.align_tokenizers(df.limit(0), *files).count() == 0
 
 
+def test_ranked_vocabulary_gives_the_ids_of_the_file():
+    from tokenizers import Tokenizer
+    first = aligned_tokenizers()[0]
+    whole, fast = Tokenizer.from_file(first), token_alignment.ranked(first)
+    whole.encode_special_tokens = True
+    texts = [f" a{c}b 1{c}2 .{c}! {c}{c} {c} \n{c}" for c in map(chr, range(0x30000)) if not 0xD800 <= ord(c) < 0xE000]
+    rnd = random.Random(3)
+    texts += [" " + "".join(rnd.choice(" \n\t'sdtrevml.,;!?019aZéß日\u3000\xa0\x1c\x85") for _ in range(rnd.randint(1, 60))) for _ in range(5000)]
+    texts += [" " + "a" * 200_000, " " * 200_000 + "x", "\n" * 50_000]
+    for lo in range(0, len(texts), 20_000):
+        some = texts[lo:lo + 20_000]
+        assert [e.ids for e in whole.encode_batch(some, add_special_tokens=False)] == [fast.encode_ordinary(t) for t in some]
+
+
 def test_alignment_remembers_windows_by_ids():
     aligner = token_alignment.Aligner(*aligned_tokenizers())
     first = aligner.align(["the house on the hill", "the house"])
