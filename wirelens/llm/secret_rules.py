@@ -98,13 +98,13 @@ def trigram_query(pattern: str) -> tuple[tuple[str, ...], ...]:
 WORDS = "(" + "|".join([either("password"), either("passwd"), either("secret"), either("token"), either("api") + "_?" + either("key")]) + ")"
 RULES = [
     Rule("assign", WORDS + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, base=True),
-    Rule("access", "AKIA[A-Z0-9]+", 0, 20, base=True),
-    Rule("hex", "[0-9a-f]+", 0, 24, base=True),
+    Rule("access", "AKIA[A-Z0-9]{16,}", base=True),  # the same runs as with + and at least 20 characters of all
+    Rule("hex", "[0-9a-f]{24,}", base=True),
     # shapes that issuers of keys have made public
-    Rule("code_host", "gh[oprsu]_[A-Za-z0-9]+", 0, 40),
-    Rule("chat", "xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("cloud", "AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("payment", "[prs]k_(live|test)_[A-Za-z0-9]+", 0, 24),
+    Rule("code_host", "gh[oprsu]_[A-Za-z0-9]{36,}"),
+    Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("cloud", "AIza[A-Za-z0-9_-]{35,}"),
+    Rule("payment", "[prs]k_(live|test)_[A-Za-z0-9]{16,}"),
     Rule("private_key", "-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----"),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     Rule("login_url", r"://[A-Za-z0-9._~%-]+:([A-Za-z0-9._~%!$&*+=-]+)@", 1, 3),

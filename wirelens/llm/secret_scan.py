@@ -17,15 +17,16 @@ from wirelens.llm.secret_rules import RULES, Rule
 
 
 def trigram_index(docs: DataFrame, trigrams: Sequence[str], key: str = "key", text: str = "text") -> DataFrame:
-    """(trigram, key): the postings of ``trigrams``, written in their order, so a reader skips all others.
+    """(trigram, key): the postings of ``trigrams``, distinct, as shards that are each sorted by trigram.
 
-    Texts are compared with A-Z lower-cased; a null or empty text has no trigrams.  A hot trigram is as
-    many ranges of documents as its postings fill.
+    Texts are compared with A-Z lower-cased; a null or empty text has no trigrams.  Postings are dealt by trigram and
+    document, so a hot trigram, or a key that many equal rows share, is no larger in one shard than another; a
+    reader of some trigrams skips the rest of a shard.
     """
     asked = F.array(*[F.lit(t) for t in trigrams])
     lower = docs.select(F.col(key).alias("key"), ascii_lower(F.col(text)).alias("lower"))
     postings = lower.select(F.explode(F.filter(asked, lambda t: F.contains("lower", t))).alias("trigram"), F.col("key").alias(key))
-    return landed(postings.repartitionByRange("trigram", key).sortWithinPartitions("trigram", key), "postings")
+    return landed(postings.distinct().sortWithinPartitions("trigram"), "postings")
 
 
 def candidates(postings: DataFrame, rules: Sequence[Rule], key: str = "key") -> DataFrame:
