@@ -52,6 +52,7 @@ def test_secrets(secrets):
         assert sorted([(r[0], r[1], [tuple(x) for x in r["found"]]) for r in got], key=by_text) == sorted(
             [(r[0], r[1], spans_of(r[1], rules)) for r in rows], key=by_text)
     assert secret_scan.scan_secrets(df.limit(0)).count() == 0
+    assert secret_scan.scan_secrets(df, keep=["key"]).select("row.*").columns == ["key"]
 
 
 def test_secret_candidates_come_from_the_index(secrets):

@@ -44,7 +44,7 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 
 @query("op11_secret_scan", SQL_11)
 def op11(spark, sf_dir):
-    found = secret_scan.scan_secrets(documents(spark, sf_dir))
+    found = secret_scan.scan_secrets(documents(spark, sf_dir), keep=["doc_id"])
     name = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin([rule.kind for rule in RULES if rule.base]))

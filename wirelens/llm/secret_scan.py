@@ -56,14 +56,16 @@ def _lengths(text: Column, rule: Rule) -> Column:
                        lambda x: F.struct(F.char_length(x["g"]).alias("gap"), F.char_length(x["m"]).alias("length"), F.char_length(x["z"]).alias("decides")))
 
 
-def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text: str = "text",
+                 keep: Sequence[str] | None = None) -> DataFrame:
     """(row, spans) for every row of ``docs``: spans as struct(start, rule, end, kind), sorted, in code points, end exclusive.
 
     ``rule`` is the rule's place in ``rules``; spans of one rule do not overlap, those of several may.  A null or empty
     text has no spans (an empty array).  Rows that agree in id and text share what is found and each has its row; so
-    do null ids.  The other columns travel in ``row`` and may have any name.  An empty table gives no rows.
+    do null ids.  ``row`` holds the columns to ``keep``, all by default, and they may have any name; without the text
+    among them no text is shuffled back.  An empty table gives no rows.
     """
-    own = docs.select(F.struct("*").alias("row"), row_key(id_col, text).alias("key"), F.col(text).alias("t"))
+    own = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), row_key(id_col, text).alias("key"), F.col(text).alias("t"))
     everywhere = [(r, rule) for r, rule in enumerate(rules) if not rule.query]
     indexed = [(r, rule) for r, rule in enumerate(rules) if rule.query]
     parts = [own.where(F.col("t").rlike(rule.pattern)).select("key", F.lit(r).alias("rule"), _lengths(F.col("t"), rule).alias("found"))
