@@ -10,7 +10,7 @@ from wirelens import constants as K, schemas
 from wirelens.operators import ids_alerts, metric_windows as M, packets as P, preparation, routing
 from wirelens.plans.flow_alerting import AnomalyModel
 from wirelens.sources import eve, store, views
-from wirelens.streaming import jobs, state
+from wirelens.streaming import jobs, rules, state
 
 NOON = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
 
@@ -197,3 +197,24 @@ def test_triage_stream_counts_hits_once(spark, tmp_path):
     assert store.src_lessons(spark, paths[0]).first().hits == 1
     assert eve.src_queue(spark, paths[2] + "/*").count() == 2
     assert store.load_mark(spark, paths[1])["last_alert_id"] == "000002"
+
+
+def test_silence_is_told_while_a_key_receives_nothing(spark, tmp_path):
+    def signs(*values):
+        return spark.createDataFrame([(job, NOON + timedelta(minutes=m), hit) for job, m, hit in values], "job string, ts timestamp, hit boolean")
+    # b stops after its first slot; only a moves the watermark on
+    parts = [signs(("a", 1, True), ("b", 2, True)), signs(("a", 6, False), ("a", 12, True)), signs(("a", 31, True)), signs(("a", 40, True)), signs(("a", 41, True))]
+    out = drain(rules.stream_silence(one_by_one(spark, parts, tmp_path), F.col("hit"), ["job"], 300, "1 minute"), tmp_path)
+    start = int(NOON.timestamp()) // 60
+    got = sorted((r.job, r.window_us // 60_000_000 - start, r.state) for r in out.collect())
+    assert got == [("a", 5, "silent"), ("a", 15, "down"), ("a", 20, "down"), ("a", 25, "down"), ("a", 35, "down")] + [("b", m, "down") for m in range(5, 40, 5)]
+
+
+def test_sustained_stream_equals_batch(spark, sf, tmp_path):
+    p = views.predictions(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    end = p.limit(1).withColumns({"ts": F.lit("2030-01-01").cast("timestamp"), "prediction": F.lit("BENIGN")})
+    out = drain(rules.attack_rate_rule(staged(spark, p.unionByName(end), tmp_path), size_s=18_000, step_s=3600, limit=0.2, for_s=7200), tmp_path)
+    want = M.sustained_for(M.attack_rate_window(p, 18_000, 3600, 0.2), 3600, 7200)
+    ended = out.where("state = 'resolved'").select("from_us", "to_us", "windows")
+    assert rows(ended) == rows(want) and want.count() > 0
+    assert out.where("state = 'firing' AND to_us - from_us = 7200000000").count() == want.count()
