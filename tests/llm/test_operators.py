@@ -178,9 +178,10 @@ def test_null_ids_of_near_duplicates(spark):
     assert got == [(0, 0, True), (0, 4, False), (0, 4, False), (4, 4, True), (4, 4, True)]
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model(docs, texts, empty, order):
-    got = by_id(language_model.score_corpus(docs, order=order), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+@pytest.mark.parametrize("order, whole", [(2, language_model.WHOLE), (3, language_model.WHOLE), (2, 4), (3, 4), (4, 2)])
+def test_language_model(docs, texts, empty, order, whole):
+    """With a small ``whole`` contexts of common words are dealt to several buckets."""
+    got = by_id(language_model.score_corpus(docs, order=order, whole=whole), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     streams = [[*WORD.findall(lower(t or "")), "</s>"] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
     train = [s for s, h in zip(streams, held) if not h]
@@ -216,6 +217,29 @@ def test_language_model(docs, texts, empty, order):
     assert language_model.score_corpus(empty).count() == 0
 
 
+def test_language_model_files():
+    """Every n-gram of a bucket is found with its context's sums; large counts and contexts are listed apart."""
+    rng = np.random.default_rng(4)
+    contexts = rng.integers(0, 1 << 63, 700).astype(np.uint64)
+    contexts[1] = contexts[0] ^ np.uint64(1)  # agree in all columns but the last
+    contexts[2] = contexts[0] ^ np.uint64(1 << 9)
+    grams = {(int(c), int(w)): int(n) for c, width in zip(contexts, [300, 1, 2, 16, 17, *rng.integers(1, 40, 695).tolist()])
+             for w, n in zip(rng.choice(1 << 20, width, replace=False), rng.choice([1, 1, 1, 2, 3, 254, 255, 256, 70_000], width))}
+    rows = [(c, w) for c, w in grams] + [(c, (1 << 20) + 5) for c in contexts.tolist()] + [(int(c) ^ 2, 1) for c in contexts]
+    as_columns = lambda r: (np.array([c for c, _ in r], np.uint64), np.array([w for _, w in r], np.int64))
+    held = language_model.context_file(*as_columns(list(grams)), np.array(list(grams.values())))
+    held = language_model.from_blob(np.frombuffer(language_model.to_blob(held), np.uint8))
+    seen = defaultdict(list)
+    for (c, _), n in grams.items():
+        seen[c].append(n)
+    got = np.array(language_model.search(held, *as_columns(rows))).T.tolist()
+    for (c, w), found in zip(rows, got):
+        n = seen.get(c, [])
+        assert found == [grams.get((c, w), 0), sum(n), n.count(1), n.count(2), len(n) - n.count(1) - n.count(2)]
+    few = language_model.context_file(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert not np.array(language_model.search(few, *as_columns(rows))).any()
+
+
 def test_registered_language_model_uses_two_words_of_context(spark, tmp_path):
     """After "a b" always c, after "x b" always d: one word of context cannot tell which."""
     train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1]

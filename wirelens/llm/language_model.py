@@ -1,14 +1,14 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and scored from mapped files.
 
-Counting: tasks count the n-grams of their documents and send them, as sorted arrays, to the bucket of
-their hash; a bucket adds them up and writes them as one file of sorted hashes and counts.  From its
-distinct n-grams it sends on what the next lower order needs (how many words precede each (n-1)-gram)
-and, per context, the total and the numbers of followers seen once, twice and more often; those meet in
-their own buckets.  An n-gram is counted where it occurs and sent once per task, so frequent words do not
-make large groups.
-
-Scoring: workers map the files of the buckets they need and look the distinct n-grams of some documents
-up by binary search.  On file systems that cannot be mapped a bucket is read instead.
+Words are counted first and numbered, frequent ones low.  Then tasks count the n-grams of their documents and send
+them, as sorted and compressed arrays, to the bucket of their context; a bucket adds them up and writes one
+file: sorted context hashes, and for each context its followers and their counts.  From its distinct n-grams it sends
+on what the next lower order needs, how many words precede each (n-1)-gram.  An n-gram is sent once per task, so
+frequent words do not make large groups.  A context that may hold more than ``WHOLE`` tokens (its rarest word has
+that many) is dealt to several buckets by its followers, and the sums over them meet in files of their own.
+
+Scoring: workers map the files of the buckets they need and look the n-grams of some documents up by binary
+search.  On file systems that cannot be mapped a bucket is read instead.
 """
 
 import functools
@@ -27,6 +27,10 @@ from wirelens.session import scratch_folder, ship_package
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # the marks around a text; words have 64-bit hashes
 HELD, BUCKET = 2_500_000, 32 << 20  # tokens a task counts before it sends; bytes of text per bucket, times the order
+WHOLE = 1 << 18  # tokens of one context up to which one bucket takes all of them
+KEY = (4, 2, 1)  # bytes of a context's hash inside its bucket, by column
+BLOCK, FEW, LARGE = 256, 16, 255  # contexts that share a base; followers added up when asked for; counts kept apart
+UNKNOWN = -1
 SENT = "kind string, bucket int, blob binary, stats array<long>"
 
 
@@ -46,13 +50,23 @@ def streams(data: np.ndarray, offsets: np.ndarray, order: int):
 
 
 def chain(columns: list[np.ndarray]) -> np.ndarray:
-    """Hash of a tuple of symbols; of one symbol, the mixed symbol."""
-    key = spans.mix(columns[0])
+    """Hash of a tuple of word numbers; of one, the mixed number."""
+    key = spans.mix(columns[0].astype(np.uint64))
     for c in columns[1:]:
-        key = spans.pair(key, c)
+        key = spans.pair(key, c.astype(np.uint64))
     return key
 
 
+def dealt(own: list[np.ndarray], counts: list[np.ndarray], whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context hash, hash that names the bucket, whether the context is split) of n-grams; ``counts`` of their words."""
+    context = chain(own[:-1])
+    share = 1 + functools.reduce(np.minimum, counts[:len(own) - 1]) // whole
+    split = share > 1
+    key = context.copy()
+    key[split] = spans.pair(context[split], spans.mix(own[-1][split].astype(np.uint64)) % share[split].astype(np.uint64))
+    return context, key, split
+
+
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
@@ -118,25 +132,97 @@ def parcels(kind: str, key: np.ndarray, columns: list[np.ndarray], buckets: int,
             for b in np.flatnonzero(np.diff(edges)).tolist() for o in [order[edges[b]:edges[b + 1]]]]
 
 
-def gram_parcels(k: int, key: np.ndarray, symbols: list[np.ndarray], count: np.ndarray, buckets: int) -> list[tuple]:
-    """N-grams to send: a parcel names each of its symbols once and then by its place among them."""
-    place = bucket_of(key, buckets)
-    order = np.lexsort((*symbols[::-1], place))
+def gram_parcels(own: list[np.ndarray], count: np.ndarray, words: "Vocabulary") -> list[tuple]:
+    """N-grams to send, in rising order inside a bucket, so that neighbours share their first words."""
+    buckets = words.buckets
+    if len(own) == 1:
+        place = (own[0] - 1) % buckets
+    else:
+        place = bucket_of(dealt(own, words.counts(own[:-1]), words.whole)[1], buckets)
+    order = np.lexsort((*own[::-1], place))
     edges = np.searchsorted(place[order], np.arange(buckets + 1))
-    out = []
-    for b in np.flatnonzero(np.diff(edges)).tolist():
-        o = order[edges[b]:edges[b + 1]]
-        each, at = np.unique(np.concatenate([s[o] for s in symbols]), return_inverse=True)
-        out.append((f"grams{k}", b, packed([each, *np.split(narrow(at), k), narrow(count[o])]), None))
+    return [(f"grams{len(own)}", b, packed([own[0][o].astype(np.uint64), *[narrow(c[o]) for c in (*own[1:], count)]]), None)
+            for b in np.flatnonzero(np.diff(edges)).tolist() for o in [order[edges[b]:edges[b + 1]]]]
+
+
+def cut_up(values: np.ndarray, widths: tuple) -> list[np.ndarray]:
+    """Columns of a few bytes each, the high one first."""
+    left, out = 8 * sum(widths), []
+    for w in widths:
+        left -= 8 * w
+        out.append(((values >> np.uint64(left)) & np.uint64((1 << 8 * w) - 1)).astype(f"u{w}"))
+    return out
+
+
+def context_file(context: np.ndarray, last: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """The arrays of a bucket: contexts by hash, where their followers begin, followers with counts, sums of large ones."""
+    key = context & np.uint64((1 << 8 * sum(KEY)) - 1)
+    by = np.lexsort((last, key))
+    key, last, count = key[by], last[by], count[by]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    begin = np.flatnonzero(fresh)
+    edges = np.append(begin, len(key))
+    base = edges[::BLOCK]
+    busy = np.flatnonzero(np.diff(edges) > FEW)
+    sums = [np.add.reduceat(x.astype(np.int64), begin)[busy] for x in (count, count == 1, count == 2)]
+    large = np.flatnonzero(count >= LARGE)
+    return [*cut_up(key[begin], KEY), narrow(base), narrow(edges - np.repeat(base, BLOCK)[:len(edges)]), narrow(last >> 16),
+            (last & 0xFFFF).astype(np.uint16), np.minimum(count, LARGE).astype(np.uint8), narrow(large), narrow(count[large]),
+            narrow(busy), *map(narrow, sums)]
+
+
+def listed(places: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The value of each asked place, all of which are in the rising list."""
+    return values[np.searchsorted(places, asked)].astype(np.int64)
+
+
+def follower_counts(held: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    out = held[7][at].astype(np.int64)
+    large = np.flatnonzero(out == LARGE)
+    out[large] = listed(held[8], held[9], at[large])
     return out
 
 
-def opened(kind: str, blob: pa.Buffer) -> list[np.ndarray]:
-    """The columns of a parcel, symbols in full."""
-    columns = unpacked(blob)
-    if not kind.startswith("grams"):
-        return columns
-    return [*[columns[0][c] for c in columns[1:-1]], columns[-1]]
+def search(held: list[np.ndarray], context: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """[count, context's total, followers seen once, twice, more often] of n-grams of one bucket; 0 where unknown."""
+    own = cut_up(context, KEY)
+    contexts = len(held[0])
+    at = np.searchsorted(held[0], own[0])
+    found, open_ = np.zeros(len(at), bool), np.arange(len(at))
+    while len(open_):  # contexts whose first columns agree lie side by side
+        open_ = open_[at[open_] < contexts]
+        open_ = open_[held[0][at[open_]] == own[0][open_]]
+        same = (held[1][at[open_]] == own[1][open_]) & (held[2][at[open_]] == own[2][open_])
+        found[open_[same]] = True
+        open_ = open_[~same]
+        at[open_] += 1
+    out = [np.zeros(len(at), np.int64) for _ in range(5)]
+    rows = np.flatnonzero(found)
+    if not len(rows):
+        return out
+    at, want = at[rows], last[rows]
+    begin, end = (held[3][i // BLOCK].astype(np.int64) + held[4][i] for i in (at, at + 1))
+    lo, hi = begin.copy(), end.copy()
+    while (lo < hi).any():
+        mid = np.minimum((lo + hi) >> 1, len(held[6]) - 1)
+        less = (held[5][mid].astype(np.int64) << 16 | held[6][mid]) < want
+        go = lo < hi
+        lo = np.where(go & less, mid + 1, lo)
+        hi = np.where(go & ~less, mid, hi)
+    place = np.minimum(lo, len(held[6]) - 1)
+    hit = (lo < end) & ((held[5][place].astype(np.int64) << 16 | held[6][place]) == want)
+    out[0][rows[hit]] = follower_counts(held, place[hit])
+    size = end - begin
+    few, many = np.flatnonzero(size <= FEW), np.flatnonzero(size > FEW)
+    of = np.repeat(few, size[few])
+    c = follower_counts(held, begin[of] + spans.ragged(size[few]))
+    sums = [np.bincount(of, x, len(rows)).astype(np.int64) for x in (c, c == 1, c == 2)]
+    for x, values in zip(sums, held[11:]):
+        x[many] = listed(held[10], values, at[many])
+    for o, x in zip(out[1:], (*sums, size - sums[1] - sums[2])):
+        o[rows] = x
+    return out
 
 
 def as_table(rows: list[tuple]) -> pa.Table:
@@ -182,23 +268,140 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.0), k + 1.0) for k in range(3)]
 
 
+@dataclass
+class Vocabulary:
+    """The numbered words of a folder: of bucket b, rank r has the number 1 + r * buckets + b; 0 is the mark of a beginning."""
+    folder: str
+    buckets: int
+    tokens: int = 0
+    types: int = 0
+    texts: int = 0
+    whole: int = WHOLE
+
+    def counts(self, ids: list[np.ndarray]) -> list[np.ndarray]:
+        return [self.of_rank("words", x) for x in ids]
+
+    def numbers(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number and count of each symbol; a beginning counts as often as there are texts."""
+        each, back = np.unique(spans.mix(symbols), return_inverse=True)
+        ids, counts = np.full(len(each), UNKNOWN), np.zeros(len(each), np.int64)
+        for b, rows in by_bucket(bucket_of(each, self.buckets), self.buckets):
+            held = table(self.folder, "words", b)
+            if held is None:
+                continue
+            at = np.minimum(np.searchsorted(held[0], each[rows]), len(held[0]) - 1)
+            hit = held[0][at] == each[rows]
+            rank = held[1][at[hit]].astype(np.int64)
+            ids[rows][hit] = 1 + rank * self.buckets + b
+            counts[rows][hit] = held[2][rank]
+        ids, counts = ids[back], counts[back]
+        first = symbols == BEGIN
+        ids[first], counts[first] = 0, self.texts
+        return ids, counts
+
+    def of_rank(self, kind: str, ids: np.ndarray) -> np.ndarray:
+        """What the files of ``kind`` hold at the rank of each number; the number of texts for a beginning, 0 if unknown."""
+        each, back = np.unique(ids, return_inverse=True)
+        out = np.where(each == 0, self.texts, 0)
+        known = np.flatnonzero(each > 0)
+        place = (each[known] - 1) % self.buckets
+        order = np.argsort(place, kind="stable")
+        for b, rows in by_bucket(place[order], self.buckets):
+            held = table(self.folder, kind, b)
+            if held is not None:
+                mine = known[order[rows]]
+                out[mine] = held[-1][(each[mine] - 1) // self.buckets]
+        return out[back]
+
+
+def by_bucket(place: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The rows of each bucket, for rising places."""
+    edges = np.searchsorted(place, np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(edges)).tolist():
+        yield b, slice(edges[b], edges[b + 1])
+
+
 @dataclass
 class Model:
     """What workers need besides the files; its size does not depend on the corpus."""
-    folder: str
+    words: Vocabulary
     order: int
-    buckets: int
-    train_tokens: int
-    train_types: int
     cut: dict[int, list[float]]
     unigrams: list[int]  # of continuation counts: seen once, twice, 3 times, 4 times, types, total
 
+    @property
+    def train_tokens(self) -> int:
+        return self.words.tokens
+
+    @property
+    def train_types(self) -> int:
+        return self.words.types
+
+
+def written(folder: str, kind: str, bucket: int, columns: list[np.ndarray]) -> None:
+    fs, base = file_system(folder)
+    raw = to_blob(columns)
+    publish(fs, f"{base}/{kind}/{bucket:06d}", f"{TaskContext.get().taskAttemptId()}", lambda out: out.write(raw))
+
+
+def received_columns(received: pa.Table) -> list[np.ndarray]:
+    parts = [unpacked(b.as_buffer()) for b in received.column("blob")]
+    return [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
+
+
+def summed(sent: DataFrame) -> dict[str, list[int]]:
+    """Statistics of all buckets by kind; one row per kind reaches the driver."""
+    done = sent.where(F.col("kind").startswith("done-")).groupBy("kind").agg(F.array(*[
+        F.sum(F.coalesce(F.try_element_at("stats", F.lit(i + 1)), F.lit(0))) for i in range(6)]).alias("s"))
+    return {r["kind"].removeprefix("done-"): list(r["s"]) for r in done.collect()}
+
+
+def fit_words(texts: DataFrame, folder: str, buckets: int, whole: int) -> Vocabulary:
+    """Count and number the words of all texts."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def counted():
+            word, _, (c,) = added_up(np.concatenate([h[0] for h in held]), [], [np.concatenate([h[1] for h in held])])
+            held.clear()
+            key = spans.mix(word)
+            return as_table(parcels("words", key, [key, c], buckets, key)).to_batches()
+        for batch in batches:
+            for _, _, data, offsets in spans.slices(batch.column(0)):
+                symbols, _, token = streams(data, offsets, 1)
+                held.append(np.unique(symbols[token], return_counts=True))
+                n += len(held[-1][0])
+                if n >= HELD:
+                    yield from counted()
+                    n = 0
+        if held:
+            yield from counted()
 
-def fit(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
-    """Count all texts of ``docs``; a null text is empty and still has its end mark."""
+    def merge(received: pa.Table) -> pa.Table:
+        bucket = received.column("bucket")[0].as_py()
+        key, count = received_columns(received)
+        key, _, (count,) = added_up(key, [], [count])
+        order = np.lexsort((key, -count))
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.arange(len(key))
+        written(folder, "words", bucket, [key, narrow(rank), narrow(count[order])])
+        ends = count[key == spans.mix(np.array([END]))]
+        return as_table([("done-words", bucket, None, [len(key), int(count.sum()), int(ends.sum())])])
+
+    sent = texts.mapInArrow(send, SENT).groupBy("kind", "bucket").applyInArrow(merge, SENT)
+    types, tokens, marks = summed(sent).get("words", [0, 0, 0])[:3]
+    return Vocabulary(folder, buckets, tokens, types, marks, whole)
+
+
+def fit(docs: DataFrame, text: str = "text", order: int = 3, whole: int = WHOLE) -> Model:
+    """Count all texts of ``docs``; a null text is empty and still has its end mark.  ``whole`` changes no number."""
+    if order < 2:
+        raise ValueError("the model needs an order of at least 2")
     spark = docs.sparkSession
     ship_package(spark)
     folder, buckets = scratch_folder(spark, "ngrams"), parts_for(spark, text_bytes(docs, text), BUCKET // order)
+    texts = docs.select(F.col(text).alias("text"))
+    words = fit_words(texts, folder, buckets, whole)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -206,17 +409,14 @@ def fit(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
         def counted():
             columns = [np.concatenate([h[i] for h in held]) for i in range(order)]
             held.clear()
-            word, _, (c,) = added_up(columns[-1], [], None)
-            yield from as_table(parcels("words", spans.mix(word), [word, c], buckets, word)).to_batches()
-            if order > 1:
-                _, own, (c,) = added_up(chain(columns), columns, None)
-                columns.clear()
-                yield from as_table(gram_parcels(order, chain(own), own, c, buckets)).to_batches()
+            _, own, (c,) = added_up(chain(columns), columns, None)
+            columns.clear()
+            return as_table(gram_parcels(own, c, words)).to_batches()
         for batch in batches:
             for _, _, data, offsets in spans.slices(batch.column(0)):
-                symbols, of, token = streams(data, offsets, order)
-                at = np.flatnonzero(token)
-                held.append([symbols[at - order + 1 + i] for i in range(order)])
+                symbols, _, token = streams(data, offsets, order)
+                ids, at = words.numbers(symbols)[0], np.flatnonzero(token)
+                held.append([ids[at - order + 1 + i] for i in range(order)])
                 n += len(at)
                 if n >= HELD:
                     yield from counted()
@@ -228,60 +428,72 @@ def fit(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
         kind, bucket = received.column("kind")[0].as_py(), received.column("bucket")[0].as_py()
         if kind.startswith("done"):
             return received
-        parts = [opened(kind, b.as_buffer()) for b in received.column("blob")]
-        columns = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
-        rows = []
-        if kind == "words" or kind.startswith("contexts"):
-            key = spans.mix(columns[0]) if kind == "words" else columns[0]
-            key, _, sums = added_up(key, [], columns[1:])
-            stats = [len(key), int(sums[0].sum())]
+        columns = received_columns(received)
+        if kind.startswith("sums"):
+            key, _, sums = added_up(columns[0], [], columns[1:])
+            written(folder, kind, bucket, [key, *map(narrow, sums)])
+            return as_table([])
+        columns, rows = [c.astype(np.int64) for c in columns], []
+        own, count = columns[:-1], columns[-1]
+        k = len(own)
+        _, own, (count,) = added_up(chain(own), own, [count])
+        if k == 1:
+            dense = np.zeros(int(own[0].max() - 1) // buckets + 1, np.int64)
+            dense[(own[0] - 1) // buckets] = count
+            written(folder, kind, bucket, [narrow(dense)])
         else:
-            k = int(kind.removeprefix("grams"))
-            key, own, sums = added_up(chain(columns[:k]), columns[:k], columns[k:])
-            c = sums[0]
-            stats = [int((c == i).sum()) for i in (1, 2, 3, 4)] + [len(c), int(c.sum())]
-            if k > 1:
-                context, _, numbers = added_up(chain(own[:-1]), [], [c, c == 1, c == 2, c > 2])
-                rows += parcels(f"contexts{k}", context, [context, *numbers], buckets)
-                _, lower, (left,) = added_up(chain(own[1:]), own[1:], None)
-                rows += gram_parcels(k - 1, chain(lower), lower, left, buckets)
-        fs, base = file_system(folder)
-        raw = to_blob([key, *map(narrow, sums)])
-        publish(fs, f"{base}/{kind}/{bucket:06d}", f"{TaskContext.get().taskAttemptId()}", lambda out: out.write(raw))
+            context, _, split = dealt(own, words.counts(own[:-1]), words.whole)
+            written(folder, kind, bucket, context_file(context, own[-1], count))
+            if split.any():
+                c = count[split]
+                key, _, sums = added_up(context[split], [], [c, c == 1, c == 2, c > 2])
+                rows += parcels(f"sums{k}", key, [key, *sums], buckets)
+            _, lower, (left,) = added_up(chain(own[1:]), own[1:], None)
+            rows += gram_parcels(lower, left, words)
+        stats = [int((count == i).sum()) for i in (1, 2, 3, 4)] + [len(count), int(count.sum())]
         return as_table(rows + [(f"done-{kind}", bucket, None, stats)])
 
-    sent = docs.select(F.col(text).alias("text")).mapInArrow(send, SENT)
-    for _ in range(max(order, 2)):
+    sent = texts.mapInArrow(send, SENT)
+    for _ in range(order):
         sent = sent.groupBy("kind", "bucket").applyInArrow(merge, SENT)
-    total = {r["kind"].removeprefix("done-"): list(r["s"]) for r in sent.groupBy("kind").agg(F.array(*[
-        F.sum(F.coalesce(F.try_element_at("stats", F.lit(i + 1)), F.lit(0))) for i in range(6)]).alias("s")).collect()}  # one row per kind
+    total = summed(sent)
     nothing = [0] * 6
-    words = total.get("words", nothing)
-    unigrams = total.get("grams1", nothing) if order > 1 else [0, 0, 0, 0, words[0], words[1]]
-    return Model(folder, order, buckets, words[1], words[0], {k: discounts(total.get(f"grams{k}", nothing)) for k in range(1, order + 1)}, unigrams)
-
+    return Model(words, order, {k: discounts(total.get(f"grams{k}", nothing)) for k in range(1, order + 1)}, total.get("grams1", nothing))
+
+
+def gram_numbers(model: Model, own: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """[count, context's total, its followers seen once, twice, more often] of n-grams."""
+    k, words = len(own), model.words
+    context, key, split = dealt(own, counts, words.whole)
+    order = np.argsort(key)
+    out = [np.zeros(len(key), np.int64) for _ in range(5)]
+    for b, rows in by_bucket(bucket_of(key[order], words.buckets), words.buckets):
+        held, mine = table(words.folder, f"grams{k}", b), order[rows]
+        if held is not None:
+            for o, x in zip(out, search(held, context[mine], own[-1][mine])):
+                o[mine] = x
+    if split.any():
+        each, back = np.unique(context[split], return_inverse=True)
+        for o, x in zip(out[1:], look_up(words.folder, f"sums{k}", words.buckets, each, 4)):
+            o[split] = x[back]
+    return out
 
-def probabilities(model: Model, columns: list[np.ndarray]) -> np.ndarray:
-    """The model's probability of each n-gram's last symbol after the others."""
-    def found(kind, key, width):
-        each, back = np.unique(key, return_inverse=True)
-        return [v[back] for v in look_up(model.folder, kind, model.buckets, each, width)]
 
+def probabilities(model: Model, columns: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+    """The model's probability of each n-gram's last word after the others; numbers and counts of all its words."""
     def taken(cut, c):
         return np.maximum(c - np.array([0.0, *cut])[np.minimum(c, 3)], 0.0)
     once, twice, thrice, _, types, total = model.unigrams
     cut = model.cut[1]
     if total:
-        (c,) = found("grams1", chain(columns[-1:]), 1)
+        c = model.words.of_rank("grams1", columns[-1])
         saved = (cut[0] * once + cut[1] * twice + cut[2] * (types - once - twice)) / total
         p = taken(cut, c) / total + saved / (model.train_types + 1)
     else:
         p = np.full(len(columns[-1]), 1 / (model.train_types + 1))
     for k in range(2, model.order + 1):
         cut = model.cut[k]
-        own = columns[-k:]
-        (c,) = found(f"grams{k}", chain(own), 1)
-        total, once, twice, more = found(f"contexts{k}", chain(own[:-1]), 4)
+        c, total, once, twice, more = gram_numbers(model, columns[-k:], counts[-k:])
         seen = total > 0
         whole = np.maximum(total, 1)
         p = np.where(seen, taken(cut, c) / whole + (cut[0] * once + cut[1] * twice + cut[2] * more) / whole * p, p)
@@ -294,8 +506,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     Scores are log10 probabilities of the whole text with its end; ``base_score`` is the unigram model with
     0.5 added to each count.  Perplexity is 10 ** (-score / n_tokens).  A null text is empty.
     """
-    if model.order < 2:
-        raise ValueError("the model needs an order of at least 2")
     ship_package(docs.sparkSession)
     own = docs.select(F.col(text).alias("text"), F.col(id_col).alias("doc_id"), *keep)
     rest = own.columns[1:]
@@ -307,12 +517,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
                 symbols, of, token = streams(data, offsets, model.order)
                 at, n = np.flatnonzero(token), hi - lo
                 doc = of[at]
-                columns = [symbols[at - model.order + 1 + i] for i in range(model.order)]
-                each, back = np.unique(spans.mix(columns[-1]), return_inverse=True)
-                c = look_up(model.folder, "words", model.buckets, each, 1)[0]
-                base = (np.log10(c + 0.5) - log_base)[back]
-                p = np.log10(probabilities(model, columns))
-                numbers = [np.bincount(doc, minlength=n), np.bincount(doc, (c > 0)[back], n).astype(np.int64),
+                ids, counts = model.words.numbers(symbols)
+                columns, counts = ([x[at - model.order + 1 + i] for i in range(model.order)] for x in (ids, counts))
+                c = counts[-1]
+                base = np.log10(c + 0.5) - log_base
+                p = np.log10(probabilities(model, columns, counts))
+                numbers = [np.bincount(doc, minlength=n), np.bincount(doc, c > 0, n).astype(np.int64),
                            np.bincount(doc, base, n), np.bincount(doc, p, n)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(lo, n) for i in range(1, batch.num_columns)] + [pa.array(x) for x in numbers],
@@ -326,7 +536,7 @@ def held_out(id_col: str, folds: int = 5, fold: int = 1) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def score_corpus(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: int = 3, whole: int = WHOLE) -> DataFrame:
     """Fit on the rows that are not held out and score all; an empty table gives no rows."""
-    model = fit(docs.where(~held_out(id_col)), text, order)
+    model = fit(docs.where(~held_out(id_col)), text, order, whole)
     return score(docs, model, id_col, text, [held_out(id_col).alias("held_out"), F.lit(model.train_tokens).cast("long").alias("train_tokens")])
