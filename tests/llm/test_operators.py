@@ -232,12 +232,14 @@ def test_language_model_files():
     seen = defaultdict(list)
     for (c, _), n in grams.items():
         seen[c].append(n)
-    got = np.array(language_model.search(held, *as_columns(rows))).T.tolist()
+    count, group, sums = language_model.search(held, *as_columns(rows))
+    got = np.array([count, *sums[:, group]]).T.tolist()
     for (c, w), found in zip(rows, got):
         n = seen.get(c, [])
         assert found == [grams.get((c, w), 0), sum(n), n.count(1), n.count(2), len(n) - n.count(1) - n.count(2)]
     few = language_model.context_file(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    assert not np.array(language_model.search(few, *as_columns(rows))).any()
+    count, _, sums = language_model.search(few, *as_columns(rows))
+    assert not count.any() and not sums.any()
 
 
 def test_registered_language_model_uses_two_words_of_context(spark, tmp_path):

@@ -26,6 +26,7 @@ from wirelens.llm.common import file_system, parts_for, publish, text_bytes
 from wirelens.session import scratch_folder, ship_package
 
 BEGIN, END = np.uint64(1), np.uint64(2)  # the marks around a text; words have 64-bit hashes
+SCORED = 4 << 20  # bytes of text scored together; more of them share what they look up
 HELD, BUCKET = 2_500_000, 32 << 20  # tokens a task counts before it sends; bytes of text per bucket, times the order
 WHOLE = 1 << 18  # tokens of one context up to which one bucket takes all of them
 KEY = (4, 2, 1)  # bytes of a context's hash inside its bucket, by column
@@ -111,7 +112,7 @@ def unpacked(blob: pa.Buffer) -> list[np.ndarray]:
 
 def added_up(key: np.ndarray, symbols: list[np.ndarray], sums: list[np.ndarray] | None):
     """Rows of one key made one: sorted keys, their symbols, added numbers (None: the number of rows)."""
-    by = np.argsort(key, kind="stable")
+    by = np.argsort(key)
     key = key[by]
     fresh = np.ones(len(key), bool)
     fresh[1:] = key[1:] != key[:-1]
@@ -132,14 +133,15 @@ def parcels(kind: str, key: np.ndarray, columns: list[np.ndarray], buckets: int,
             for b in np.flatnonzero(np.diff(edges)).tolist() for o in [order[edges[b]:edges[b + 1]]]]
 
 
-def gram_parcels(own: list[np.ndarray], count: np.ndarray, words: "Vocabulary") -> list[tuple]:
-    """N-grams to send, in rising order inside a bucket, so that neighbours share their first words."""
+def gram_parcels(own: list[np.ndarray], count: np.ndarray, words: "Vocabulary", counts: list[np.ndarray] | None = None) -> list[tuple]:
+    """N-grams to send, inside a bucket in rising order of their first words, which neighbours then share."""
     buckets = words.buckets
     if len(own) == 1:
         place = (own[0] - 1) % buckets
     else:
-        place = bucket_of(dealt(own, words.counts(own[:-1]), words.whole)[1], buckets)
-    order = np.lexsort((*own[::-1], place))
+        place = bucket_of(dealt(own, counts or words.counts(own[:-1]), words.whole)[1], buckets)
+    order = np.argsort(own[0] if len(own) == 1 else (own[0] << 32) + own[1])
+    order = order[np.argsort(narrow(place[order]), kind="stable")]
     edges = np.searchsorted(place[order], np.arange(buckets + 1))
     return [(f"grams{len(own)}", b, packed([own[0][o].astype(np.uint64), *[narrow(c[o]) for c in (*own[1:], count)]]), None)
             for b in np.flatnonzero(np.diff(edges)).tolist() for o in [order[edges[b]:edges[b + 1]]]]
@@ -184,45 +186,51 @@ def follower_counts(held: list[np.ndarray], at: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(held: list[np.ndarray], context: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """[count, context's total, followers seen once, twice, more often] of n-grams of one bucket; 0 where unknown."""
-    own = cut_up(context, KEY)
-    contexts = len(held[0])
+def search(held: list[np.ndarray], context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of n-grams of one bucket, their contexts' places in the third array, and these contexts' sums.
+
+    The sums are the total and the numbers of followers seen once, twice, more often; all is 0 where unknown.
+    """
+    fresh = np.ones(len(context), bool)
+    fresh[1:] = context[1:] != context[:-1]
+    group = np.cumsum(fresh) - 1  # neighbours often ask for one context
+    own = cut_up(context[fresh], KEY)
     at = np.searchsorted(held[0], own[0])
     found, open_ = np.zeros(len(at), bool), np.arange(len(at))
     while len(open_):  # contexts whose first columns agree lie side by side
-        open_ = open_[at[open_] < contexts]
+        open_ = open_[at[open_] < len(held[0])]
         open_ = open_[held[0][at[open_]] == own[0][open_]]
         same = (held[1][at[open_]] == own[1][open_]) & (held[2][at[open_]] == own[2][open_])
         found[open_[same]] = True
         open_ = open_[~same]
         at[open_] += 1
-    out = [np.zeros(len(at), np.int64) for _ in range(5)]
-    rows = np.flatnonzero(found)
-    if not len(rows):
-        return out
-    at, want = at[rows], last[rows]
-    begin, end = (held[3][i // BLOCK].astype(np.int64) + held[4][i] for i in (at, at + 1))
-    lo, hi = begin.copy(), end.copy()
-    while (lo < hi).any():
-        mid = np.minimum((lo + hi) >> 1, len(held[6]) - 1)
-        less = (held[5][mid].astype(np.int64) << 16 | held[6][mid]) < want
-        go = lo < hi
-        lo = np.where(go & less, mid + 1, lo)
-        hi = np.where(go & ~less, mid, hi)
-    place = np.minimum(lo, len(held[6]) - 1)
-    hit = (lo < end) & ((held[5][place].astype(np.int64) << 16 | held[6][place]) == want)
-    out[0][rows[hit]] = follower_counts(held, place[hit])
-    size = end - begin
+    count, sums = np.zeros(len(context), np.int64), np.zeros((4, len(at)), np.int64)
+    known = np.flatnonzero(found)
+    if not len(known):
+        return count, group, sums
+    at = at[known]
+    begin, end = np.zeros((2, len(found)), np.int64)
+    begin[known], end[known] = (held[3][i // BLOCK].astype(np.int64) + held[4][i] for i in (at, at + 1))
+    size = (end - begin)[known]
     few, many = np.flatnonzero(size <= FEW), np.flatnonzero(size > FEW)
-    of = np.repeat(few, size[few])
+    of = np.repeat(known[few], size[few])
     c = follower_counts(held, begin[of] + spans.ragged(size[few]))
-    sums = [np.bincount(of, x, len(rows)).astype(np.int64) for x in (c, c == 1, c == 2)]
-    for x, values in zip(sums, held[11:]):
-        x[many] = listed(held[10], values, at[many])
-    for o, x in zip(out[1:], (*sums, size - sums[1] - sums[2])):
-        o[rows] = x
-    return out
+    for x, values, each in zip(sums, (c, c == 1, c == 2), held[11:]):
+        x[:] = np.bincount(of, values, len(x))
+        x[known[many]] = listed(held[10], each, at[many])
+    sums[3] = end - begin - sums[1] - sums[2]
+    open_ = np.flatnonzero(found[group])
+    lo, hi, sought = begin[group[open_]], end[group[open_]], last[open_]
+    while len(open_):  # binary search; rows that found their word or have no followers left are done
+        mid = (lo + hi) >> 1
+        there = held[5][mid].astype(np.int64) << 16 | held[6][mid]
+        hit = there == sought
+        count[open_[hit]] = follower_counts(held, mid[hit])
+        less = there < sought
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        go = np.flatnonzero(~hit & (lo < hi))
+        open_, lo, hi, sought = open_[go], lo[go], hi[go], sought[go]
+    return count, group, sums
 
 
 def as_table(rows: list[tuple]) -> pa.Table:
@@ -238,7 +246,7 @@ def table(folder: str, kind: str, bucket: int) -> list[np.ndarray] | None:
     if fs.get_file_info(path).type.name != "File":
         return None
     if fs.type_name == "local":
-        return from_blob(np.memmap(path, np.uint8, "r"))
+        return from_blob(np.memmap(path, np.uint8, "r").view(np.ndarray))
     with fs.open_input_file(path) as f:
         return from_blob(np.frombuffer(f.read_buffer(), np.uint8))
 
@@ -301,17 +309,16 @@ class Vocabulary:
 
     def of_rank(self, kind: str, ids: np.ndarray) -> np.ndarray:
         """What the files of ``kind`` hold at the rank of each number; the number of texts for a beginning, 0 if unknown."""
-        each, back = np.unique(ids, return_inverse=True)
-        out = np.where(each == 0, self.texts, 0)
-        known = np.flatnonzero(each > 0)
-        place = (each[known] - 1) % self.buckets
+        out = np.where(ids == 0, self.texts, 0)
+        known = np.flatnonzero(ids > 0)
+        place = narrow((ids[known] - 1) % self.buckets)
         order = np.argsort(place, kind="stable")
         for b, rows in by_bucket(place[order], self.buckets):
             held = table(self.folder, kind, b)
             if held is not None:
                 mine = known[order[rows]]
-                out[mine] = held[-1][(each[mine] - 1) // self.buckets]
-        return out[back]
+                out[mine] = held[-1][(ids[mine] - 1) // self.buckets]
+        return out
 
 
 def by_bucket(place: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
@@ -407,16 +414,16 @@ def fit(docs: DataFrame, text: str = "text", order: int = 3, whole: int = WHOLE)
         held, n = [], 0
 
         def counted():
-            columns = [np.concatenate([h[i] for h in held]) for i in range(order)]
+            columns = [np.concatenate([h[i] for h in held]) for i in range(2 * order - 1)]
             held.clear()
-            _, own, (c,) = added_up(chain(columns), columns, None)
+            _, own, (c,) = added_up(chain(columns[:order]), columns, None)
             columns.clear()
-            return as_table(gram_parcels(own, c, words)).to_batches()
+            return as_table(gram_parcels(own[:order], c, words, own[order:])).to_batches()
         for batch in batches:
             for _, _, data, offsets in spans.slices(batch.column(0)):
                 symbols, _, token = streams(data, offsets, order)
-                ids, at = words.numbers(symbols)[0], np.flatnonzero(token)
-                held.append([ids[at - order + 1 + i] for i in range(order)])
+                (ids, counts), at = words.numbers(symbols), np.flatnonzero(token)
+                held.append([x[at - order + 1 + i] for x, width in ((ids, order), (counts, order - 1)) for i in range(width)])
                 n += len(at)
                 if n >= HELD:
                     yield from counted()
@@ -461,42 +468,44 @@ def fit(docs: DataFrame, text: str = "text", order: int = 3, whole: int = WHOLE)
     return Model(words, order, {k: discounts(total.get(f"grams{k}", nothing)) for k in range(1, order + 1)}, total.get("grams1", nothing))
 
 
-def gram_numbers(model: Model, own: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
-    """[count, context's total, its followers seen once, twice, more often] of n-grams."""
+def interpolation(model: Model, own: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The discounted share of each n-gram in its context, and the weight of the lower order there (1: context unknown)."""
     k, words = len(own), model.words
+    cut = np.array([0.0, *model.cut[k]])
     context, key, split = dealt(own, counts, words.whole)
+
+    def parts(c, group, sums):
+        whole = np.maximum(sums[0], 1)
+        weight = np.where(sums[0] > 0, (cut[1] * sums[1] + cut[2] * sums[2] + cut[3] * sums[3]) / whole, 1.0)
+        return np.maximum(c - cut[np.minimum(c, 3)], 0.0) / whole[group], weight[group]
     order = np.argsort(key)
-    out = [np.zeros(len(key), np.int64) for _ in range(5)]
+    seen, share, weight = np.zeros(len(key), np.int64), np.zeros(len(key)), np.ones(len(key))
     for b, rows in by_bucket(bucket_of(key[order], words.buckets), words.buckets):
         held, mine = table(words.folder, f"grams{k}", b), order[rows]
         if held is not None:
-            for o, x in zip(out, search(held, context[mine], own[-1][mine])):
-                o[mine] = x
+            c, group, sums = search(held, context[mine], own[-1][mine])
+            seen[mine] = c
+            share[mine], weight[mine] = parts(c, group, sums)
     if split.any():
         each, back = np.unique(context[split], return_inverse=True)
-        for o, x in zip(out[1:], look_up(words.folder, f"sums{k}", words.buckets, each, 4)):
-            o[split] = x[back]
-    return out
+        sums = look_up(words.folder, f"sums{k}", words.buckets, each, 4)
+        share[split], weight[split] = parts(seen[split], back, sums)
+    return share, weight
 
 
 def probabilities(model: Model, columns: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
     """The model's probability of each n-gram's last word after the others; numbers and counts of all its words."""
-    def taken(cut, c):
-        return np.maximum(c - np.array([0.0, *cut])[np.minimum(c, 3)], 0.0)
     once, twice, thrice, _, types, total = model.unigrams
     cut = model.cut[1]
     if total:
         c = model.words.of_rank("grams1", columns[-1])
         saved = (cut[0] * once + cut[1] * twice + cut[2] * (types - once - twice)) / total
-        p = taken(cut, c) / total + saved / (model.train_types + 1)
+        p = np.maximum(c - np.array([0.0, *cut])[np.minimum(c, 3)], 0.0) / total + saved / (model.train_types + 1)
     else:
         p = np.full(len(columns[-1]), 1 / (model.train_types + 1))
     for k in range(2, model.order + 1):
-        cut = model.cut[k]
-        c, total, once, twice, more = gram_numbers(model, columns[-k:], counts[-k:])
-        seen = total > 0
-        whole = np.maximum(total, 1)
-        p = np.where(seen, taken(cut, c) / whole + (cut[0] * once + cut[1] * twice + cut[2] * more) / whole * p, p)
+        share, weight = interpolation(model, columns[-k:], counts[-k:])
+        p = share + weight * p
     return p
 
 
@@ -513,7 +522,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in spans.slices(batch.column(0)):
+            for lo, hi, data, offsets in spans.slices(batch.column(0), SCORED):
                 symbols, of, token = streams(data, offsets, model.order)
                 at, n = np.flatnonzero(token), hi - lo
                 doc = of[at]
