@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -155,6 +156,73 @@ def test_lesson_store_round_trip_and_versions(spark, tmp_path):
     assert store.src_lessons(spark, root).first().hits == 3
 
 
+def test_two_writers_of_a_lesson_store_lose_no_change(spark, tmp_path):
+    root, calls = str(tmp_path / "lessons"), []
+    store.save_lessons(lesson(spark, lesson_id="first"), root)
+
+    def add(name):
+        return lambda lessons: lessons.unionByName(lesson(spark, lesson_id=name))
+
+    def interrupted(lessons):  # another writer commits after this one has read
+        calls.append(lessons.count())
+        if len(calls) < 3:
+            store.update_lessons(spark, root, add(f"other{len(calls)}"))
+        return add("own")(lessons)
+    assert store.update_lessons(spark, root, interrupted) == 4 and calls == [1, 2, 3]
+    assert sorted(r.lesson_id for r in store.src_lessons(spark, root).collect()) == ["first", "other1", "other2", "own"]
+    assert sorted(p.name for p in (tmp_path / "lessons").iterdir()) == ["version=3", "version=4"]  # nothing staged stays
+
+    def always(lessons):
+        store.save_lessons(lessons, root)
+        return add("never")(lessons)
+    with pytest.raises(store.StoreConflict):
+        store.update_lessons(spark, root, always, attempts=2)
+    with pytest.raises(store.StoreConflict):
+        store.save_lessons(lesson(spark), root, base=1)
+    assert store.src_lessons(spark, root).count() == 4
+
+
+def test_writers_side_by_side(spark, tmp_path):
+    root = str(tmp_path / "lessons")
+    store.save_lessons(lesson(spark, hits=0), root)
+
+    def hit(_):
+        return store.update_lessons(spark, root, lambda lessons: lessons.withColumn("hits", F.col("hits") + 1), attempts=40)
+    with ThreadPoolExecutor(3) as pool:
+        numbers = list(pool.map(hit, range(6)))
+    assert sorted(numbers) == list(range(2, 8)) and store.src_lessons(spark, root).first().hits == 6
+
+
+def test_batch_of_a_store_is_applied_once(spark, tmp_path):
+    root = str(tmp_path / "lessons")
+    more = lambda lessons: lessons.withColumn("hits", F.col("hits") + 1)
+    assert store.applied_batch(spark, root) == -1
+    store.save_lessons(lesson(spark, hits=0), root)
+    for batch in (0, 0, 1, 0, None, 1):  # a version without a batch of its own takes over the number
+        store.update_lessons(spark, root, more, batch)
+    assert store.src_lessons(spark, root).first().hits == 3 and store.applied_batch(spark, root) == 1
+    older = str(tmp_path / "older")  # a store of the form before
+    for name in ("version=1", "version=2-batch-7"):
+        store.nest_lessons(lesson(spark, hits=0)).write.json(f"{older}/{name}")
+    assert store.applied_batch(spark, older) == 7 and store.update_lessons(spark, older, more, 8) == 3
+    assert store.applied_batch(spark, older) == 8 and store.src_lessons(spark, older).first().hits == 1
+
+
+def test_reader_whose_version_is_removed_begins_again(spark, tmp_path):
+    root, calls = str(tmp_path / "lessons"), []
+    store.save_lessons(lesson(spark, hits=0), root)
+
+    def late(lessons):
+        if not calls:
+            for _ in range(3):  # the version that has been read is removed before it is computed with
+                store.update_lessons(spark, root, lambda x: x.withColumn("hits", F.col("hits") + 1))
+        calls.append(1)
+        return lessons.withColumn("hits", F.col("hits") + 10)
+    assert store.update_lessons(spark, root, late) == 5 and len(calls) == 2
+    assert store.src_lessons(spark, root).first().hits == 13
+    assert sorted(p.name for p in (tmp_path / "lessons").iterdir()) == ["version=4", "version=5"]
+
+
 def test_lesson_file_skips_corrupt_lines(spark, tmp_path):
     path = write(tmp_path / "lessons.jsonl", [{"lesson_id": "a", "status": "pending", "promotion_count": 1},
                                               "this is not json", {"lesson_id": "b", "status": "pending"}])

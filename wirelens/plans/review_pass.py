@@ -8,7 +8,7 @@ from wirelens.operators import lessons as L, triage as T
 from wirelens.operators.skew import rank_within
 from wirelens.session import cut_lineage
 from wirelens.sources.eve import src_queue
-from wirelens.sources.store import load_mark, save_lessons, save_mark, src_lessons, write_report
+from wirelens.sources.store import load_mark, save_mark, src_lessons, update_lessons, write_report
 
 
 def report_pass(spark: SparkSession, queue: str, marks: str, out: str) -> DataFrame:
@@ -36,9 +36,10 @@ def learn_pass(entries: DataFrame, responses: DataFrame, store: str, as_of: date
     # answers count in the order of responses (ids as text) and their place in them: the first lesson wins
     placed = observed.withColumn("_id", F.col("response_id").cast("string")).withColumn("_b", F.substring("_id", 1, 8))
     observed = cut_lineage(rank_within(placed, [], "_b", [F.col("_id"), F.col("place")], "seq", "_n").drop("_id", "_b", "_n"))
-    grown = L.lesson_ingest(src_lessons(spark, store), observed, as_of)
-    learned = L.lesson_prune(L.lesson_promote(grown, as_of), as_of)
-    save_lessons(learned, store)
+
+    def learn(lessons: DataFrame) -> DataFrame:
+        return L.lesson_prune(L.lesson_promote(L.lesson_ingest(lessons, observed, as_of), as_of), as_of)
+    update_lessons(spark, store, learn)
     return src_lessons(spark, store)
 
 

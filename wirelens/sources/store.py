@@ -1,7 +1,10 @@
 """Written state: append-only logs, versioned tables and preparation artifacts."""
 
 import json
+import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,48 +32,95 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path
 
 
-def _versions(spark: SparkSession, root: str) -> list[tuple[int, int, str]]:
-    """Completed versions (number, last batch in it or -1, path): folders with a success marker."""
+class StoreConflict(RuntimeError):
+    """Another writer has committed since the version that a change was computed from."""
+
+
+def _versions(spark: SparkSession, root: str) -> tuple[list[tuple[int, str]], int]:
+    """Complete versions (number, path), and the highest number any folder has (0 without)."""
     fs, path = _file_system(spark, root)
     if not fs.exists(path(root)):
-        return []
-    done = []
-    for status in fs.listStatus(path(root)):
-        name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(path(f"{root}/{name}/_SUCCESS")):
-            number, _, batch = name.split("=")[1].partition("-batch-")
-            done.append((int(number), int(batch or -1), f"{root}/{name}"))
-    return sorted(done)
+        return [], 0
+    names = [status.getPath().getName() for status in fs.listStatus(path(root))]
+    found = sorted((int(n.split("=")[1].partition("-")[0]), f"{root}/{n}") for n in names if n.startswith("version="))
+    return [v for v in found if fs.exists(path(f"{v[1]}/_SUCCESS"))], found[-1][0] if found else 0
+
+
+def _batch_of(spark: SparkSession, done: list[tuple[int, str]]) -> int:
+    """The last batch that the newest of some versions holds; -1 without any."""
+    if not done:
+        return -1
+    fs, path = _file_system(spark, done[-1][1])
+    if not fs.exists(path(f"{done[-1][1]}/_batch")):  # an older store names it in the folder
+        return int(done[-1][1].rpartition("-batch-")[2]) if "-batch-" in done[-1][1].rpartition("/")[2] else -1
+    held = fs.open(path(f"{done[-1][1]}/_batch"))
+    try:
+        return int(held.readLine())
+    finally:
+        held.close()
+
+
+def _put_if_absent(spark: SparkSession, staged: str, target: str) -> bool:
+    """Rename a folder unless the new name is taken."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path
+    context = hadoop.FileContext.getFileContext(path(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        context.rename(path(staged), path(target), none)
+        return True
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
 
 
-def replace_table(df: DataFrame, root: str, keep: int = 2, batch: int | None = None) -> int:
+def replace_table(df: DataFrame, root: str, keep: int = 2, batch: int | None = None, base: int | None = None) -> int:
     """Write a whole table as the next version; readers see the old one until it is complete.
 
-    The path being read is never overwritten, so a job may read the store it replaces.  The version is
-    named after the last ``batch`` of a stream that it holds, taken over from the version before where
-    none is given, so that table and batch number change in one step.  Older versions beyond ``keep``
-    are removed.
+    The table is written beside the versions and then renamed to the next number, which only one writer can
+    get.  With ``base``, the number that ``df`` was computed from, another writer's commit since then raises
+    StoreConflict and leaves the store as it is; without it the table takes the next free number.  The path being
+    read is never overwritten, so a job may read the store it replaces.  A version holds the number of the last
+    ``batch`` of a stream in it, taken over from the version before where none is given, so that table and
+    batch number change in one step.  Older versions beyond ``keep`` are removed.  The file system must rename folders
+    in one step, as HDFS does.
     """
     spark = df.sparkSession
-    done = _versions(spark, root)
-    version, last = (done[-1][0] + 1, done[-1][1]) if done else (1, -1)
-    last = last if batch is None else batch
-    df.write.mode("overwrite").json(f"{root}/version={version}" + (f"-batch-{last}" if last >= 0 else ""))
     fs, path = _file_system(spark, root)
-    for _, _, old in done[: max(0, len(done) + 1 - keep)]:
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    try:
+        df.write.json(staged)
+    except Exception as e:
+        fs.delete(path(staged), True)
+        if base is not None and _versions(spark, root)[1] != base:  # what it reads may have been removed meanwhile
+            raise StoreConflict(f"{root}: version {base} is no longer the newest") from e
+        raise
+    while True:
+        done, seen = _versions(spark, root)
+        last = _batch_of(spark, done) if batch is None else batch
+        with_batch = fs.create(path(f"{staged}/_batch"), True)
+        with_batch.writeBytes(f"{last}\n")
+        with_batch.close()
+        version = (seen if base is None else base) + 1
+        if version > seen and _put_if_absent(spark, staged, f"{root}/version={version}"):
+            break
+        if base is not None:
+            fs.delete(path(staged), True)
+            raise StoreConflict(f"{root}: version {version} was written by another job")
+    for _, old in done[: max(0, len(done) + 1 - keep)]:
         fs.delete(path(old), True)
     return version
 
 
 def latest_path(spark: SparkSession, root: str) -> str | None:
-    done = _versions(spark, root)
-    return done[-1][2] if done else None
+    done, _ = _versions(spark, root)
+    return done[-1][1] if done else None
 
 
 def applied_batch(spark: SparkSession, root: str) -> int:
     """The last batch of a stream that the newest version holds; -1 without any."""
-    done = _versions(spark, root)
-    return done[-1][1] if done else -1
+    return _batch_of(spark, _versions(spark, root)[0])
 
 
 def nest_lessons(flat: DataFrame) -> DataFrame:
@@ -88,18 +138,39 @@ def flatten_lessons(nested: DataFrame) -> DataFrame:
     return nested.select(*[F.col(f"{inner[c]}.{c}") if c in inner else F.col(c) for c in COLUMNS])
 
 
-def save_lessons(flat: DataFrame, root: str, batch: int | None = None) -> int:
-    return replace_table(nest_lessons(flat), root, batch=batch)
+def save_lessons(flat: DataFrame, root: str, batch: int | None = None, base: int | None = None) -> int:
+    return replace_table(nest_lessons(flat), root, batch=batch, base=base)
 
 
-def src_lessons(spark: SparkSession, root: str) -> DataFrame:
-    """Newest version of a lesson store; no store yet gives an empty table."""
-    path = latest_path(spark, root)
+def update_lessons(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame], batch: int | None = None,
+                   attempts: int = 8) -> int:
+    """Commit ``change(lessons)`` on the version it was computed from, and compute it again if another writer was first.
+
+    So any number of jobs may change one store, and no change is lost.  A ``batch`` that the newest version holds already is not
+    applied again.  Returns the number of the version; after ``attempts`` conflicts StoreConflict is raised.
+    """
+    for left in reversed(range(attempts)):
+        done, seen = _versions(spark, root)
+        if batch is not None and _batch_of(spark, done) >= batch:
+            return done[-1][0]
+        try:
+            return save_lessons(change(_lessons_at(spark, done[-1][1] if done else None)), root, batch, seen)
+        except StoreConflict:
+            if not left:
+                raise
+
+
+def _lessons_at(spark: SparkSession, path: str | None) -> DataFrame:
     if path is None:
         return flatten_lessons(spark.createDataFrame([], schemas.LESSON))
     return flatten_lessons(good_lines(read_json_lines(spark, path, schemas.LESSON)))
 
 
+def src_lessons(spark: SparkSession, root: str) -> DataFrame:
+    """Newest version of a lesson store; no store yet gives an empty table."""
+    return _lessons_at(spark, latest_path(spark, root))
+
+
 def src_lesson_file(spark: SparkSession, path: str) -> DataFrame:
     """Lessons of a plain JSON-lines file, bad lines skipped, ordered as in the file.
 

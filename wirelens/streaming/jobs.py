@@ -12,7 +12,7 @@ from wirelens.operators import flow_records, ids_alerts, lessons as L, routing,
 from wirelens.plans.flow_alerting import AnomalyModel, route_alerts, score_flows
 from wirelens.session import cut_lineage, use_utc
 from wirelens.sources.eve import CORRUPT, flow_records as flows_of_events, good_lines
-from wirelens.sources.store import append_once, applied_batch, load_mark, save_lessons, save_mark, src_lessons
+from wirelens.sources.store import append_once, load_mark, save_mark, src_lessons, update_lessons
 
 
 def stream_microbatch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
@@ -90,7 +90,7 @@ def triage_batch(store: str, marks: str, queue: str, model_text: Callable[[DataF
     """foreachBatch body of the triage stream.
 
     The queue part of a batch is one folder, so a replay replaces it.  Lesson hits are added
-    once: a store version is named after the last batch whose hits it holds.  ``model_text`` adds the
+    once, to the newest lessons: a store version holds the number of the last batch whose hits are in it.  ``model_text`` adds the
     model's answer (column ``model_text``) to alerts without a lesson; without it the model counts as down.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -102,8 +102,7 @@ def triage_batch(store: str, marks: str, queue: str, model_text: Callable[[DataF
         entries = triage.queue_entries(judged, F.lit(L.iso(moment)))
         append_once(queue)(entries, batch_id)
         written = spark.read.schema(entries.schema).json(f"{queue}/batch={batch_id}")
-        if applied_batch(spark, store) < batch_id:
-            save_lessons(L.lesson_hits(lessons, written.select("triage.lesson_id"), moment), store, batch_id)
+        update_lessons(spark, store, lambda newest: L.lesson_hits(newest, written.select("triage.lesson_id"), moment), batch_id)
         done = load_mark(spark, marks)
         if done.get("batch", -1) < batch_id:
             top = written.agg(F.max("alert_id")).first()[0]
