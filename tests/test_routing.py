@@ -119,6 +119,29 @@ def test_global_limit_against_a_plain_loop(spark, seed, chunk):
     assert got == brute(events, 60, 5, 60)
 
 
+def test_constant_load_takes_few_jobs(spark):
+    events = [(t, f"p{t % 7}") for t in range(600)]  # the window is full all the time, every chunk depends on the one before
+    context = spark.sparkContext
+    context.setJobGroup("constant load", "")
+    try:
+        got = admitted(routing.alert_rate_limit(alerts(spark, events), 60, 5, 60, chunk_rows=20))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute(events, 60, 5, 60)
+    assert len(context.statusTracker().getJobIdsForGroup("constant load")) < 250  # 30 chunks
+
+
+def test_limit_with_earlier_admissions_and_odd_rows(spark):
+    t0 = datetime(2024, 1, 1)
+    data = [(None, t0, "a", "x"), (5, t0, "a", "x"), (6, None, "a", "x"), (7, t0, None, "x"), (8, t0 + timedelta(seconds=61), "c", "x")]
+    df = spark.createDataFrame(data, "flow_id long, ts timestamp, src_ip string, dst_ip string")
+    assert admitted(routing.alert_rate_limit(df, 60, 2, 60)) == [5, 7, 8]
+    assert admitted(routing.alert_rate_limit(df, 60, 0, 60)) == []
+    start = 1_704_067_200_000_000
+    earlier = [(start - 1_000_000 * i, f"k{i}") for i in (1, 2, 3)]  # more than the limit
+    assert admitted(routing.alert_rate_limit(df, 60, 2, 60, earlier=earlier)) == [8]
+
+
 def test_payload_and_lines(spark):
     scored = spark.createDataFrame(
         [("critical", 0.1234567, "a", 1, "b", 2, "TCP", 7, datetime(2024, 1, 1), 1_234_567.0, 100.0, 50.0, 3.0, 2.0)],

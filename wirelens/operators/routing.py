@@ -3,6 +3,7 @@
 import functools
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -10,8 +11,8 @@ from wirelens import constants as K
 from wirelens.functions.numeric import named
 from wirelens.functions.text import or_default
 from wirelens.functions.time import micros
-from wirelens.operators.skew import greedy_starts, join_summary, rank_within
-from wirelens.session import cut_lineage
+from wirelens.operators.skew import greedy_starts, join_summary
+from wirelens.session import cut_lineage, drop_folder, scratch_folder
 
 MATCH_KEYS = ["src_ip", "dst_ip", "src_port", "dst_port", "proto"]
 
@@ -186,27 +187,50 @@ def pair_key(pair=("src_ip", "dst_ip")) -> Column:
     return F.to_json(F.struct(*pair), {"ignoreNullFields": "false"})
 
 
-def _fold_chunk(limit: int, cooldown_us: int, window_us: int):
-    """Admission rule over one chunk of ordered alerts, continuing from the admissions handed in."""
+def _admitted(events: pd.DataFrame, entry, limit: int, cooldown_us: int, window_us: int) -> pd.DataFrame:
+    """Admission rule over one chunk of alerts, continuing from the admissions (us, pair) in ``entry``.
+
+    While the window is full nothing can pass, so those alerts are skipped by a search in the times.
+    """
+    events = events.sort_values(["us", "row"], kind="stable")
+    times = events["us"].to_numpy(dtype="int64")
+    us, pairs = times.tolist(), events["pair"].tolist()
+    entry = sorted(entry)
+    recent = deque(int(u) for u, _ in entry)
+    last, picks, i = {k: int(u) for u, k in entry}, [], 0
+    while i < len(us) and limit > 0:
+        now, pair = us[i], pairs[i]
+        while recent and recent[0] < now - window_us:
+            recent.popleft()
+        if len(recent) >= limit:
+            # the next alert after one of the oldest leaves the window, should more than the limit be in it
+            i = int(np.searchsorted(times, recent[len(recent) - limit] + window_us, side="right"))
+            continue
+        if now - last.get(pair, now - cooldown_us) >= cooldown_us:
+            last[pair] = now
+            recent.append(now)
+            picks.append(i)
+        i += 1
+    return events.iloc[picks][["row", "us", "pair"]]
+
+
+def _fold_chunk(*rule):
     def fold(events: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        entry = entry.sort_values("us")
-        recent = deque((int(u), k) for u, k in zip(entry["us"], entry["pair"]))
-        last = {k: u for u, k in recent}
-        admitted = []
-        for us, row, pair in events.sort_values(["us", "row"])[["us", "row", "pair"]].itertuples(index=False):
-            while recent and recent[0][0] < us - window_us:
-                recent.popleft()
-            if us - last.get(pair, us - cooldown_us) < cooldown_us or len(recent) >= limit:
-                continue
-            last[pair] = us
-            recent.append((us, pair))
-            admitted.append((row, us, pair))
-        out = pd.DataFrame(admitted, columns=["row", "us", "pair"])
+        out = _admitted(events, zip(entry["us"], entry["pair"]), *rule)
         out.insert(0, "chunk", events["chunk"].iloc[0] if len(events) else -1)
         return out.astype({"chunk": "int64", "us": "int64"})
     return fold
 
 
+def _chunk_end(entry: list, since: int, *rule):
+    """The admissions from ``since`` on, of one chunk and of those before it."""
+    def end(parts):
+        passed = _admitted(pd.concat(list(parts)), entry, *rule)
+        known = [*entry, *zip(passed["us"].tolist(), passed["pair"].tolist())]
+        yield pd.DataFrame([e for e in known if e[0] >= since], columns=["us", "pair"]).astype({"us": "int64", "pair": "object"})
+    return end
+
+
 def alert_rate_limit(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S, limit: int = K.ALERTS_PER_WINDOW,
                      window_s: float = K.ALERT_WINDOW_S, ts: str = "ts", row_id: str = "flow_id",
                      pair=("src_ip", "dst_ip"), chunk_rows: int = 200_000, earlier=()) -> DataFrame:
@@ -216,31 +240,38 @@ def alert_rate_limit(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S,
     The rule is one sequence over all alerts, so it cannot be split by pair.  The ordered
     alerts are cut into chunks of bounded size that are folded side by side, each from the
     admissions known for the time before it.  Chunks whose entry state turns out different are
-    folded again, until nothing changes; that is exact, because the first chunk is right from
-    the start and each pass settles at least the next one.  A silence longer than the state
-    reaches back settles everything after it at once.  Only (time, id, pair) takes part.
+    folded again.  A silence longer than the state reaches back settles everything after it, so on
+    quiet traffic that is all.  Under constant load the admissions of one chunk shift those of every
+    later one; then the chunks are walked in order, one task each, that hand on nothing but the admissions still in
+    reach, and are folded side by side once more from what was found.  So the number of jobs is that of the chunks at
+    most, and each chunk is read four times at most.  Only (time, id, pair) takes part.
 
     ``earlier`` holds (microseconds, ``pair_key``) of admissions before these alerts, as a stream knows them.
     An alert without a time is not admitted.
     """
+    spark = alerts.sparkSession
     cooldown_us, window_us = int(cooldown_s * 1e6), int(window_s * 1e6)
-    reach = max(cooldown_us, window_us)
+    reach, rule = max(cooldown_us, window_us), (limit, cooldown_us, window_us)
     slim = alerts.where(F.col(ts).isNotNull()).select(
         F.col(row_id).alias("row"), micros(F.col(ts)).alias("us"), pair_key(pair).alias("pair"))
-    slim = slim.withColumn("_b", F.floor(F.col("us") / reach).cast("long"))
-    ranked = rank_within(slim, [], "_b", [F.col("us"), F.col("row")], "_rank", "_n")
-    events = cut_lineage(ranked.select(
-        F.floor(F.col("_rank") / chunk_rows).cast("long").alias("chunk"), "us", "row", "pair"))
-    bounds = cut_lineage(events.groupBy("chunk").agg(F.min("us").alias("first_us")))
-    fold = _fold_chunk(limit, cooldown_us, window_us)
-    known = alerts.sparkSession.createDataFrame([tuple(e) for e in earlier], "us long, pair string")
+    if cooldown_us > 0:  # of a pair's alerts at one instant only the first can pass
+        slim = slim.groupBy("us", "pair").agg(F.min("row").alias("row")).select("row", "us", "pair")
+    chunks = max(1, -(-slim.count() // chunk_rows))
+    folder = scratch_folder(spark, "chunks")
+    ordered = slim.repartitionByRange(chunks, F.col("us"), F.col("row").asc_nulls_last())
+    ordered.select(F.spark_partition_id().cast("long").alias("chunk"), "us", "row", "pair").write.partitionBy("chunk").parquet(folder)
+    schema = T.StructType([T.StructField("us", T.LongType()), T.StructField("row", slim.schema["row"].dataType),
+                           T.StructField("pair", T.StringType())])
+    events = spark.read.schema(T.StructType([*schema, T.StructField("chunk", T.LongType())])).parquet(folder).select(
+        "chunk", "us", "row", "pair")
+    bounds = cut_lineage(events.groupBy("chunk").agg(F.min("us").alias("first_us")).repartition(1))
+    known = spark.createDataFrame([tuple(e) for e in earlier], "us long, pair string")
     before = cut_lineage(bounds.join(known, F.col("us") >= F.col("first_us") - reach).select("chunk", "us", "pair"))
 
     def run(part: DataFrame, entry: DataFrame) -> DataFrame:
         fresh = entry.select(F.col("chunk").alias("chunk"), "us", "pair")
         return cut_lineage(part.groupBy("chunk").cogroup(fresh.groupBy("chunk")).applyInPandas(
-            fold, T.StructType([T.StructField("chunk", T.LongType()), events.schema["row"],
-                                T.StructField("us", T.LongType()), T.StructField("pair", T.StringType())])))
+            _fold_chunk(*rule), T.StructType([T.StructField("chunk", T.LongType()), schema["row"], schema["us"], schema["pair"]])))
 
     def entry_states(admitted: DataFrame) -> DataFrame:
         """Admissions of earlier chunks that still matter when a chunk begins, one row each.
@@ -251,15 +282,32 @@ def alert_rate_limit(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S,
         return (slots.join(near, "_b").where((F.col("us") >= F.col("first_us") - reach) & (F.col("_from") < F.col("chunk")))
                 .select("chunk", "us", "pair").unionByName(before))
 
-    admitted, entry = run(events, before), before
+    def walked(first: int, now: DataFrame) -> DataFrame:
+        """Entry states of all chunks, exact from chunk ``first`` on, whose own is exact already."""
+        order = [tuple(r) for r in bounds.where(F.col("chunk") >= first).select("chunk", "first_us").orderBy("chunk").collect()]
+        state = [(r.us, r.pair) for r in now.where(F.col("chunk") == first).collect()]
+        found = [(first, *e) for e in state]
+        for (chunk, _), (later, first_us) in zip(order, order[1:]):
+            one = spark.read.schema(schema).parquet(f"{folder}/chunk={chunk}").coalesce(1)
+            state = [tuple(r) for r in one.mapInPandas(_chunk_end(state, first_us - reach, *rule), "us long, pair string").collect()]
+            found += [(later, *e) for e in state]
+        exact = spark.createDataFrame(found, "chunk long, us long, pair string")
+        return cut_lineage(now.where(F.col("chunk") < first).unionByName(exact))
+
+    admitted, entry, passes = run(events, before), before, 1
     while True:
         now = cut_lineage(entry_states(admitted))
         changed = cut_lineage(now.exceptAll(entry).unionByName(entry.exceptAll(now)).select("chunk").distinct())
-        if changed.isEmpty():
+        first = changed.agg(F.min("chunk")).first()[0]
+        if first is None:
             break
+        if passes == 2:
+            now = walked(first, now)
+            changed = bounds.where(F.col("chunk") >= first).select("chunk")
         again = run(events.join(changed, "chunk"), now.join(changed, "chunk", "left_semi"))
         admitted = cut_lineage(admitted.join(changed, "chunk", "left_anti").unionByName(again))
-        entry = now
+        entry, passes = now, passes + 1
+    drop_folder(spark, folder)
     passed = admitted.select(F.col("row").alias(row_id), F.lit(True).alias("admitted"))
     return alerts.join(passed, row_id, "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
