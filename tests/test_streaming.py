@@ -95,6 +95,41 @@ def test_flow_sessions_equal_batch(spark, sf, tmp_path):
     assert rows(got.where("proto <> 99").select(*columns)) == rows(want.select(*columns))
 
 
+def test_sessions_of_many_keys_share_few_states(spark, sf, tmp_path):
+    sample = packet_table(spark, sf).select(*[f.name for f in schemas.PACKET.fields]).limit(1)
+    types = {f.name: f.dataType for f in sample.schema}
+
+    def packets(n, ids, src, ts, **more):
+        made = sample.drop("pkt_id").crossJoin(spark.range(n).select(F.col("id").alias("pkt_id")))
+        columns = {"sport": F.col("pkt_id") % ids, "src": F.lit(src), "dst": F.lit("9.9.9.9"), "ts": ts, **more}
+        return made.withColumns({k: (F.lit(v) if not hasattr(v, "cast") else v).cast(types[k]) for k, v in columns.items()}) \
+            .select(*types)
+    when = F.timestamp_seconds(F.lit(1_704_100_000) + F.col("pkt_id") % 13 * 100 + F.floor(F.col("pkt_id") / 500) * 7)
+    many = packets(4000, 500, "1.1.1.1", when, proto=6)
+    first, second = many.where("pkt_id % 3 <> 0"), many.where("pkt_id % 3 = 0")
+    end = packets(1, 1, "2.2.2.2", F.lit("2030-01-01").cast("timestamp"), proto=99)
+    out, stream = str(tmp_path / "out"), state.stream_flow_sessions(
+        one_by_one(spark, [first, second, end, end], tmp_path), 150, 400, "1 hour", buckets=8)
+    run = jobs.stream_microbatch(stream, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/b{i}"), str(tmp_path / "cp"), None)
+    run.awaitTermination(180)
+    got = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
+    columns = [*P.KEY, "start_us", "end_us", "fwd_pkts", "fwd_bytes", "bwd_pkts", "bwd_bytes"]
+    want = P.flow_direction_totals(many, 150, 400)
+    assert rows(got.where("proto <> 99").select(*columns)) == rows(want.select(*columns)) and want.count() > 500
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in run.recentProgress) < 100  # 500 keys
+
+
+def test_cooldown_pairs_of_one_bucket(spark, tmp_path):
+    schema = "flow_id long, ts timestamp, src_ip string, dst_ip string"
+    data = [(i, NOON + timedelta(seconds=i * 7 % 600), f"s{i % 5}" if i % 5 else None, "d") for i in range(200)]
+    df = spark.createDataFrame(data, schema)
+    end = spark.createDataFrame([(999, NOON + timedelta(days=1), "z", "z")], schema)
+    parts = [df.where(F.col("flow_id") % 3 == i) for i in (2, 0, 1)] + [end, end]
+    got = drain(state.stream_cooldown(one_by_one(spark, parts, tmp_path), delay="20 minutes", buckets=1), tmp_path)
+    assert rows(got.where("row <> 999").select("row", "admitted")) == rows(
+        routing.alert_cooldown(df).select("flow_id", "admitted"))
+
+
 def test_idle_sessions_equal_batch(spark, sf, tmp_path):
     packets = packet_table(spark, sf)
     end = packets.limit(1).withColumn("ts", F.lit("2030-01-01").cast("timestamp")).withColumn("proto", F.lit(99))

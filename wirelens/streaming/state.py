@@ -2,12 +2,17 @@
 
 Both need the RocksDB state store (``ROCKSDB``) and an event-time watermark on ``ts``.
 Rows wait in the state until the watermark has passed them and are then taken in time order, so
-the answer does not depend on how rows fall into micro-batches; a key holds the rows of one watermark
-delay.  What lies behind the watermark is late and dropped by Spark before it reaches the state.
+the answer does not depend on how rows fall into micro-batches.  What lies behind the watermark is late and dropped
+by Spark before it reaches the state.
+
+A state group is a bucket of many keys (``buckets`` of them, dealt by the hash of the key).  A Python call and a few
+state requests serve a whole bucket, whatever the number of keys, and rows travel to the state as Arrow tables, not one by one.
+A bucket holds the rows of one watermark delay and the open state of its keys; a stream that has begun must keep its number of buckets.
 """
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -19,33 +24,78 @@ ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+BUCKETS = 1024
+BLOB_ROWS = 100_000  # rows of one state value
+
+
+def _bucket(keys: list[str], buckets: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _packed(rows: pd.DataFrame) -> list[tuple]:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    blobs = []
+    for at in range(0, len(rows), BLOB_ROWS):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table.slice(at, BLOB_ROWS))
+        blobs.append((out.getvalue().to_pybytes(),))
+    return blobs
+
+
+def _unpacked(state, columns: list[str]) -> pd.DataFrame:
+    blobs = [pa.ipc.open_stream(bytes(blob)).read_pandas() for (blob,) in state.get()] if state.exists() else []
+    return pd.concat(blobs, ignore_index=True) if blobs else pd.DataFrame(columns=columns)
+
+
+def _replace(state, rows: pd.DataFrame) -> None:
+    if len(rows):
+        state.put(_packed(rows))
+    else:
+        state.clear()
+
+
 class _InTimeOrder(StatefulProcessor):
-    """Keeps rows until the watermark has passed them and hands them on in the order of ``us`` and row id."""
+    """Keeps the rows of a bucket until the watermark has passed them and hands them on in the order of key, ``us`` and row id."""
 
-    waiting: str  # columns of a waiting row, ``us`` and the row id first
+    keys: list[str]
+    waiting: list[str]  # further columns of a waiting row, ``us`` first
+    kept: list[str]  # columns of the state of a key, after the key
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.queue = handle.getListState("queue", self.waiting)
-        self.names = [c.split()[0] for c in self.waiting.split(", ")]
+        self.queue = handle.getListState("queue", "rows binary")
+        self.open = handle.getListState("open", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        for part in rows:
-            self.queue.appendList(list(part[self.names].itertuples(index=False, name=None)))
-            self.handle.registerTimer(int(part["us"].min()) // 1000 + 1)
+        new = pd.concat(list(rows), ignore_index=True)[[*self.keys, *self.waiting]]
+        self.queue.appendList(_packed(new))
+        self.handle.registerTimer(int(new["us"].min()) // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         done = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = pd.DataFrame(list(self.queue.get()) if self.queue.exists() else [], columns=self.names)
-        due = rows["us"] <= done
+        rows = _unpacked(self.queue, [*self.keys, *self.waiting])
+        due = (rows["us"] <= done).to_numpy(dtype=bool)
         if due.any():
-            self.queue.clear()
             left = rows[~due]
+            _replace(self.queue, left)
             if len(left):
-                self.queue.put(list(left.itertuples(index=False, name=None)))
                 self.handle.registerTimer(int(left["us"].min()) // 1000 + 1)
-        yield from self.advance(key, rows[due].sort_values(self.names[:2]).reset_index(drop=True), done)
+        held = _unpacked(self.open, [*self.keys, *self.kept])
+        out, held, ends = self.advance(rows[due], held, done)
+        _replace(self.open, held)
+        if len(ends):
+            self.handle.registerTimer(int(ends.min()) // 1000 + 1)
+        if len(out):
+            yield out
+
+    def advance(self, due: pd.DataFrame, held: pd.DataFrame, done: int):
+        """Rows to give out, the state to keep, and the times at which the kept state ends."""
+        raise NotImplementedError
+
+    def number(self, rows: pd.DataFrame) -> np.ndarray:
+        return rows.groupby(self.keys, sort=False, dropna=False).ngroup().to_numpy()
 
     def close(self) -> None:
         pass
@@ -54,35 +104,38 @@ class _InTimeOrder(StatefulProcessor):
 class _Cooldown(_InTimeOrder):
     """Keeps the last admitted time of a pair; the state goes when the cooldown is over."""
 
-    def __init__(self, cooldown_us: int, pair: list[str], row_type: str):
-        self.cooldown_us, self.pair = cooldown_us, pair
-        self.waiting = f"us long, row {row_type}"
-
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("last", "us long")
-
-    def advance(self, key, batch, done):
-        last = self.last.get()[0] if self.last.exists() else None
-        times, passed, i = batch["us"].to_numpy(dtype="int64"), np.zeros(len(batch), dtype=bool), 0
-        if last is not None:
-            i = int(np.searchsorted(times, last + self.cooldown_us))
-        while i < len(times):
-            last, passed[i] = int(times[i]), True
-            i = int(np.searchsorted(times, last + self.cooldown_us))
-        if last is not None and last + self.cooldown_us <= done:
-            self.last.clear()
-        elif last is not None:
-            self.last.update((last,))
-            self.handle.registerTimer((last + self.cooldown_us) // 1000 + 1)
-        if len(batch):
-            out = pd.DataFrame({"row": batch["row"], **{c: [k] * len(batch) for c, k in zip(self.pair, key)}, "us": times,
-                                "ts": pd.to_datetime(times, unit="us"), "admitted": passed})
-            yield out
+    waiting, kept = ["us", "row"], ["last"]
+
+    def __init__(self, cooldown_us: int, pair: list[str]):
+        self.cooldown_us, self.keys = cooldown_us, pair
+
+    def advance(self, due, held, done):
+        due = due.assign(last=-1)
+        rows = pd.concat([held.assign(us=-1, row=None), due], ignore_index=True) if len(held) else due
+        rows = rows.assign(_key=self.number(rows)).sort_values(["_key", "us", "row"]).reset_index(drop=True)
+        times, known, code = (rows[c].to_numpy(dtype="int64") for c in ("us", "last", "_key"))
+        passed, lasts = np.zeros(len(rows), dtype=bool), np.full(len(rows), -1, dtype="int64")
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+            i, last = a, None
+            if known[a] != -1:
+                last = int(known[a])
+                i = a + 1 + int(np.searchsorted(times[a + 1:b], last + self.cooldown_us))
+            while i < b:
+                last, passed[i] = int(times[i]), True
+                i += int(np.searchsorted(times[i:b], last + self.cooldown_us)) or 1
+            lasts[a] = last
+        is_row = known == -1
+        out = rows[is_row]
+        out = pd.DataFrame({"row": out["row"].astype(due["row"].dtype) if len(out) else out["row"], **{c: out[c] for c in self.keys},
+                            "us": times[is_row], "ts": pd.to_datetime(times[is_row], unit="us"), "admitted": passed[is_row]})
+        left = rows.loc[starts, self.keys].assign(last=lasts[starts])
+        left = left[left["last"] + self.cooldown_us > done]
+        return out, left, left["last"] + self.cooldown_us
 
 
 def stream_cooldown(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S, row_id: str = "flow_id",
-                    pair=("src_ip", "dst_ip"), delay: str = "1 minute") -> DataFrame:
+                    pair=("src_ip", "dst_ip"), delay: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """Alerts (row, pair, us) with ``admitted``: at most one per pair and cooldown.  An alert is given
     out once the watermark, ``delay`` behind the newest alert, has passed it."""
     pair = list(pair)
@@ -91,8 +144,9 @@ def stream_cooldown(alerts: DataFrame, cooldown_s: float = K.ALERT_COOLDOWN_S, r
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([f"row {types['row']}", *[f"{c} {types[c]}" for c in pair],
                         "us long", "ts timestamp", "admitted boolean"])
-    return rows.groupBy(*pair).transformWithStateInPandas(
-        statefulProcessor=_Cooldown(int(cooldown_s * 1e6), pair, types["row"]), outputStructType=schema,
+    timed = rows.where(F.col("us").isNotNull()).withColumn("bucket", _bucket(pair, buckets))
+    return timed.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=_Cooldown(int(cooldown_s * 1e6), pair), outputStructType=schema,
         outputMode="Append", timeMode="EventTime")
 
 
@@ -102,57 +156,51 @@ _FLOW = ["start_us", "end_us", "fwd_pkts", "fwd_bytes", "bwd_pkts", "bwd_bytes"]
 class _Flows(_InTimeOrder):
     """The open flow of a key; a flow is given out when silence or age closes it."""
 
-    waiting = "us long, pkt_id long, direction int, size long"
+    keys, waiting, kept = KEY, ["us", "direction", "size"], _FLOW
 
     def __init__(self, idle_us: int, active_us: int):
         self.idle_us, self.active_us = idle_us, active_us
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.open = handle.getValueState("open", ", ".join(f"{c} long" for c in _FLOW))
-
-    def advance(self, key, batch, done):
-        us = batch["us"].to_numpy(dtype="int64")
-        fwd = (batch["direction"] == 0).to_numpy()
-        size = batch["size"].to_numpy(dtype="int64")
-        silences = np.flatnonzero(np.diff(us) > self.idle_us) + 1
-        flow, closed, i = list(self.open.get()) if self.open.exists() else None, [], 0
-        while i < len(us):
-            if flow and (us[i] - flow[1] > self.idle_us or us[i] - flow[0] > self.active_us):
-                closed.append(flow)
-                flow = None
-            flow = flow or [int(us[i]), int(us[i]), 0, 0, 0, 0]
-            quiet = silences[np.searchsorted(silences, i, side="right"):][:1]
-            end = min([len(us), int(np.searchsorted(us, flow[0] + self.active_us, side="right")), *map(int, quiet)])
-            f, s = fwd[i:end], size[i:end]
-            flow = [flow[0], max(flow[1], int(us[end - 1])), flow[2] + int(f.sum()), flow[3] + int(s[f].sum()),
-                    flow[4] + int((~f).sum()), flow[5] + int(s[~f].sum())]
-            i = end
-        if flow and flow[1] + self.idle_us <= done:
-            closed.append(flow)
-            self.open.clear()
-        elif flow:
-            self.open.update(tuple(flow))
-            self.handle.registerTimer((flow[1] + self.idle_us) // 1000 + 1)
-        if closed:
-            yield self._rows(key, closed)
-
-    def _rows(self, key, flows):
-        out = pd.DataFrame(flows, columns=_FLOW, dtype="int64")
-        for i, name in enumerate(KEY):
-            out.insert(i, name, key[i])
-        return out.astype({"port_a": "int32", "port_b": "int32", "proto": "int32"})
+    def advance(self, due, held, done):
+        fwd = (due["direction"] == 0).to_numpy().astype("int64")
+        size = due["size"].fillna(0).to_numpy(dtype="int64")
+        us = due["us"].to_numpy(dtype="int64")
+        single = due[self.keys].assign(start_us=us, end_us=us, fwd_pkts=fwd, fwd_bytes=fwd * size, bwd_pkts=1 - fwd,
+                                       bwd_bytes=(1 - fwd) * size, _new=1)
+        rows = pd.concat([held.assign(_new=0), single], ignore_index=True) if len(held) else single
+        if not len(rows):
+            return rows, rows, rows
+        # an open flow comes first in its key, then the packets; each takes part as a flow of its own
+        rows = rows.assign(_key=self.number(rows)).sort_values(["_key", "_new", "start_us"]).reset_index(drop=True)
+        code, start = rows["_key"].to_numpy(), rows["start_us"].to_numpy(dtype="int64")
+        latest = rows.groupby("_key")["end_us"].cummax().to_numpy(dtype="int64")
+        first = np.ones(len(rows), dtype=bool)
+        first[1:] = (code[1:] != code[:-1]) | (start[1:] - latest[:-1] > self.idle_us)
+        begins = np.flatnonzero(first)
+        ends = np.append(begins[1:], len(rows))
+        aged = start[ends - 1] - start[begins] > self.active_us
+        for a, b in zip(begins[aged].tolist(), ends[aged].tolist()):
+            while (a := a + int(np.searchsorted(start[a:b], start[a] + self.active_us, side="right"))) < b:
+                first[a] = True
+        begins = np.flatnonzero(first)
+        flows = rows.loc[begins, self.keys].assign(
+            start_us=start[begins], end_us=np.maximum.reduceat(rows["end_us"].to_numpy(dtype="int64"), begins),
+            **{c: np.add.reduceat(rows[c].to_numpy(dtype="int64"), begins) for c in _FLOW[2:]})
+        last = np.append(np.diff(code[begins]) != 0, True)
+        stays = last & (flows["end_us"].to_numpy() + self.idle_us > done)
+        left = flows[stays]
+        return flows[~stays].astype({"port_a": "int32", "port_b": "int32", "proto": "int32"}), left, left["end_us"] + self.idle_us
 
 
 def stream_flow_sessions(packets: DataFrame, idle_s: float = K.IDLE_TIMEOUT_S,
-                         active_s: float = K.ACTIVE_TIMEOUT_S, delay: str = "5 seconds") -> DataFrame:
+                         active_s: float = K.ACTIVE_TIMEOUT_S, delay: str = "5 seconds", buckets: int = BUCKETS) -> DataFrame:
     """Flows with direction totals, given out when the watermark passes their idle limit or the first
     packet past their active limit."""
-    keyed = packet_flow_key(packets.withWatermark("ts", delay), keep=["ts"]).select(
-        *KEY, "ts", "us", "pkt_id", "direction", "size")
+    keyed = packet_flow_key(packets.withWatermark("ts", delay), keep=["ts"]).where(F.col("us").isNotNull()).select(
+        _bucket(KEY, buckets), *KEY, "ts", "us", "direction", "size")
     schema = ("ip_a string, ip_b string, port_a int, port_b int, proto int, "
               + ", ".join(f"{c} long" for c in _FLOW))
-    return keyed.groupBy(*KEY).transformWithStateInPandas(
+    return keyed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Flows(int(idle_s * 1e6), int(active_s * 1e6)), outputStructType=schema,
         outputMode="Append", timeMode="EventTime")
 
