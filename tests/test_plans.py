@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from test_sources import lesson
+from wirelens import constants as K
 from wirelens.operators import lessons as L, triage as T
 from wirelens.plans.flow_alerting import alert_flows, fit_anomaly_model, score_flows
 from wirelens.plans.review_pass import escalation_pass, learn_pass, report_pass
@@ -88,3 +89,14 @@ def test_report_learn_and_escalate(spark, tmp_path):
     notice = escalation_pass(spark, queue, state).first()
     assert (notice.headline, notice.via) == ("[CRITICAL] pi0 rule 510: d", "via: model at 2026-01-01T00:00:03Z")
     assert escalation_pass(spark, queue, state).count() == 0
+
+
+def test_model_fit_computes_features_twice(spark):
+    seen, n = spark.sparkContext.accumulator(0), 200
+    def counted(x):
+        seen.add(1)
+        return float(x * x)
+    square = F.udf(counted, "double").asNondeterministic()(F.col("id"))
+    features = spark.range(n).withColumn("x", square).select(*[(F.col("x") + i).alias(f) for i, f in enumerate(K.FEATURES_25)])
+    fit_anomaly_model(features)
+    assert seen.value == 2 * n

@@ -24,10 +24,13 @@ def _error(scaler: preparation.Scaler) -> Column:
 
 
 def fit_anomaly_model(features: DataFrame, benign: Column | None = None, p: float = 0.95) -> AnomalyModel:
-    """Scaler on all given rows, threshold on the benign ones."""
+    """Scaler on all given rows, threshold on the benign ones.
+
+    The percentile looks at the scores several times, so they are computed once and kept; the features are computed twice.
+    """
     scaler = preparation.scaler_fit(features, K.FEATURES_25)
     held_out = features if benign is None else features.where(benign)
-    scored = held_out.select(_error(scaler).alias("score"))
+    scored = cut_lineage(held_out.select(_error(scaler).alias("score")))
     return AnomalyModel(scaler, scoring.anomaly_threshold(scored, p=p))
 
 
