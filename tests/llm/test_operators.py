@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,41 @@ def test_substrings_with_null_and_equal_ids(spark):
     assert got == [(3, 0), (3, 0), (7, 200), (99, 200), (99, 200)]
 
 
+def test_phrases_around_a_common_string_are_sorted_in_parts(monkeypatch):
+    """Each text has its own phrases around the line, with the line's triggers; what they share is sorted once."""
+    rnd = random.Random(8)
+    say = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    line = say(70)
+    texts = [say(200) + line + say(200) for _ in range(400)] + [say(30) + line[:55] + say(40) for _ in range(40)]
+    chunk = suffix_dedup.Chunk(pa.table({"doc_id": list(range(len(texts))), "text": texts}), 50, 16)
+    raw, first, last = "".join(texts).encode(), chunk.first.tolist(), chunk.last.tolist()
+    phrases = [raw[a:b + 50] for a, b in zip(first, last)]
+    order = rnd.sample(range(len(phrases)), len(phrases))
+    lengths = np.array([len(phrases[i]) for i in order])
+    place, ids, sizes = (chunk.trigger - chunk.first)[order], chunk.ids[chunk.row][order], []
+
+    class Counted(spans.SuffixArray):
+        def __init__(self, codes, *args, **kw):
+            sizes.append(len(codes))
+            super().__init__(codes, *args, **kw)
+    monkeypatch.setattr(spans, "SuffixArray", Counted)
+    entry, runs, windows, values = suffix_dedup.dictionary_minimum(
+        np.frombuffer(b"".join(phrases[i] for i in order), np.uint8), lengths, place, ids, 50, 16)
+    least = {}
+    for i, d in zip(order, ids.tolist()):
+        for p in range(len(phrases[i]) - 49):
+            w = phrases[i][p:p + 50]
+            least[w] = min(d, least.get(w, d))
+    begin = np.cumsum(runs) - runs
+    for i, e in zip(order, entry.tolist()):
+        own = slice(begin[e], begin[e] + runs[e])
+        got = np.repeat(values[own], windows[own]).tolist()
+        assert got == [least[phrases[i][p:p + 50]] for p in range(len(phrases[i]) - 49)]
+    key = Counter(chunk.key.tolist())
+    together = sum(len(p) for p, k in {(p, k) for p, k in zip(phrases, chunk.key.tolist()) if key[k] > 1})
+    assert together > 40_000 and 0 < sum(sizes) < together / 2
+
+
 def test_decontamination(spark, docs, texts, empty):
     items = [(1, texts[-25]), (2, "One"), (3, None), (4, "?!"), (None, texts[70]), (1, "zzz never"), (5, texts[-25])]
     bench = spark.createDataFrame(items, "item_id long, text string")
