@@ -509,3 +509,19 @@ def test_pipeline(spark, sf, tmp_path):
         assert r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
         total[r["doc_id"]] += r["length"]
     assert total == Counter({i: len(ids) for i, ids in want.items()})
+
+
+def test_components_take_one_checkpoint_a_round(spark, monkeypatch):
+    """The driver keeps something of each plan that it runs, so rounds are few and of one plan."""
+    rnd, calls, cut = random.Random(2), [], near_dedup.cut_lineage
+    monkeypatch.setattr(near_dedup, "cut_lineage", lambda df: (calls.append(1), cut(df))[1])
+    order = rnd.sample(range(100), 100)
+    for edges, most in [([(3, 3)], 2), ([(-7, i) for i in range(50)], 2), (list(zip(order, order[1:])), 9),
+                        ([(rnd.randrange(150), rnd.randrange(150)) for _ in range(90)], 9)]:
+        up = {x: x for e in edges for x in e}
+        for a, b in edges * len(up):  # labels sink along the edges
+            up[a] = up[b] = min(up[a], up[b])
+        calls.clear()
+        got = [tuple(r) for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+        assert sorted(got) == sorted((x, r) for x, r in up.items() if x != r)
+        assert len(calls) <= most

@@ -27,7 +27,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from wirelens.llm import spans
 from wirelens.llm.common import landed, row_key
-from wirelens.session import cut_lineage, ship_package
+from wirelens.session import cut_lineage, release, ship_package
 
 BANDS, ROWS, BITS, WHOLE_BITS, TRIES, BLOCK = 56, 6, 1024, 2048, 3, 2048
 GROUP = 20_000  # rows of blocks that are compared in one group
@@ -217,32 +217,24 @@ def confirmed(shingle: int, percent: int):
 
 
 def components(edges: DataFrame, one: str = "a", other: str = "b") -> DataFrame:
-    """(node, root) for every node of an edge list; root is the smallest node that can be reached.
+    """(node, root) for every node of an edge list that is not a root; root is the smallest node that can be reached.
 
-    In each round every root hangs itself under its smallest smaller neighbour, chains are shortened by
-    doubling, and edges are drawn between the new roots; edges inside a tree vanish.  Each step is
-    checkpointed.
+    In each round the smaller end of an edge gives way to that end's smallest smaller neighbour; then all smaller
+    neighbours of a node are hung under the smallest of them (large and small stars).  What is left are stars.  A round is
+    one plan with one checkpoint, since the driver keeps threads, plans and generated code of each.
     """
     here = cut_lineage(edges.select(F.greatest(one, other).alias("hi"), F.least(one, other).alias("lo")).where("hi > lo").distinct())
-    roots = None
-    while not here.isEmpty():
-        parent = cut_lineage(here.groupBy("hi").agg(F.min("lo").alias("up")))
-        while True:
-            above = parent.select(F.col("hi").alias("up"), F.col("up").alias("top"))
-            longer = cut_lineage(parent.join(above, "up", "left").select("hi", F.coalesce("top", "up").alias("up"), F.isnotnull("top").alias("moved")))
-            parent = longer.select("hi", "up")
-            if longer.where("moved").isEmpty():
-                break
-        if roots is None:
-            roots = parent.select(F.col("hi").alias("node"), F.col("up").alias("root"))
-        else:
-            onward = roots.join(parent.withColumnRenamed("hi", "root"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-            roots = onward.unionByName(parent.select(F.col("hi").alias("node"), F.col("up").alias("root")).join(roots.select("node"), "node", "left_anti"))
-        roots = cut_lineage(roots)
-        for end in ("hi", "lo"):
-            here = here.join(parent.select(F.col("hi").alias(end), "up"), end, "left").withColumn(end, F.coalesce("up", end)).drop("up")
-        here = cut_lineage(here.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).where("hi > lo").distinct())
-    return edges.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
+    while True:
+        above = here.groupBy("hi").agg(F.min("lo").alias("top")).select(F.col("hi").alias("lo"), "top")
+        lifted = here.join(above, "lo", "left").select("hi", F.coalesce("top", "lo").alias("lo"), F.isnotnull("top").alias("moved"))
+        up = lifted.groupBy("hi").agg(F.min("lo").alias("up"))
+        hung = (lifted.join(up, "hi")
+                .select("hi", "up", "moved", F.explode(F.when(F.col("lo") == F.col("up"), F.array("hi")).otherwise(F.array("hi", "lo"))).alias("node"))
+                .select(F.col("node").alias("hi"), F.col("up").alias("lo"), (F.col("moved") | (F.col("node") != F.col("hi"))).alias("moved")))
+        here = cut_lineage(hung.groupBy("hi", "lo").agg(F.max("moved").alias("moved")))
+        if here.where("moved").isEmpty():
+            return here.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        here = here.select("hi", "lo")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80,
@@ -272,6 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     involved = members.select("node").distinct()
     held = landed(classes.select("node", "k", "n_shingles", "sketch", "whole").join(involved, "node", "left_semi"), "involved")
     sketches = held.select("node", "n_shingles", "sketch", "whole")
+    release(docs.sparkSession)
     texts = landed(docs.select(row_key(id_col, text).alias("k"), F.col(text).alias("text"))
                    .join(held.select("node", "k"), "k").groupBy("node").agg(F.max("text").alias("text")), "texts")
 
@@ -322,11 +315,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             break
         roots = joined(roots, new)
         mixed = mixed_buckets(roots)
+        release(docs.sparkSession)
 
     second = links(possible_links(mixed, sizes, held, similarity))
     if roots is None or not second.isEmpty():
         roots = joined(roots, second)
 
+    release(docs.sparkSession)
     rooted = classes.select("node", "smallest").join(roots, "node", "left").select("node", "smallest", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("smallest").alias("lowest"))
     keys = ["root", "k"] if with_keys else []

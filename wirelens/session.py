@@ -1,5 +1,6 @@
 """Session settings shared by jobs, tests and the benchmark."""
 
+import gc
 import os
 import shutil
 import tempfile
@@ -80,6 +81,13 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps left behind: plans, broadcast tables and shuffle files stay until the driver collects
+    its garbage, and a driver that has room for it does not."""
+    gc.collect()  # Python's references to the driver's objects
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration step reliably, so a lost executor never replays the whole loop."""
     context = df.sparkSession.sparkContext
